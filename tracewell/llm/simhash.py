@@ -57,17 +57,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, rid and fp (the fingerprint as a signed long) of each row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    """doc_id, t (hash of the text) and fp (the fingerprint as a signed long) of each row of ``docs`` (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
 
     def make():
         def run(batch: dict) -> Iterator[dict]:
             fps = np.array([fingerprint(t, words) for t in batch["text"]], np.uint64).astype(np.int64)
-            yield {"doc_id": batch["doc_id"], "rid": batch["rid"], "fp": fps.tolist()}
+            yield {"doc_id": batch["doc_id"], "t": batch["t"], "fp": fps.tolist()}
 
         return run
 
-    return in_tasks(rows, make, "doc_id long, rid long, fp long")
+    return in_tasks(rows, make, "doc_id long, t long, fp long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -217,9 +217,9 @@ def _near(depth: int, budget: int) -> list[int]:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, rid, fp, component_id for each row of ``docs`` (doc_id, text).
+    """doc_id, t, fp, component_id, root for each row of ``docs`` (doc_id, text).
 
-    rid numbers the rows of this call. component_id: the least doc_id reachable over links.
+    component_id: the least doc_id reachable over links; root: a fingerprint that stands for the component.
     """
     rows = staged(fingerprints(docs, words), "simhash")
     each = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash")
@@ -227,7 +227,31 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     each = each.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     each = staged(each, "simhash")
     ids = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(each.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "rid", "fp", "component_id")
+    return rows.join(each.join(ids, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "t", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """Rows of ``docs``, with all their columns: of each component the one with the least doc_id.
+
+    Ties go to the least hash of the text; of rows equal in both, one stays. Rows to drop are told by
+    (doc_id, t); their table is broadcast only below 200,000 rows.
+    """
+    rows = staged(near_duplicates(docs, words), "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    best = rows.groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
+    each = rows.groupBy("root", "doc_id", "t").agg(F.count("*").alias("times")).join(best, "root")
+    each = staged(each.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("t").eqNullSafe(F.col("best.t"))).alias("_keep"), "times"), "groups")
+
+    def small(keys: DataFrame) -> DataFrame:
+        keys = keys.select("_d", "_t")
+        return F.broadcast(keys) if keys.limit(200_001).count() <= 200_000 else keys
+
+    mine = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("_t"))
+    repeated = each.where("_keep and times > 1")
+    if not repeated.limit(1).count():
+        return docs.join(small(each.where("not _keep")), mine, "left_anti")
+    once = docs.join(small(each.where("not _keep or times > 1")), mine, "left_anti")
+    return once.union(docs.join(small(repeated), mine, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
