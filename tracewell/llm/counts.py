@@ -32,11 +32,11 @@ _UNITS = regex.compile(" *[^ ]+| +")
 
 
 def units(text: str) -> list[str]:
-    """Pre-tokens of a text, each with the blanks before it; the first with the library's own blank."""
+    """Pre-tokens of a text, each without the first of the blanks before it, which the library puts back."""
     text = " " + text.replace("▁", " ")
     if text[-1] != " " and "  " not in text:
         return text[1:].split(" ")
-    return [u[1:] if u != " " else " \n" for u in _UNITS.findall(text)]
+    return [u[1:] for u in _UNITS.findall(text)]
 
 
 @lru_cache(maxsize=2)
@@ -47,9 +47,8 @@ def _pieces(path: str):
 
 
 def count_units(path: str, found: list[str]) -> list[int]:
-    """Pieces of each pre-token. " \\n" stands for one blank by itself, whose own blank is all there is."""
-    lib = _pieces(path)
-    return [1 if u == " \n" else len(x) for u, x in zip(found, lib.encode([u if u != " \n" else "" for u in found], num_threads=1))]
+    """Pieces of each pre-token; the empty one is a blank by itself, one piece."""
+    return [len(x) if u else 1 for u, x in zip(found, _pieces(path).encode(found, num_threads=1))]
 
 
 def _frequencies():

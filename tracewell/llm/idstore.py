@@ -5,8 +5,8 @@ passages give equal chunks wherever they stand. A chunk is stored once, under th
 bytes; a document is a recipe (the digests of its chunks, in order) with a Merkle root over them;
 a manifest holds the Merkle roots of the recipe ranges.
 
-File format, all below one folder: ``chunks/`` (chunk binary(32), n_ids, ids binary: little-endian
-unsigned integers of 2 or 4 bytes), ``recipes/`` (doc_id, rid, start, n_tokens, width, chunks
+File format, all below one folder: ``chunks/`` (chunk binary(32): the digest, n_ids, width, ids: a
+zstd frame of little-endian unsigned integers of 2 or 4 bytes), ``recipes/`` (doc_id, rid, start, n_tokens, width, chunks
 array<binary>, root; files in ascending doc_id order) and ``manifest/`` (one row per range of
 recipes: bucket, documents, tokens, root), as Parquet.
 
@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ _STAGED = "rid long, doc_id long, n_tokens long, width int, chunks array<binary>
 
 
 def _chunked(path: str, end_id: int):
-    enc, seen = encoder(path), set()
+    enc, seen, zstd = encoder(path), set(), zstandard.ZstdCompressor(level=3)
     width = 2 if max(enc.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
     def run(batch: dict) -> Iterator[dict]:
@@ -82,7 +83,7 @@ def _chunked(path: str, end_id: int):
                 digests.append(digest)
                 sizes.append(c - last)
                 # a chunk that this task has sent before is not sent again
-                bodies.append(None if digest in seen else body)
+                bodies.append(None if digest in seen else zstd.compress(body))
                 if len(seen) < 200_000:
                     seen.add(digest)
                 last = c
@@ -101,9 +102,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
     first = staged(in_tasks(rows, lambda: _chunked(tokenizer, end_id), _STAGED), "ids")
-    bodies = first.select(F.explode(F.arrays_zip("chunks", "sizes", "ids")).alias("c")).where("c.ids is not null")
-    bodies = bodies.select(F.col("c.chunks").alias("chunk"), F.col("c.sizes").alias("n_ids"), F.col("c.ids").alias("ids"))
-    bodies.dropDuplicates(["chunk"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    bodies = first.select("width", F.explode(F.arrays_zip("chunks", "sizes", "ids")).alias("c")).where("c.ids is not null")
+    bodies = bodies.select(F.col("c.chunks").alias("chunk"), F.col("c.sizes").alias("n_ids"), "width", F.col("c.ids").alias("ids"))
+    bodies.dropDuplicates(["chunk"]).write.parquet(f"{path}/chunks")
     starts = running_start(first.select("doc_id", "rid", "n_tokens"), ["doc_id", "rid"], "n_tokens", "start").select("rid", "start")
     recipes = first.drop("ids", "sizes").join(starts, "rid")
     bounds = order_bounds(first.select("doc_id"), "doc_id")
@@ -116,37 +117,128 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     top.select("bucket", "documents", "tokens", F.sha2(F.array_join("r.root", ""), 256).alias("root")).write.parquet(f"{path}/manifest")
 
 
-def _verified():
-    """Puts the chunks of a document together again; raises where a body, a digest or a root is wrong."""
+def _body(frame: bytes, digest: bytes, n: int, width: int) -> np.ndarray:
+    """Ids of a stored chunk; raises where they are not those of its digest."""
+    body = zstandard.decompress(frame)
+    if hashlib.sha256(body).digest() != digest or len(body) != n * width:
+        raise ValueError(f"chunk {digest.hex()}: its ids do not match its digest")
+    return np.frombuffer(body, f"<u{width}").astype("<u4")
+
+
+def _check_recipe(doc_id, n: int, root: bytes, digests: list[bytes], sizes: list[int]) -> None:
+    if merkle(digests) != root or sum(sizes) != n:
+        raise ValueError(f"document {doc_id}: its chunks do not match its Merkle root")
+
+
+def _documents():
+    """Puts the chunks of a document together again."""
 
     def run(batch: dict) -> Iterator[dict]:
-        crcs, all_ids = [], []
-        for doc_id, n, width, root, got in zip(batch["doc_id"], batch["n_tokens"], batch["width"], batch["root"], batch["got"]):
+        whole = []
+        for doc_id, n, root, got in zip(batch["doc_id"], batch["n_tokens"], batch["root"], batch["got"]):
             got = sorted(got, key=lambda x: x["seq"])
-            digests = [hashlib.sha256(x["ids"]).digest() for x in got]
-            if [x["seq"] for x in got] != list(range(len(got))) or digests != [x["chunk"] for x in got] or merkle(digests) != root:
-                raise ValueError(f"document {doc_id}: its chunks do not match its Merkle root")
-            ids = np.frombuffer(b"".join(x["ids"] for x in got), f"<u{width}").astype("<u4")
-            if len(ids) != n:
-                raise ValueError(f"document {doc_id}: {len(ids)} ids, {n} in its recipe")
-            all_ids.append(ids.tobytes())
-            crcs.append(zlib.crc32(all_ids[-1]))
-        yield {k: batch[k] for k in ("doc_id", "rid", "start", "n_tokens")} | {"ids_crc32": crcs, "ids": all_ids}
+            ids = [_body(x["ids"], x["chunk"], x["n_ids"], x["width"]) for x in got]
+            _check_recipe(doc_id, n, root, [x["chunk"] for x in got], [len(x) for x in ids])
+            whole.append(b"".join(x.tobytes() for x in ids))
+        yield {k: batch[k] for k in ("doc_id", "rid", "start", "n_tokens")} | {"ids": whole}
 
     return run
 
 
+def _wanted(recipes: DataFrame) -> DataFrame:
+    return recipes.select("rid", F.posexplode("chunks").alias("seq", "chunk"))
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a store, rebuilt from its files and verified: doc_id, rid, start, n_tokens, ids_crc32, ids.
+    """Documents of a store, rebuilt from its files and verified: doc_id, rid, start, n_tokens, ids.
 
     ``ids`` holds little-endian unsigned 32-bit integers. A body read for many documents (a hot
     chunk) is on the unique side of the join, whose other side Spark may split.
     """
     recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
-    wanted = recipes.select("rid", F.posexplode("chunks").alias("seq", "chunk"))
-    got = wanted.join(chunks.select("chunk", "ids"), "chunk", "left").groupBy("rid").agg(F.collect_list(F.struct("seq", "chunk", "ids")).alias("got"))
-    whole = recipes.drop("chunks").join(got, "rid", "left")
-    return in_tasks(whole, _verified, "doc_id long, rid long, start long, n_tokens long, ids_crc32 long, ids binary", 500)
+    got = _wanted(recipes).join(chunks, "chunk", "left").groupBy("rid").agg(F.collect_list(F.struct("seq", "chunk", "n_ids", "width", "ids")).alias("got"))
+    whole = recipes.drop("chunks", "width").join(got, "rid", "left")
+    return in_tasks(whole, _documents, "doc_id long, rid long, start long, n_tokens long, ids binary", 500)
+
+
+#: Polynomial of CRC-32, reflected. Fixed value.
+_CRC = 0xEDB88320
+
+
+def _shifts() -> np.ndarray:
+    """Row k maps each bit of a CRC to what it becomes after 2**k more zero bytes."""
+
+    def times(m: list[int], v: int) -> int:
+        out, j = 0, 0
+        while v:
+            if v & 1:
+                out ^= m[j]
+            v, j = v >> 1, j + 1
+        return out
+
+    bit = [_CRC, *[1 << j for j in range(31)]]
+    for _ in range(3):
+        bit = [times(bit, x) for x in bit]
+    rows = []
+    for _ in range(48):
+        rows.append(bit)
+        bit = [times(bit, x) for x in bit]
+    return np.array(rows, np.uint32)
+
+
+def crc_shifted(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """What stretches with these CRCs add to the CRC of a whole, ``after`` bytes before its end."""
+    table, crc, k = _shifts(), crc.astype(np.uint32), 0
+    while (after >> k).any():
+        on = ((after >> k) & 1).astype(bool)
+        v, out = crc[on], np.zeros(int(on.sum()), np.uint32)
+        for j in range(32):
+            out ^= np.where((v >> np.uint32(j)) & np.uint32(1), table[k, j], np.uint32(0))
+        crc[on] = out
+        k += 1
+    return crc
+
+
+def _chunk_sums():
+    def run(batch: dict) -> Iterator[dict]:
+        ids = [_body(f, d, n, w) for f, d, n, w in zip(batch["ids"], batch["chunk"], batch["n_ids"], batch["width"])]
+        yield {"chunk": batch["chunk"], "n_ids": batch["n_ids"], "crc": [zlib.crc32(x.tobytes()) for x in ids]}
+
+    return run
+
+
+def _document_sums():
+    def run(batch: dict) -> Iterator[dict]:
+        crc, after, first = [], [], []
+        for doc_id, n, root, got in zip(batch["doc_id"], batch["n_tokens"], batch["root"], batch["got"]):
+            got = sorted(got, key=lambda x: x["seq"])
+            sizes = [x["n_ids"] or 0 for x in got]
+            _check_recipe(doc_id, n, root, [x["chunk"] for x in got], sizes)
+            first.append(len(crc))
+            left = n
+            for x, size in zip(got, sizes):
+                left -= size
+                crc.append(x["crc"])
+                after.append(4 * left)
+        sums = np.bitwise_xor.reduceat(crc_shifted(np.array(crc, np.uint64), np.array(after, np.int64)), first) if first else []
+        yield {k: batch[k] for k in ("doc_id", "rid", "start", "n_tokens")} | {"ids_crc32": [int(x) for x in sums]}
+
+    return run
+
+
+def verified_sums(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of a store with the CRC-32 of their ids (as little-endian unsigned 32-bit integers):
+    doc_id, rid, start, n_tokens, ids_crc32.
+
+    Every stored chunk is read and checked against its digest once, and every recipe against its
+    Merkle root; the CRC of a document follows from those of its chunks in their order, so ids are
+    not shuffled again.
+    """
+    recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
+    sums = in_tasks(chunks, _chunk_sums, "chunk binary, n_ids int, crc long")
+    got = _wanted(recipes).join(sums, "chunk", "left").groupBy("rid").agg(F.collect_list(F.struct("seq", "chunk", "n_ids", "crc")).alias("got"))
+    whole = recipes.drop("chunks", "width").join(got, "rid", "left")
+    return in_tasks(whole, _document_sums, "doc_id long, rid long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_id_store(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
@@ -155,4 +247,4 @@ def op1_id_store(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49
 
     path = scratch(spark, "store")
     write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, vocabulary(tokenizer), end_id=1)
-    return read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return verified_sums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -59,7 +59,7 @@ class Encoder:
         letters = _byte_letters()
         self.table = {b: letters[b] for b in range(256)}
         self.blank = letters[0x20]
-        self.ends: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
         self.old_memo: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
@@ -89,6 +89,17 @@ class Encoder:
         self.known[word] = got
         return got
 
+    def _bare(self, pre_token: str) -> bytes:
+        """Ids of a pre-token as the pattern gives it."""
+        got = self.bare.get(pre_token)
+        if got is None:
+            got = self._ids(pre_token)
+            if len(pre_token) <= LONGEST:
+                if len(self.bare) >= MEMO // 2:
+                    self.bare.clear()
+                self.bare[pre_token] = got
+        return got
+
     def _unit(self, u: str) -> bytes:
         """u: a stretch without the blank that a byte-level vocabulary puts before it."""
         if self.kind == "word":
@@ -96,15 +107,13 @@ class Encoder:
         word = u.rstrip(",.;:!?")
         got = self.known.get(word) or self._word(word)
         if got is not None:
-            end = u[len(word) :]
-            if not end:
-                return got
-            if end not in self.ends and len(self.ends) < 1000:
-                self.ends[end] = self._ids(end)
-            return got + (self.ends[end] if end in self.ends else self._ids(end))
+            return got + self._bare(u[len(word) :]) if len(word) < len(u) else got
         blank = " " if self.kind == "byte" else ""
         if len(u) < 10_000 and _LATIN.fullmatch(u):
-            return b"".join(map(self._ids, self.pattern.findall(blank + u)))
+            head, line, rest = u.partition("\n")
+            if line:  # a line's last word keeps its blank, the next line's first word has none
+                return self._unit(head) + b"".join(map(self._bare, self.pattern.findall(line + rest)))
+            return b"".join(map(self._bare, self.pattern.findall(blank + u)))
         return self._whole([blank + u])[0]
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -113,8 +122,9 @@ class Encoder:
             return np.empty(0, "<u4")
         if not self.kind or any(s in text for s in self.special):
             return np.frombuffer(self._whole([text])[0], "<u4")
-        memo, parts = self.memo, text.split(" ")
         byte, lead = self.kind == "byte", b""
+        # white space only parts words where the vocabulary drops it
+        memo, parts = self.memo, (text if byte else text.replace("\n", " ")).split(" ")
         if byte:  # only the first part has no blank before it
             first = parts.pop(0)
             if not first or first[-1].isspace():
