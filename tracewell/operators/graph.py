@@ -163,7 +163,7 @@ _LOCAL = "case_id long, entity_id string, cut_vertex boolean, bridge_score doubl
 def local_structure(vertices: DataFrame, rels: DataFrame) -> DataFrame:
     """Cut vertices, bridge score and betweenness (Brandes, halved) of small graphs, one case to a task.
 
-    These are sequential by nature; callers bound the case size (see ``plans.limits``). bridge_score: pairs that the
+    These are sequential by nature, so a case's graph must fit one task. bridge_score: pairs that the
     vertex separates, over all pairs of vertices.
     """
     import pandas as pd

@@ -38,9 +38,9 @@ def p10(spark, d):
     return relational.filtered(entities(spark, d), case_id=1, entity_type=["person", "organization"], status="active", confidence=None).select("entity_id", "display_value")
 
 
-@query("P11_substring", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'part#00000001') OR contains(lower(p_name), 're%d')")
+@query("P11_substring", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'small r') OR contains(lower(p_name), 're%d')")
 def p11(spark, d):
-    return table(spark, d, "part").where(relational.escaped_like("p_name", "PART#00000001") | relational.escaped_like("p_name", "re%d")).select("p_partkey", "p_name")
+    return table(spark, d, "part").where(relational.escaped_like("p_name", "SMALL R") | relational.escaped_like("p_name", "re%d")).select("p_partkey", "p_name")
 
 
 @query("P12_time_range", "SELECT event_id, ts FROM events WHERE ts BETWEEN (SELECT min(ts) + INTERVAL 1 DAY FROM events) AND (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
@@ -80,10 +80,10 @@ def p16(spark, d):
     return relational.visible(cases, members, F.lit(7)).select("case_id", "owner_id")
 
 
-@query("P17_all_sides_visible", "WITH c AS (SELECT l_partkey AS id, list(DISTINCT l_orderkey) AS s FROM lineitem GROUP BY 1) SELECT id FROM c WHERE id NOT IN (SELECT id FROM (SELECT id, unnest(s) AS o FROM c) JOIN orders ON o = o_orderkey WHERE o_orderstatus = 'P')")
+@query("P17_all_sides_visible", "WITH c AS (SELECT l_partkey AS id, list(DISTINCT l_orderkey) AS s FROM lineitem GROUP BY 1) SELECT id FROM c WHERE id NOT IN (SELECT id FROM (SELECT id, unnest(s) AS o FROM c) JOIN orders ON o = o_orderkey WHERE o_orderstatus = 'P' AND o_orderpriority LIKE '1%')")
 def p17(spark, d):
     c = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set("l_orderkey").alias("sides"))
-    ok = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("case_id"))
+    ok = table(spark, d, "orders").where("NOT (o_orderstatus = 'P' AND o_orderpriority LIKE '1%')").select(F.col("o_orderkey").alias("case_id"))
     return relational.all_sides_visible(c, "sides", ok, "id").select("id")
 
 
@@ -144,9 +144,9 @@ def j08(spark, d):
     return table(spark, d, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("n_nationkey")
 
 
-@query("J09_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("J09_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')")
 def j09(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderpriority LIKE '1%'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("J10_replay", "SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -189,14 +189,14 @@ def j20(spark, d):
     return graph.triangles(relationships(spark, d)).groupBy("case_id").agg(F.count("*").alias("triangles"))
 
 
-@query("J21_same_day", "SELECT e.event_id, min(o_orderkey) AS o_orderkey FROM events e JOIN orders ON e.user_id = o_custkey AND CAST(e.ts AS DATE) = CAST(o_orderdate AS DATE) GROUP BY 1")
+@query("J21_same_day", "SELECT e.event_id, min(o_orderkey) AS o_orderkey FROM events e JOIN orders ON e.user_id = o_custkey AND day(e.ts) = day(o_orderdate) GROUP BY 1")
 def j21(spark, d):
-    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("o_custkey"), F.to_date("ts").alias("day"))
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("o_custkey"), F.dayofmonth("ts").alias("day"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.dayofmonth("o_orderdate").alias("day"))
     return e.join(o, ["o_custkey", "day"]).groupBy("event_id").agg(F.min("o_orderkey").alias("o_orderkey"))
 
 
-@query("J22_W04_duplicates", "SELECT doc_id, first_value(doc_id) OVER w AS keeper FROM documents QUALIFY row_number() OVER w > 1 WINDOW w AS (PARTITION BY text ORDER BY doc_id)")
+@query("J22_W04_duplicates", "SELECT doc_id, first_value(doc_id) OVER w AS keeper FROM documents WINDOW w AS (PARTITION BY text ORDER BY doc_id) QUALIFY row_number() OVER w > 1")
 def j22(spark, d):
     w = Window.partitionBy("h").orderBy("doc_id")
     rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
@@ -333,9 +333,9 @@ def w05(spark, d):
     return rows.select("o_orderkey", "earlier", (F.col("o_orderdate") < F.col("earlier")).alias("back"))
 
 
-@query("W06_first_seen", "SELECT l_orderkey, l_linenumber, l_returnflag <> first_value(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS conflict FROM lineitem")
+@query("W06_first_seen", "SELECT l_orderkey, l_linenumber, l_returnflag <> first_value(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS conflict FROM lineitem")
 def w06(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") != F.first("l_returnflag").over(w)).alias("conflict"))
 
 
