@@ -143,21 +143,21 @@ def g25(spark, d):
     return r.groupBy("case_id").agg(F.concat(best["src"], F.lit(">"), best["dst"]).alias("strongest"), F.count_if(F.col("n_records") == 1).alias("thin"))
 
 
-@query("G26_shortest_paths", with_sql("WITH e AS (SELECT DISTINCT case_id, node, other FROM ends), a AS (SELECT 'S1' AS source, other AS target, 1 AS length, ['S1', other] AS path, case_id FROM e WHERE node = 'S1'), b AS (SELECT a.source, e.other AS target, 2 AS length, list_append(a.path, e.other) AS path, a.case_id FROM a JOIN e ON e.node = a.target AND e.case_id = a.case_id WHERE e.other <> 'S1' AND e.other NOT IN (SELECT target FROM a)) SELECT * FROM a UNION ALL SELECT * FROM b"))
+@query("G26_shortest_paths", with_sql("WITH e AS (SELECT DISTINCT case_id, node, other FROM ends), a AS MATERIALIZED (SELECT case_id, node AS source, other AS target, 1 AS length, [node, other] AS path FROM e WHERE node LIKE 'N%'), b AS (SELECT a.case_id, a.source, e.other AS target, 2 AS length, list_append(a.path, e.other) AS path FROM a JOIN e ON e.node = a.target AND e.case_id = a.case_id WHERE e.other <> a.source AND NOT EXISTS (SELECT 1 FROM a x WHERE x.source = a.source AND x.target = e.other)) SELECT * FROM a UNION ALL SELECT * FROM b"))
 def g26(spark, d):
     e, r = _graph(spark, d)
-    return graph.shortest_paths(r, e.where("entity_id = 'S1'"), 2)
+    return graph.shortest_paths(r, e.where("entity_type = 'location'"), 2)
 
 
-@query("G27_pair_paths", with_sql("WITH e AS (SELECT DISTINCT node, other FROM ends) SELECT 'S1' AS source, y.other AS target, 2 AS length, ['S1', x.other, y.other] AS path FROM e x JOIN e y ON y.node = x.other WHERE x.node = 'S1' AND y.other LIKE 'S%' AND y.other <> 'S1'"))
+@query("G27_pair_paths", with_sql("WITH e AS (SELECT DISTINCT case_id, node, other FROM ends) SELECT x.case_id, x.node AS source, y.other AS target, 2 AS length, [x.node, x.other, y.other] AS path FROM e x JOIN e y ON y.node = x.other AND y.case_id = x.case_id WHERE x.node LIKE 'N%' AND y.other LIKE 'S%' AND NOT EXISTS (SELECT 1 FROM e z WHERE z.node = x.node AND z.other = y.other)"))
 def g27(spark, d):
     e, r = _graph(spark, d)
-    return graph.shortest_paths(r, e.where("entity_id = 'S1'"), 2).where("length >= 2 and target LIKE 'S%'").select("source", "target", "length", "path")
+    return graph.shortest_paths(r, e.where("entity_type = 'location'"), 2).where("length >= 2 and target LIKE 'S%'")
 
 
-@query("G28_ego", with_sql("SELECT node AS center, other, rel_type FROM ends WHERE node = 'N3'"))
+@query("G28_ego", with_sql("SELECT node AS center, other, rel_type FROM ends WHERE node LIKE 'N%'"))
 def g28(spark, d):
-    return graph.endpoints(relationships(spark, d)).where("node = 'N3'").select(F.col("node").alias("center"), "other", "rel_type")
+    return graph.endpoints(relationships(spark, d)).where("node LIKE 'N%'").select(F.col("node").alias("center"), "other", "rel_type")
 
 
 @query("G29_association_network", with_sql("SELECT case_id, least(party, account) AS a, greatest(party, account) AS b, count(*) AS n FROM recs GROUP BY 1, 2, 3"))
