@@ -138,7 +138,7 @@ def _holds(values: np.ndarray, path: tuple) -> np.ndarray:
     return ok
 
 
-def fit_rules(values: np.ndarray, labels: np.ndarray, penalty: float = 0.002, seed: int = 7) -> Rules:
+def fit_rules(values: np.ndarray, labels: np.ndarray, penalty: float = 0.0005, seed: int = 7) -> Rules:
     """Rules from paths of boosted trees, weighted by a lasso logistic regression (proximal gradient)."""
     y = labels.astype(float)
     if len(y) == 0 or y.min() == y.max():
