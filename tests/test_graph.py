@@ -43,9 +43,9 @@ def test_structure(spark):
 @pytest.mark.parametrize("leak", [False, True])
 def test_pagerank(spark, leak):
     v, e = make(spark, [("a", "b"), ("b", "c"), ("c", "a")])
-    assert all(x == pytest.approx(1 / 3) for x in by(graph.pagerank(v, e, leak=leak), "pagerank").values())
+    assert all(x == pytest.approx(1 / 3) for x in by(graph.pagerank(v, e, rounds=8, leak=leak), "pagerank").values())
     v, e = make(spark, [("a", "b"), ("a", "b"), ("a", "c"), ("b", "c")])
-    assert (sum(by(graph.pagerank(v, e, leak=leak), "pagerank").values()) < 0.99) == leak
+    assert (sum(by(graph.pagerank(v, e, rounds=8, leak=leak), "pagerank").values()) < 0.99) == leak
 
 
 def test_triangles_and_neighbours(spark):

@@ -101,13 +101,12 @@ def pagerank(vertices: DataFrame, rels: DataFrame, damping: float = 0.85, rounds
     size = vertices.groupBy("case_id").agg(F.count("*").alias("size"))
     nodes = cut(vertices.select(*key).join(F.broadcast(size), "case_id").join(out.select("case_id", F.col("src").alias("entity_id"), "out"), key, "left"))
     rank = nodes.select(*key, "size", "out", (1 / F.col("size")).alias("r"))
-    for k in range(rounds):
+    for _ in range(rounds):
         got = links.join(rank.select("case_id", F.col("entity_id").alias("src"), "r"), ["case_id", "src"]).groupBy("case_id", F.col("dst").alias("entity_id")).agg(F.sum(F.col("r") / F.col("out")).alias("got"))
         lost = rank.groupBy("case_id").agg(F.sum(F.when(F.col("out").isNull(), F.col("r")).otherwise(0.0)).alias("lost"))
         new = (1 - damping) / F.col("size") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("size"))
-        rank = nodes.join(got, key, "left").join(F.broadcast(lost), "case_id").select(*key, "size", "out", new.alias("r"))
-        if k % 6 == 5:
-            rank = cut(rank)
+        # read twice in the next round, so written each time
+        rank = cut(nodes.join(got, key, "left").join(F.broadcast(lost), "case_id").select(*key, "size", "out", new.alias("r")))
     return rank.select(*key, F.col("r").alias("pagerank"))
 
 
