@@ -19,7 +19,6 @@ ignored. Offsets count code points, the end is exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
