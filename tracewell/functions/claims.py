@@ -93,6 +93,17 @@ def json_object(raw: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(x).startswith("{") & F.try_parse_json(F.when(F.trim(x) != "", x)).isNotNull(), F.trim(x)) for x in (text, fenced, span)])
 
 
+def hypothesis_blocks(draft: Column, most: int = 5) -> Column:
+    """Fenced JSON blocks of a draft that are objects, the first ``most``."""
+    found = F.regexp_extract_all(draft, F.lit(r"(?s)```json\s*(\{.*?\})\s*```"), F.lit(1))
+    return F.slice(F.filter(found, lambda x: F.try_parse_json(x).isNotNull()), 1, most)
+
+
+def valid_ids(ids: Column) -> Column:
+    """Those of an array that are UUIDs, in lower case."""
+    return F.transform(F.filter(ids, lambda x: x.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")), F.lower)
+
+
 def schema_issues(obj: Column, allowed: list[str]) -> Column:
     """Keys beyond those allowed, and allowed ones that are missing, of a JSON object."""
     keys = F.coalesce(F.json_object_keys(obj), F.array().cast("array<string>"))

@@ -50,6 +50,20 @@ def flattened(raw: Column) -> Column:
     return F.map_from_entries(F.concat(scalar, inner))
 
 
+def deep_leaves(df: DataFrame, key: str, raw: str, depth: int = 5) -> DataFrame:
+    """key, path, value: the scalar leaves of a JSON text, down to ``depth`` levels; list elements by their index."""
+    at, out = df.select(key, F.lit("").alias("path"), F.trim(raw).alias("value")), None
+    for level in range(depth + 1):
+        rows = at.where("value is not null")
+        leaf = rows.where(~F.col("value").rlike(r"^[\[{]")) if level else rows.limit(0)
+        out = leaf if out is None else out.union(leaf)
+        dot = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit(".")))
+        fields = rows.where(F.col("value").startswith("{")).select(key, dot.alias("dot"), F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
+        items = rows.where(F.col("value").startswith("[")).select(key, dot.alias("dot"), F.posexplode(F.from_json("value", "array<string>")).alias("k", "value"))
+        at = fields.unionByName(items.withColumn("k", F.col("k").cast("string"))).select(key, F.concat("dot", "k").alias("path"), "value")
+    return out
+
+
 def visible(cases: DataFrame, members: DataFrame, user: Column | str, admin: bool = False) -> DataFrame:
     """Cases that a user may see: all for an admin, else owned ones and those of a membership."""
     if admin:
