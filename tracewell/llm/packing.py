@@ -55,9 +55,11 @@ class Schedule:
         self.ends = np.array(ends, np.int64)
 
     def place(self, queue: int, i: np.ndarray) -> np.ndarray:
-        """How many quanta are served before quantum i of a queue; ties go to the lower queue."""
+        """How many quanta are served before quanta ``i`` of a queue; ties go to the lower queue."""
         w, out = int(self.weight[queue]), np.zeros(len(i), np.int64)
-        big = 2 * (int(i[-1]) + 1) * int(max(self.weight)) + w >= 1 << 62 if len(i) else False
+        if not len(i):
+            return out
+        big = 2 * (int(i.max()) + 1) * int(max(self.weight)) + w >= 1 << 62
         x = 2 * (i.astype(object) if big else i) + 1
         for s, (ws, n) in enumerate(zip(self.weight, self.full)):
             # j of queue s comes first if (2j+1)*w < (2i+1)*ws, or equals it and s < queue
@@ -65,25 +67,32 @@ class Schedule:
             out += np.clip((y // w + 1) // 2, 0, int(n)).astype(np.int64)
         return out
 
-    def cut(self, queue: int, at: int, n: int) -> list[tuple[int, int, int, int]]:
-        """Pieces of n ids at a position of a queue: start in the document, length, sequence, offset."""
-        q = self.quantum
-        i = np.arange(at // q, (at + n - 1) // q + 1)
-        begin, end = np.maximum(i * q, at), np.minimum((i + 1) * q, at + n)
-        full = i < int(self.full[queue])
+    def cut(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pieces of documents of ``n`` ids at positions ``at`` of their queues, as arrays: document (its place in the
+        arguments), start in it, length, sequence, offset there.
+        """
+        q, first = self.quantum, at // self.quantum
+        many = (at + n - 1) // q - first + 1
+        doc = np.repeat(np.arange(len(n)), many)
+        i = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+        begin, end = np.maximum(i * q, at[doc]), np.minimum((i + 1) * q, (at + n)[doc])
+        full = i < self.full[queue].astype(np.int64)[doc]
         rank = np.zeros(len(i), np.int64)
-        rank[full] = self.place(queue, i[full])
-        tail_at = np.where(full, (rank - self.windows * self.per) * q, self.rest_at[queue]) + begin - i * q
-        out = []
-        for b, e, whole, r, t in zip(begin.tolist(), end.tolist(), (full & (rank < self.windows * self.per)).tolist(), rank.tolist(), tail_at.tolist()):
-            if whole:
-                out.append((b - at, e - b, r // self.per, r % self.per * q + b % q))
-            while not whole and b < e:
-                k = int(np.searchsorted(self.ends, t, "right"))
-                m = min(e - b, int(self.ends[k]) - t)
-                out.append((b - at, m, self.windows + k, t - (int(self.ends[k - 1]) if k else 0)))
-                b, t = b + m, t + m
-        return out
+        for k in np.unique(queue):
+            own = full & (queue[doc] == k)
+            rank[own] = self.place(int(k), i[own])
+        whole = full & (rank < self.windows * self.per)
+        out = [doc[whole], (begin - at[doc])[whole], (end - begin)[whole], rank[whole] // self.per, rank[whole] % self.per * q + begin[whole] % q]
+        # the tail: a few pieces in all, cut again where its sequences end
+        rest, t = ~whole, np.where(full, (rank - self.windows * self.per) * q, self.rest_at[queue[doc]]) + begin - i * q
+        more = []
+        for k, b, e, at_tail in zip(doc[rest].tolist(), begin[rest].tolist(), end[rest].tolist(), t[rest].tolist()):
+            while b < e:
+                s = int(np.searchsorted(self.ends, at_tail, "right"))
+                m = min(e - b, int(self.ends[s]) - at_tail)
+                more.append((k, b - int(at[k]), m, self.windows + s, at_tail - (int(self.ends[s - 1]) if s else 0)))
+                b, at_tail = b + m, at_tail + m
+        return tuple(np.concatenate([x, np.array(y, np.int64)]) for x, y in zip(out, zip(*more))) if more else tuple(out)
 
 
 def _encoded(path: str, end_id: int):
@@ -97,26 +106,23 @@ def _encoded(path: str, end_id: int):
     return run
 
 
-def _cut(schedule: Schedule, order: dict):
+def _cut(schedule: Schedule, order: dict, with_ids: bool):
     def run(batch: dict) -> Iterator[dict]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids")}
-        for doc_id, source, queue, at, n, width, data in zip(*(batch[k] for k in ("doc_id", "source", "queue", "at", "n", "width", "ids"))):
-            ids = np.frombuffer(data, f"<u{width}").astype("<u4")
-            for start, length, sequence, offset in schedule.cut(order[queue], at, n):
-                own = ids[start : start + length].tobytes()
-                for k, v in (("doc_id", doc_id), ("start", start), ("length", length), ("ids_crc32", zlib.crc32(own)), ("doc_tokens", n), ("sequence_id", sequence), ("offset", offset), ("source", source), ("ids", own)):
-                    out[k].append(v)
-            if len(out["ids"]) >= 20_000:
-                yield out
-                out = {k: [] for k in out}
-        yield out
+        data = [memoryview(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(batch["ids"], batch["width"])]
+        n, at = np.array(batch["n"], np.int64), np.array(batch["at"], np.int64)
+        doc, start, length, sequence, offset = schedule.cut(np.array([order[q] for q in batch["queue"]], np.int64), at, n)
+        for k in range(0, len(doc), 20_000):
+            d, s, m = (x[k : k + 20_000].tolist() for x in (doc, start, length))
+            own = [data[i][4 * a : 4 * (a + b)] for i, a, b in zip(d, s, m)]
+            out = {"doc_id": [batch["doc_id"][i] for i in d], "start": s, "length": m, "ids_crc32": list(map(zlib.crc32, own)), "doc_tokens": n[doc[k : k + 20_000]], "sequence_id": sequence[k : k + 20_000], "offset": offset[k : k + 20_000]}
+            yield out | ({"source": [batch["source"][i] for i in d], "ids": list(map(bytes, own))} if with_ids else {})
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, weights: dict[str, int] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, weights: dict[str, int] | None = None, with_ids: bool = True) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text, source): doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset, source, ids (little-endian unsigned 32-bit integers).
+    sequence_id, offset and, with_ids, source and ids (little-endian unsigned 32-bit integers).
 
     weights: a source's target share, as an integer; by default its share of all ids. One shuffle
     of the ids; only the totals of at most MAX_QUEUES queues reach the driver.
@@ -129,7 +135,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, weights: dict[str, int] |
     schedule = Schedule([r["n"] for r in totals], weights and [weights.get(r["source"], 1) for r in totals])
     order = {r["queue"]: i for i, r in enumerate(totals)}
     at = running_start(first.select("doc_id", "rid", "queue", "n"), ["doc_id", "rid"], "n", "at", ["queue"]).select("rid", "at")
-    return in_tasks(first.join(at, "rid"), lambda: _cut(schedule, order), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary", 500)
+    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", source string, ids binary" if with_ids else "")
+    return in_tasks(first.join(at, "rid"), lambda: _cut(schedule, order, with_ids), columns, 1000)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -142,4 +149,4 @@ def op6_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k
     """All of ``documents``, packed to the mixture of their sources."""
     from tracewell.llm.tokens import vocabulary
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(tokenizer), end_id=0).drop("source", "ids")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(tokenizer), end_id=0, with_ids=False)
