@@ -4,7 +4,7 @@ A pre-token here is a run of blanks with the word after it; no piece of the voca
 such a border, so the count of a text is the sum over its pre-tokens. Each distinct pre-token is
 counted once, by the sentencepiece library; per-document frequencies are joined to these counts.
 
-The most frequent pre-tokens (at most HEAD of them, of at most LONGEST bytes each: a bound of 4 MB)
+The most frequent pre-tokens (at most HEAD of them, of at most LONGEST bytes each: a bound of 12 MB)
 go to the tasks in advance and are summed there, so no frequent key is ever shuffled; the rest is
 joined by key.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import in_tasks, staged
 
-HEAD, LONGEST = 65_536, 48
+HEAD, LONGEST = 262_144, 48
 #: Distinct pre-tokens that a task adds up before it sends them on.
 HELD = 200_000
 #: Blanks with what follows them; both white-space marks of the library are blanks by then.
@@ -73,22 +73,22 @@ def _documents(head):
     known = head.value
 
     def run(batch: dict) -> Iterator[dict]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "k", "unit", "times", "n_bytes")}
+        out: dict[str, list] = {k: [] for k in ("k", "unit", "times", "doc_id", "n_bytes", "own")}
         for doc_id, k, text in zip(batch["doc_id"], batch["k"], batch["text"]):
-            own, rest = 0, Counter()
-            if text:
-                got = Counter(units(text))
-                for u, n in got.items():
-                    if u in known:
-                        own += n * known[u]
-                    else:
-                        rest[u] = n
-            m = len(rest)
-            out["doc_id"] += [doc_id] * (1 + m)
-            out["k"] += [k] * (1 + m)
-            out["unit"] += [None, *rest]
-            out["times"] += [own, *rest.values()]
-            out["n_bytes"] += [len(text.encode()) if text else 0, *[None] * m]
+            own, rest = 0, {}
+            for u, n in Counter(units(text)).items() if text else ():
+                pieces = known.get(u)
+                if pieces is None:
+                    rest[u] = n
+                else:
+                    own += n * pieces
+            none = [None] * len(rest)
+            out["k"] += [k] * (1 + len(rest))
+            out["unit"] += [f"\0 {k}", *rest]
+            out["times"] += [0, *rest.values()]
+            out["doc_id"] += [doc_id, *none]
+            out["n_bytes"] += [len(text.encode()) if text else 0, *none]
+            out["own"] += [own, *none]
         yield out
 
     return run
@@ -104,17 +104,29 @@ def token_counts(docs: DataFrame, model: str, limit: int) -> DataFrame:
         return lambda batch: iter([batch | {"pieces": count_units(model, batch["unit"])}])
 
     table = staged(in_tasks(found, counted, "unit string, n long, pieces int", 10_000), "units")
-    head = table.where(F.octet_length("unit") <= LONGEST).orderBy(F.desc("n"), "unit").limit(HEAD).select("unit", "pieces")
-    shared = spark.sparkContext.broadcast(dict(map(tuple, head.collect())))
+    short = table.where(F.octet_length("unit") <= LONGEST)
+    shared = spark.sparkContext.broadcast(dict(map(tuple, short.where(F.col("n") >= _least(short)).select("unit", "pieces").collect())))
     keyed = rows.withColumn("k", F.monotonically_increasing_id())
-    parts = in_tasks(keyed, lambda: _documents(shared), "doc_id long, k long, unit string, times long, n_bytes long")
-    # rows without a pre-token hold what the head gave; each has a key of its own, so none meets another
-    parts = parts.withColumn("key", F.coalesce("unit", F.concat(F.lit("\0"), F.col("k").cast("string"))))
-    sums = parts.join(table.select(F.col("unit").alias("key"), "pieces"), "key", "left")
-    sums = sums.groupBy("doc_id", "k").agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("times") * F.when(F.col("unit").isNull(), 1).otherwise(F.col("pieces"))).alias("n_tokens"))
+    parts = in_tasks(keyed, lambda: _documents(shared), "k long, unit string, times int, doc_id long, n_bytes long, own long")
+    # a document's own row has a pre-token that no text has and no other document's row: its number after a null character and a blank
+    sums = parts.join(table.select("unit", "pieces"), "unit", "left")
+    sums = sums.groupBy("k").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), (F.max("own") + F.coalesce(F.sum(F.col("times") * F.col("pieces")), F.lit(0))).alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def _least(table: DataFrame) -> int:
+    """The least frequency that at most HEAD rows of ``table`` (n) reach, from counts by powers of two in sixteen steps."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    found, total = table.groupBy(step.alias("step")).agg(F.count("*").alias("c"), F.min("n").alias("n")).orderBy(F.desc("step")).collect(), 0
+    least = 2**62
+    for r in found:
+        total += r["c"]
+        if total > HEAD:
+            break
+        least = r["n"]
+    return least
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
     """Counts of all of ``documents``; over_limit beyond 4096 tokens."""
     from tracewell.llm.tokens import vocabulary
