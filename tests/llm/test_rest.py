@@ -36,11 +36,23 @@ def test_salvage(pack):
     assert got[1][1:3] == (size[0], size[1] + 4)  # the damaged record and the junk after it
     assert got[4][2] == size[4] // 2
     assert [x[0] for x in read(b"xx" + recs[0])] == ["gap", 0]
-    assert [x[0] for x in read(recs[0] + recs[1][:-9])] == [0, "gap"]
+    # of a member that lacks its end, the whole record is kept
+    assert [x[0] for x in read(recs[0] + recs[1][:-9])] == ([0, "gap"] if pack is bytes else [0, 1, "gap"])
     assert read(b"") == []
 
 
-def test_archives(spark):
+def test_salvage_of_a_member_with_many_records():
+    data = gzip.compress(b"".join(record(i, bytes(random.Random(i).choices(range(256), k=9000))) for i in range(6)), mtime=0)
+    cut_off, hurt = data[: len(data) * 2 // 3], bytearray(data)
+    hurt[len(data) // 2] ^= 0xFF
+    assert [x[0] for x in read(cut_off + data)] == [0, 1, 2, "gap", *range(6)]
+    got = [x[0] for x in read(bytes(hurt) + data)]
+    assert got[-7:] == ["gap", *range(6)] and got[:-7] == list(range(len(got) - 7)) and len(got) > 8
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_archives(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST", few)
     rows = [(5, "http://a", "<p>é</p>"), (9, "http://b", "<p>é</p>"), (7, None, "<p>é</p>"), (1, "http://c\r\nX: y", ""), (2, "u", None), (3, "u", "WARC/1.0\r\nnot a record\r\n\r\n"), (None, "u", "alone"), (-4, "u", "x" * 300_000), (None, "v", "two"), (12, "v", "two")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
     path = scratch(spark, "t")

@@ -3,12 +3,13 @@
 Writer: each row of pages is one WARC/1.0 record. Among equal payloads the one with the largest
 page_id is a response, the others are revisits that refer to it. Records are rows of Spark's text
 writer, whose line separator is the blank lines that end a WARC record, so the executors write
-ordinary .warc files of about ARCHIVE bytes to any file system.
+gzipped WARC files of about ARCHIVE bytes (before compression) to any file system.
 
 Reader: walks an archive from record to record, plain or gzip members. A record that fails a check
 (version line, headers, length, closing blank lines, block digest, member checksum) is not the end:
 the reader searches on for the next member or version line from which a record reads well, goes on
-from there, and logs the bytes between as a gap with the reason.
+from there, and logs the bytes between as a gap with the reason. Of a damaged member, the records
+before the damage are kept.
 
 Defined results: a null html is the empty payload; a null url is left out, line breaks in one are
 escaped; a null page_id is the least and comes back as null; rows with equal page_id and payload are
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tracewell.llm.common import scratch
+from tracewell.llm.common import scratch, staged
 
 ARCHIVE = 8_000_000
+#: Payloads with copies up to which their table is broadcast.
+BROADCAST = 200_000
 #: RFC 4648 alphabet. Fixed value.
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Record ids: an URN with the page's number.
@@ -68,26 +71,32 @@ def _record(kind: str, page: Column, url: Column, digest: Column, size: Column,
 def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
     """Archives of ``pages`` (page_id, url, html) below ``path``.
 
-    A revisit needs no payload, so only payloads of responses are shuffled with their key (unique),
-    and the revisits of a hot payload are slim rows that Spark may split.
+    The table of payloads that come more than once (digest and largest page_id) is broadcast below
+    BROADCAST rows: then payloads are written where they are read. Beyond, the payloads of
+    responses are shuffled by a unique key, and revisits, which need none, as slim rows that Spark
+    may split.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.select("page_id", "url", F.octet_length("html").cast("long").alias("size"), base32_sha1(F.col("html")).alias("digest"), "html")
-    same = F.col("size") >= least
-    top = rows.where(same).groupBy("digest").agg(F.max("page_id").alias("top"))
-    is_top = (rows["digest"] == top["digest"]) & rows["page_id"].eqNullSafe(top["top"])
-    first = rows.join(top, is_top, "left_semi").unionByName(rows.where(~same))
-    slim = rows.drop("html").where(same)
-    again = slim.join(top, (slim["digest"] == top["digest"]) & slim["page_id"].eqNullSafe(top["top"]), "left_anti").join(top, "digest")
+    again = staged(rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top", F.lit(True).alias("many")), "copies")
+    first = F.col("many").isNull() | F.col("page_id").eqNullSafe(F.col("top"))
     head = F.concat(F.lit(_HTTP), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     page, url, digest, size = (F.col(c) for c in ("page_id", "url", "digest", "size"))
-    response = first.select("page_id", _record("response", page, url, digest, size, F.concat(head, F.col("html")), [], date).alias("value"))
     refers = [F.lit(f"WARC-Profile: {_PROFILE}"), F.concat(F.lit(f"WARC-Refers-To: <{_ID}"), F.col("top").cast("string"), F.lit(">"))]
-    revisit = again.select("page_id", _record("revisit", page, url, digest, size, head, refers, date).alias("value"))
-    total = rows.agg(F.sum(F.col("size") + 600)).first()[0] or 0
-    files = int(total // ARCHIVE) + 1
-    response.union(revisit).repartition(files, F.xxhash64("page_id", F.lit("archive"))).select("value").write.option("lineSep", "\r\n\r\n").text(path)
+    revisit = _record("revisit", page, url, digest, size, head, refers, date)
+    if again.limit(BROADCAST + 1).count() <= BROADCAST:
+        both = rows.join(F.broadcast(again), "digest", "left")
+        out = both.select(F.when(first, _record("response", page, url, digest, size, F.concat(head, F.col("html")), [], date)).otherwise(revisit).alias("value"))
+    else:
+        key = again.select(F.col("digest").alias("d"), "top", "many")
+        tops = rows.join(key, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("top")), "left_semi")
+        alone = rows.join(key, F.col("digest") == F.col("d"), "left_anti")
+        slim = rows.drop("html").join(key, F.col("digest") == F.col("d")).where(~first)
+        out = alone.unionByName(tops).select(_record("response", page, url, digest, size, F.concat(head, F.col("html")), [], date).alias("value")).union(slim.select(revisit.alias("value")))
+    n, total = rows.agg(F.count("*"), F.sum(F.col("size") + 600)).first()
+    each = max(1, int(ARCHIVE * n / total)) if n else 1
+    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
 
 
 def _plain(buf: bytes, at: int) -> tuple[dict, int, int, int]:
@@ -118,53 +127,58 @@ def _plain(buf: bytes, at: int) -> tuple[dict, int, int, int]:
     return headers, begin, end, end + 4
 
 
-def _member(buf: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """Records of the gzip member at ``at`` and where it ends."""
-    z = zlib.decompressobj(31)
+def _member(buf: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int, str]:
+    """Records of the gzip member at ``at``, where it ends, and what is wrong with the rest of it, if anything."""
+    z, parts, p, why = zlib.decompressobj(31), [], at, ""
     try:
-        data = z.decompress(memoryview(buf)[at:]) + z.flush()
+        while not z.eof and p < len(buf):
+            parts.append(z.decompress(memoryview(buf)[p : p + 4096]))
+            p += 4096
+        why = "" if z.eof else "gzip member is cut off"
     except zlib.error as e:
-        raise ValueError(f"gzip member: {e}") from None
-    if not z.eof:
-        raise ValueError("gzip member is cut off")
-    found, p = [], 0
-    while p < len(data):
-        headers, begin, end, p = _plain(data, p)
-        found.append((headers, data[begin:end]))
-    return found, len(buf) - len(z.unused_data)
+        why = f"gzip member: {e}"
+    data, found, q = b"".join(parts), [], 0
+    try:
+        while q < len(data):
+            headers, begin, end, q = _plain(data, q)
+            found.append((headers, data[begin:end]))
+    except ValueError as e:
+        why = why or str(e)
+    return found, min(p, len(buf)) - len(z.unused_data), why
 
 
 def salvage(buf: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
     """offset, length, headers, block, reason of what an archive holds, in order.
 
-    A gap has no headers, but the reason why its first bytes were not read.
+    A gap has no headers, but the reason why its first bytes were not read. Records of a gzip
+    member have its offset and length.
     """
 
-    def read(at: int):
+    def read(at: int) -> tuple[list[tuple[dict, bytes]], int, str]:
         if buf[at : at + 1] == b"\x1f":
             return _member(buf, at)
-        headers, begin, end, after = _plain(buf, at)
-        return [(headers, buf[begin:end])], after
-
-    at, n = 0, len(buf)
-    while at < n:
         try:
-            found, after = read(at)
+            headers, begin, end, after = _plain(buf, at)
         except ValueError as e:
-            why, next_at = str(e), n
+            return [], at, str(e)
+        return [(headers, buf[begin:end])], after, ""
+
+    at, n, got = 0, len(buf), None
+    while at < n:
+        found, after, why = got or read(at)
+        got = None
+        if why:
+            # the next place from which a whole member or record reads well
             for m in _START.finditer(buf, at + 1):
-                try:
-                    found, after = read(m.start())
-                    next_at = m.start()
+                got = read(m.start())
+                if not got[2]:
                     break
-                except ValueError:
-                    continue
-            yield at, next_at - at, None, b"", why
-            if next_at == n:
-                return
-            at = next_at
+                got = None
+            after = m.start() if got else n
         for headers, block in found:
             yield at, after - at, headers, block, ""
+        if why:
+            yield at, after - at, None, b"", why
         at = after
 
 
