@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import zstandard
@@ -30,7 +31,7 @@ from tracewell.llm.common import bucket_of, in_tasks, order_bounds, running_star
 from tracewell.llm.tokens import encoder
 
 #: Ids that the rolling hash sees, bounds of a chunk's ids, and the mask whose zero is a cut.
-WINDOW, LEAST, MOST, MASK = 8, 64, 4096, 0xFF
+WINDOW, LEAST, MOST, MASK = 8, 128, 4096, 0x1FF
 _ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 2**64) for k in range(WINDOW)], dtype=np.uint64)
 
 
@@ -69,7 +70,7 @@ _STAGED = "rid long, doc_id long, n_tokens long, width int, chunks array<binary>
 
 
 def _chunked(path: str, end_id: int):
-    enc, seen, zstd = encoder(path), set(), zstandard.ZstdCompressor(level=3)
+    enc, seen, zstd = encoder(path), set(), zstandard.ZstdCompressor(level=1)
     width = 2 if max(enc.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
     def run(batch: dict) -> Iterator[dict]:
@@ -165,6 +166,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 _CRC = 0xEDB88320
 
 
+@lru_cache(maxsize=1)
 def _shifts() -> np.ndarray:
     """Row k maps each bit of a CRC to what it becomes after 2**k more zero bytes."""
 
@@ -235,10 +237,10 @@ def verified_sums(spark: SparkSession, path: str) -> DataFrame:
     not shuffled again.
     """
     recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
-    sums = in_tasks(chunks, _chunk_sums, "chunk binary, n_ids int, crc long")
+    sums = in_tasks(chunks, _chunk_sums, "chunk binary, n_ids int, crc long", 2000)
     got = _wanted(recipes).join(sums, "chunk", "left").groupBy("rid").agg(F.collect_list(F.struct("seq", "chunk", "n_ids", "crc")).alias("got"))
     whole = recipes.drop("chunks", "width").join(got, "rid", "left")
-    return in_tasks(whole, _document_sums, "doc_id long, rid long, start long, n_tokens long, ids_crc32 long")
+    return in_tasks(whole, _document_sums, "doc_id long, rid long, start long, n_tokens long, ids_crc32 long", 10_000)
 
 
 def op1_id_store(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:

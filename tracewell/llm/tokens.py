@@ -8,6 +8,7 @@ strings inside a text) the whole text goes through the library.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 from array import array
@@ -16,9 +17,9 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Units remembered by one Python worker, in each of two generations: a full one becomes the old
-#: one, from which units that come again are taken over.
-MEMO = 250_000
+#: Units and words remembered by one Python worker, in each of two generations: a full one becomes
+#: the old one, from which those that come again are taken over.
+MEMO, WORDS = 200_000, 400_000
 #: Characters of the longest unit that is remembered.
 LONGEST = 48
 
@@ -39,6 +40,8 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        # many small lists live for a moment, and none is part of a cycle
+        gc.set_threshold(200_000, 50, 100)
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -84,7 +87,7 @@ class Encoder:
                 got = array("I", [t.id for t in self.lib.model.tokenize(self.blank + word)]).tobytes()
             else:
                 got = self._ids(" " + word)
-        if len(self.known) >= MEMO:
+        if len(self.known) >= WORDS:
             self.known, self.old_known = {}, self.known
         self.known[word] = got
         return got
