@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, packing, quality, secrets, simhash
+from tracewell.llm import decontaminate, packing, quality, secrets, similar
 from tracewell.llm.common import staged
 from tracewell.llm.tokens import vocabulary
 
@@ -19,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least doc_id."""
-    return simhash.one_of_each(docs)
+    """Documents without one of a lower doc_id among those kept that shares 0.8 or more of their five-word shingles (Jaccard)."""
+    return similar.one_of_similar(docs)
 
 
 def no_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -237,10 +237,18 @@ def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
     (doc_id, t); their table is broadcast only below 200,000 rows.
     """
     rows = staged(near_duplicates(docs, words), "groups")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
-    best = rows.groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
+    return best_rows(docs, rows, rows.groupBy("root").agg(F.min(rank()).alias("best")))
+
+
+def rank() -> Column:
+    """Order in which rows (doc_id, t) are preferred: nulls are the last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+
+
+def best_rows(docs: DataFrame, rows: DataFrame, best: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are the ``best`` (root, best: a rank or null) of their root in ``rows`` (doc_id, t, root)."""
     each = rows.groupBy("root", "doc_id", "t").agg(F.count("*").alias("times")).join(best, "root")
-    each = staged(each.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("t").eqNullSafe(F.col("best.t"))).alias("_keep"), "times"), "groups")
+    each = staged(each.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("t").eqNullSafe(F.col("best.t")) & F.col("best").isNotNull()).alias("_keep"), "times"), "groups")
 
     def small(keys: DataFrame) -> DataFrame:
         keys = keys.select("_d", "_t")
