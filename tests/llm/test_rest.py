@@ -170,3 +170,16 @@ def test_pipeline(spark, tmp_path, docs, rows):
         if name == "decontamination":
             assert not [r for r in at.collect() if r["text"] and passage in r["text"].lower()]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_salvage_of_neighbouring_damaged_members():
+    def record(k):
+        return b"WARC/1.0\r\nWARC-Record-ID: <urn:x-page:%d>\r\nContent-Length: 2000\r\n\r\n" % k + bytes((k * 7 + i * i) % 251 for i in range(2000)) + b"\r\n\r\n"
+
+    def damaged(*ks):
+        return gzip.compress(b"".join(map(record, ks)) + b"no record")
+
+    buf = damaged(1, 2) + damaged(3, 4) + gzip.compress(record(5) + record(6))[:-6]
+    got = list(warc.salvage(buf))
+    assert [h["warc-record-id"] for _, _, h, _, _ in got if h] == [f"<urn:x-page:{k}>" for k in range(1, 7)]
+    assert sum(h is None for _, _, h, _, _ in got) == 3

@@ -168,10 +168,10 @@ def salvage(buf: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
         found, after, why = got or read(at)
         got = None
         if why:
-            # the next place from which a whole member or record reads well
+            # the next place from which at least one record reads well; what is wrong with the rest is a gap of its own
             for m in _START.finditer(buf, at + 1):
                 got = read(m.start())
-                if not got[2]:
+                if got[0]:
                     break
                 got = None
             after = m.start() if got else n
