@@ -149,3 +149,16 @@ def test_fingerprint_is_homomorphic(spark):
     df = spark.createDataFrame([(v[0]["lanes"], v[1]["lanes"], v[4]["lanes"], v[5]["lanes"])], "a array<long>, b array<long>, c array<long>, d array<long>")
     r = df.select(fingerprints.combined(F.col("a"), F.col("b")).alias("sum"), fingerprints.combined(F.col("c"), F.col("d"), -1).alias("less")).first()
     assert r["sum"] == v[2]["lanes"] and r["less"] == v[2]["lanes"] != v[4]["lanes"]
+
+
+def test_likeness_at_any_length(spark):
+    for n in (10, 1000, 50_000):
+        a = [f"line {i} of the text" for i in range(n)]
+        half = a[: n // 2] + [f"other {i} of the text" for i in range(n - n // 2)]
+        few = a[: n - n // 10] + [f"other {i} of the text" for i in range(n // 10)]
+        rows = [(0, "\n".join(a)), (1, "\n".join(half)), (2, "\n".join(few)), (3, "\n".join(a))]
+        v = {r["k"]: r["cells"] for r in fingerprints.vectors(spark.createDataFrame(rows, "k int, s string"), ["k"], "s").collect()}
+        df = spark.createDataFrame([(v[0], v[1], v[2], v[3])], "a array<long>, b array<long>, c array<long>, d array<long>")
+        half, few, all_ = df.select(*[fingerprints.likeness(F.col("a"), F.col(c)) for c in "bcd"]).first()
+        # of shared and changed paragraphs, the share that is shared: 1/3 and 9/11
+        assert all_ == 1 and abs(half - 1 / 3) < 0.3 and abs(few - 9 / 11) < 0.3 and half < few, (n, half, few)

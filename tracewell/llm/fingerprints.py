@@ -8,8 +8,8 @@ have equal vectors.
 
 LANES lanes of 32 bits take every paragraph: they are the fingerprint. STRATA x CELLS more lanes tell
 how alike two documents are: a paragraph falls into one stratum (half of them into the first, a
-quarter into the second, ...) and one cell of it, so documents of any length have cells with about
-one paragraph; the share of equal cells among those estimates the share of common paragraphs.
+quarter into the second, ...) and one cell of it, so documents of up to some 2**STRATA paragraphs
+have cells with about one paragraph; the share of equal cells among those estimates the share of common paragraphs.
 
 Everything is DataFrame functions; there is one shuffle of texts, by ranges of doc_id.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import bucket_of, order_bounds
 
-LANES, STRATA, CELLS = 8, 8, 8
+LANES, STRATA, CELLS = 8, 22, 8
 #: Documents of an ordering bucket, which carries whole texts.
 ROWS_PER_BUCKET = 1000
 _LOW = 0xFFFFFFFF
@@ -53,7 +53,7 @@ def _cells(unit: Column) -> tuple[Column, Column]:
     stratum = F.lit(STRATA - 1)
     for s in reversed(range(STRATA - 1)):
         stratum = F.when(low.bitwiseAND(F.lit((1 << (s + 1)) - 1)) == (1 << s), s).otherwise(stratum)
-    cell = stratum * CELLS + F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(CELLS - 1))
+    cell = stratum * CELLS + F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(CELLS - 1))
     return cell.cast("int"), F.shiftrightunsigned(h, 40) + F.lit(1 << 40)
 
 
