@@ -2,17 +2,23 @@
 
 A rolling hash over the id stream of a document cuts it where the content says so, so equal
 passages give equal chunks wherever they stand. A chunk is stored once, under the SHA-256 of its
-bytes; a document is a recipe (the digests of its chunks, in order) with a Merkle root over them;
-a manifest holds the Merkle roots of the recipe ranges.
+bytes; a document is a recipe (the digests of its chunks, in order) with a Merkle root over them.
+A manifest holds the Merkle tree above the roots of all documents: level 0 has a node for each
+BLOCK documents that follow each other, level k one for each BLOCK nodes of level k-1, up to one root.
 
-File format, all below one folder: ``chunks/`` (chunk binary(32): the digest, n_ids, width, ids: a
-zstd frame of little-endian unsigned integers of 2 or 4 bytes), ``recipes/`` (doc_id, rid, start, n_tokens, width, chunks
-array<binary>, root; files in ascending doc_id order) and ``manifest/`` (one row per range of
-recipes: bucket, documents, tokens, root), as Parquet.
+File format, all below one folder, as Parquet: ``objects/kind=chunk`` (key: the digest, n_ids, width,
+ids: a zstd frame of little-endian unsigned integers of 2 or 4 bytes), ``recipes/`` (doc_id, pos,
+start, n_tokens, width, chunks array<binary>, root; files in ascending doc_id order) and
+``manifest/`` (level, block, documents, tokens, root). ``objects/kind=draft`` has the recipes as the
+tasks wrote them, before their order was known.
+
+Reading puts every document together from its chunks, checks each chunk against its digest and each
+document against its root, and the recipes against the manifest, so that a lost or doubled recipe
+file is told.
 
 Defined results: a null text is the empty one; each document ends with ``end_id``, so no recipe is
-empty; repeated rows are documents of their own, ordered among themselves by staging order; a null
-doc_id comes first; an empty table gives an empty store; further columns are ignored.
+empty; repeated rows are documents of their own, ordered among themselves by the order of reading; a
+null doc_id comes first; an empty table gives an empty store; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,34 +26,45 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bucket_of, in_tasks, order_bounds, running_start, scratch, staged
-from tracewell.llm.tokens import encoder
+from tracewell.llm.common import in_arrow, in_tasks, running_start, scratch, shuffles_freed, staged
+from tracewell.llm.tokens import encoder, width_of
 
 #: Ids that the rolling hash sees, bounds of a chunk's ids, and the mask whose zero is a cut.
 WINDOW, LEAST, MOST, MASK = 8, 128, 4096, 0x1FF
+#: Children of a node of the manifest.
+BLOCK = 1024
 _ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 2**64) for k in range(WINDOW)], dtype=np.uint64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: where the hash of the last WINDOW ids has MASK's bits zero."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    h = np.zeros(n - WINDOW + 1, np.uint64)
-    for k in range(WINDOW):
-        h += x[k : n - WINDOW + 1 + k] * _ODD[k]
-    at = np.flatnonzero(((h >> np.uint64(40)) & np.uint64(MASK)) == 0) + WINDOW
+def candidates(ids: np.ndarray) -> np.ndarray:
+    """Positions behind which a chunk may end: where the hash of the last WINDOW ids has MASK's bits zero."""
+    out = []
+    for at in range(0, max(0, len(ids) - WINDOW + 1), 1 << 18):
+        x = (ids[at : at + (1 << 18) + WINDOW - 1].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        n = len(x) - WINDOW + 1
+        h = x[:n] * _ODD[0]
+        for k in range(1, WINDOW):
+            h += x[k : n + k] * _ODD[k]
+        out.append(np.flatnonzero(((h >> np.uint64(40)) & np.uint64(MASK)) == 0) + (at + WINDOW))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def cuts(n: int, at: list[int]) -> list[int]:
+    """Ends of the chunks of ``n`` ids with the candidates ``at``.
+
+    No chunk is shorter than LEAST, which is over WINDOW, but a document's last one: so a candidate
+    whose window began in the document before is never taken.
+    """
     out, last = [], 0
-    for c in [*at.tolist(), n]:
+    for c in [*at, n]:
         while c - last > MOST:
             last += MOST
             out.append(last)
@@ -66,181 +83,142 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
-_STAGED = "rid long, doc_id long, n_tokens long, width int, chunks array<binary>, sizes array<int>, ids array<binary>, root binary"
+_OBJECTS = "kind string, key binary, rid long, doc_id long, n_tokens long, width int, chunks array<binary>, root binary, n_ids int, ids binary"
 
 
-def _chunked(path: str, end_id: int):
+def _objects(path: str, end_id: int):
+    """Of each document a draft of its recipe, and its chunks, those that this task has sent before left out."""
     enc, seen, zstd = encoder(path), set(), zstandard.ZstdCompressor(level=1)
-    width = 2 if max(enc.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-
-    def run(batch: dict) -> Iterator[dict]:
-        out: dict[str, list] = {k: [] for k in ("rid", "doc_id", "n_tokens", "width", "chunks", "sizes", "ids", "root")}
-        for text in batch["text"]:
-            ids = np.append(enc.encode(text), np.uint32(end_id))
-            data, digests, sizes, bodies, last = ids.astype(f"<u{width}").tobytes(), [], [], [], 0
-            for c in cuts(ids):
-                body = data[last * width : c * width]
+    width = width_of(enc, end_id)
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        ids, starts = enc.encode_all(batch["text"], end_id)
+        ends = candidates(ids)
+        bounds, data = np.searchsorted(ends, starts, "right"), memoryview(ids.astype(f"<u{width}")).cast("B")
+        docs: dict[str, list] = {k: [] for k in ("n_tokens", "chunks", "root")}
+        new: dict[str, list] = {k: [] for k in ("key", "n_ids", "ids")}
+        starts, ends = starts.tolist(), ends.tolist()
+        for i, (a, b) in enumerate(zip(starts, starts[1:])):
+            digests, last = [], 0
+            for c in cuts(b - a, [x - a for x in ends[bounds[i] : bounds[i + 1]] if x < b]):
+                body = data[(a + last) * width : (a + c) * width]
                 digest = hashlib.sha256(body).digest()
                 digests.append(digest)
-                sizes.append(c - last)
-                # a chunk that this task has sent before is not sent again
-                bodies.append(None if digest in seen else zstd.compress(body))
-                if len(seen) < 200_000:
-                    seen.add(digest)
+                if digest not in seen:
+                    for k, v in (("key", digest), ("n_ids", c - last), ("ids", zstd.compress(body))):
+                        new[k].append(v)
+                    if len(seen) < 200_000:
+                        seen.add(digest)
                 last = c
-            for k, v in (("n_tokens", len(ids)), ("width", width), ("chunks", digests), ("sizes", sizes), ("ids", bodies), ("root", merkle(digests))):
-                out[k].append(v)
-        yield out | {"rid": batch["rid"], "doc_id": batch["doc_id"]}
+            for k, v in (("n_tokens", b - a), ("chunks", digests), ("root", merkle(digests))):
+                docs[k].append(v)
+        rid = batch["rid"]
+        key = [x.to_bytes(8, "big", signed=True) for x in rid.to_pylist()]
+        n, m = len(key), len(new["key"])
+        yield docs | {"kind": ["draft"] * n, "key": key, "rid": rid, "doc_id": batch["doc_id"], "width": [width] * n, "n_ids": [None] * n, "ids": [None] * n}
+        yield new | {"kind": ["chunk"] * m, "rid": [None] * m, "doc_id": [None] * m, "n_tokens": [None] * m, "width": [width] * m, "chunks": [None] * m, "root": [None] * m}
 
     return run
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
-    """Encodes ``docs`` (doc_id, text) and writes the store below ``path``.
-
-    Two shuffles: chunk bodies by digest (each task sends a chunk once, so a text that fills a third
-    of the rows costs one body per task), and slim recipes by doc_id range.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    first = staged(in_tasks(rows, lambda: _chunked(tokenizer, end_id), _STAGED), "ids")
-    bodies = first.select("width", F.explode(F.arrays_zip("chunks", "sizes", "ids")).alias("c")).where("c.ids is not null")
-    bodies = bodies.select(F.col("c.chunks").alias("chunk"), F.col("c.sizes").alias("n_ids"), "width", F.col("c.ids").alias("ids"))
-    bodies.dropDuplicates(["chunk"]).write.parquet(f"{path}/chunks")
-    starts = running_start(first.select("doc_id", "rid", "n_tokens"), ["doc_id", "rid"], "n_tokens", "start").select("rid", "start")
-    recipes = first.drop("ids", "sizes").join(starts, "rid")
-    bounds = order_bounds(first.select("doc_id"), "doc_id")
-    recipes = recipes.repartitionByRange(len(bounds) + 1, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "rid")
-    recipes.select("doc_id", "rid", "start", "n_tokens", "width", "chunks", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    written = docs.sparkSession.read.parquet(f"{path}/recipes").withColumn("bucket", bucket_of(F.col("doc_id"), bounds))
-    tree = written.groupBy("bucket", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(64)).alias("part")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.sort_array(F.collect_list(F.struct("doc_id", "rid", "root"))).alias("r"))
-    leaf = tree.select("bucket", "part", "n", "t", F.sha2(F.array_join(F.transform("r", lambda x: F.hex(x["root"])), ""), 256).alias("root"))
-    top = leaf.groupBy("bucket").agg(F.sum("n").alias("documents"), F.sum("t").alias("tokens"), F.sort_array(F.collect_list(F.struct("part", "root"))).alias("r"))
-    top.select("bucket", "documents", "tokens", F.sha2(F.array_join("r.root", ""), 256).alias("root")).write.parquet(f"{path}/manifest")
-
-
-def _body(frame: bytes, digest: bytes, n: int, width: int) -> np.ndarray:
-    """Ids of a stored chunk; raises where they are not those of its digest."""
-    body = zstandard.decompress(frame)
-    if hashlib.sha256(body).digest() != digest or len(body) != n * width:
-        raise ValueError(f"chunk {digest.hex()}: its ids do not match its digest")
-    return np.frombuffer(body, f"<u{width}").astype("<u4")
-
-
-def _check_recipe(doc_id, n: int, root: bytes, digests: list[bytes], sizes: list[int]) -> None:
-    if merkle(digests) != root or sum(sizes) != n:
-        raise ValueError(f"document {doc_id}: its chunks do not match its Merkle root")
-
-
-def _documents():
-    """Puts the chunks of a document together again."""
-
+def _roots():
     def run(batch: dict) -> Iterator[dict]:
-        whole = []
-        for doc_id, n, root, got in zip(batch["doc_id"], batch["n_tokens"], batch["root"], batch["got"]):
-            got = sorted(got, key=lambda x: x["seq"])
-            ids = [_body(x["ids"], x["chunk"], x["n_ids"], x["width"]) for x in got]
-            _check_recipe(doc_id, n, root, [x["chunk"] for x in got], [len(x) for x in ids])
-            whole.append(b"".join(x.tobytes() for x in ids))
-        yield {k: batch[k] for k in ("doc_id", "rid", "start", "n_tokens")} | {"ids": whole}
+        yield {k: batch[k] for k in ("level", "block", "documents", "tokens")} | {"root": [merkle([x["root"] for x in r]) for r in batch["r"]]}
 
     return run
 
 
-def _wanted(recipes: DataFrame) -> DataFrame:
-    return recipes.select("rid", F.posexplode("chunks").alias("seq", "chunk"))
-
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """Nodes of the Merkle tree over ``recipes`` (pos, n_tokens, root): level, block, documents, tokens, root.
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a store, rebuilt from its files and verified: doc_id, rid, start, n_tokens, ids.
-
-    ``ids`` holds little-endian unsigned 32-bit integers. A body read for many documents (a hot
-    chunk) is on the unique side of the join, whose other side Spark may split.
+    A node is made of at most BLOCK rows, if no position is there twice. Levels end with a single node.
     """
-    recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
-    got = _wanted(recipes).join(chunks, "chunk", "left").groupBy("rid").agg(F.collect_list(F.struct("seq", "chunk", "n_ids", "width", "ids")).alias("got"))
-    whole = recipes.drop("chunks", "width").join(got, "rid", "left")
-    return in_tasks(whole, _documents, "doc_id long, rid long, start long, n_tokens long, ids binary", 500)
-
-
-#: Polynomial of CRC-32, reflected. Fixed value.
-_CRC = 0xEDB88320
-
-
-@lru_cache(maxsize=1)
-def _shifts() -> np.ndarray:
-    """Row k maps each bit of a CRC to what it becomes after 2**k more zero bytes."""
-
-    def times(m: list[int], v: int) -> int:
-        out, j = 0, 0
-        while v:
-            if v & 1:
-                out ^= m[j]
-            v, j = v >> 1, j + 1
-        return out
-
-    bit = [_CRC, *[1 << j for j in range(31)]]
-    for _ in range(3):
-        bit = [times(bit, x) for x in bit]
-    rows = []
-    for _ in range(48):
-        rows.append(bit)
-        bit = [times(bit, x) for x in bit]
-    return np.array(rows, np.uint32)
-
-
-def crc_shifted(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """What stretches with these CRCs add to the CRC of a whole, ``after`` bytes before its end."""
-    table, crc, k = _shifts(), crc.astype(np.uint32), 0
-    while (after >> k).any():
-        on = ((after >> k) & 1).astype(bool)
-        v, out = crc[on], np.zeros(int(on.sum()), np.uint32)
-        for j in range(32):
-            out ^= np.where((v >> np.uint32(j)) & np.uint32(1), table[k, j], np.uint32(0))
-        crc[on] = out
-        k += 1
-    return crc
-
-
-def _chunk_sums():
-    def run(batch: dict) -> Iterator[dict]:
-        ids = [_body(f, d, n, w) for f, d, n, w in zip(batch["ids"], batch["chunk"], batch["n_ids"], batch["width"])]
-        yield {"chunk": batch["chunk"], "n_ids": batch["n_ids"], "crc": [zlib.crc32(x.tobytes()) for x in ids]}
+    below, level, out = recipes.select("pos", F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens"), "root"), 0, None
+    while True:
+        block = F.floor(F.col("pos") / BLOCK).cast("long").alias("block")
+        nodes = below.groupBy(block).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("pos", "root"))).alias("r"))
+        nodes = staged(in_tasks(nodes.withColumn("level", F.lit(level)), _roots, "level int, block long, documents long, tokens long, root binary", 100), "manifest")
+        out = nodes if out is None else out.union(nodes)
+        if nodes.limit(2).count() < 2:
+            return out
+        below, level = nodes.select(F.col("block").alias("pos"), "documents", "tokens", "root"), level + 1
 
-    return run
 
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+    """Encodes ``docs`` (doc_id, text) and writes the store below ``path``.
 
-def _document_sums():
-    def run(batch: dict) -> Iterator[dict]:
-        crc, after, first = [], [], []
-        for doc_id, n, root, got in zip(batch["doc_id"], batch["n_tokens"], batch["root"], batch["got"]):
-            got = sorted(got, key=lambda x: x["seq"])
-            sizes = [x["n_ids"] or 0 for x in got]
-            _check_recipe(doc_id, n, root, [x["chunk"] for x in got], sizes)
-            first.append(len(crc))
-            left = n
-            for x, size in zip(got, sizes):
-                left -= size
-                crc.append(x["crc"])
-                after.append(4 * left)
-        sums = np.bitwise_xor.reduceat(crc_shifted(np.array(crc, np.uint64), np.array(after, np.int64)), first) if first else []
-        yield {k: batch[k] for k in ("doc_id", "rid", "start", "n_tokens")} | {"ids_crc32": [int(x) for x in sums]}
+    Two shuffles: chunk bodies by digest (each task sends a chunk once, so a text that fills a third
+    of the rows costs one body per task), and slim recipes by position.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    with shuffles_freed(spark):
+        objects = in_arrow(rows, lambda: _objects(tokenizer, end_id), _OBJECTS, 10_000)
+        objects.dropDuplicates(["kind", "key"]).write.partitionBy("kind").parquet(f"{path}/objects")
+        drafts = _objects_of(spark, path, "draft").select("doc_id", "rid", "n_tokens", "width", "chunks", "root")
+        places = running_start(drafts.select("doc_id", "rid", "n_tokens", F.lit(1).alias("one")), ["doc_id", "rid"], ["n_tokens", "one"], ["start", "pos"]).select("rid", "start", "pos")
+        recipes = drafts.join(places, "rid")
+        files = max(1, drafts.count() // 20_000)
+        recipes = recipes.repartitionByRange(files, "pos").sortWithinPartitions("pos")
+        recipes.select("doc_id", "pos", "start", "n_tokens", "width", "chunks", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
+        manifest_of(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+
+
+def _objects_of(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(_OBJECTS).parquet(f"{path}/objects").where(F.col("kind") == kind).drop("kind")
+
+
+def _faults(spark: SparkSession, path: str, recipes: DataFrame) -> list[tuple[int, int]]:
+    """Level and block of up to ten nodes in which ``recipes`` and the stored manifest differ."""
+    names = ["documents", "tokens", "root"]
+    have = manifest_of(recipes).select("level", "block", F.struct(*names).alias("have"))
+    want = spark.read.parquet(f"{path}/manifest").select("level", "block", F.struct(*names).alias("want"))
+    both = have.join(want, ["level", "block"], "full").where(~F.col("have").eqNullSafe(F.col("want")))
+    return [tuple(r) for r in both.select("level", "block").orderBy("level", "block").limit(10).collect()]
+
+
+def _documents(with_ids: bool):
+    """Puts the chunks of documents together again; an error tells what does not match."""
+    zstd = zstandard.ZstdDecompressor()
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        got = batch["got"]
+        x = pa.RecordBatch.from_struct_array(got.flatten())
+        seq, width, n_ids = (x[c].to_numpy(zero_copy_only=False) for c in ("seq", "width", "n_ids"))
+        digests, frames = x["chunk"].to_pylist(), x["ids"].to_pylist()
+        ends, out = np.asarray(got.offsets) - got.offsets[0].as_py(), []
+        for i, (doc_id, n, root) in enumerate(zip(batch["doc_id"].to_pylist(), batch["n_tokens"].to_pylist(), batch["root"].to_pylist())):
+            parts = []
+            for j in (np.argsort(seq[ends[i] : ends[i + 1]]) + ends[i]).tolist():
+                body = zstd.decompress(frames[j]) if frames[j] is not None else b""
+                if hashlib.sha256(body).digest() != digests[j] or len(body) != n_ids[j] * width[j]:
+                    raise ValueError(f"chunk {digests[j].hex()}: its ids are not there or do not match its digest")
+                parts.append((digests[j], np.frombuffer(body, f"<u{int(width[j])}").astype("<u4")))
+            ids = np.concatenate([p for _, p in parts])
+            if merkle([d for d, _ in parts]) != root or len(ids) != n:
+                raise ValueError(f"document {doc_id}: its chunks do not match its Merkle root")
+            out.append(ids.tobytes() if with_ids else zlib.crc32(ids))
+        yield {k: batch[k] for k in ("doc_id", "pos", "start", "n_tokens")} | {"ids" if with_ids else "ids_crc32": out}
 
     return run
 
 
-def verified_sums(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a store with the CRC-32 of their ids (as little-endian unsigned 32-bit integers):
-    doc_id, rid, start, n_tokens, ids_crc32.
+def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Documents of a store, put together from its files and verified: doc_id, pos, start, n_tokens and
+    ids (little-endian unsigned 32-bit integers) or, without them, ids_crc32.
 
-    Every stored chunk is read and checked against its digest once, and every recipe against its
-    Merkle root; the CRC of a document follows from those of its chunks in their order, so ids are
-    not shuffled again.
+    A body read for many documents (a hot chunk) is on the unique side of the join, whose other side
+    Spark may split. Raises ValueError where the recipes are not those of the manifest.
     """
-    recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
-    sums = in_tasks(chunks, _chunk_sums, "chunk binary, n_ids int, crc long", 2000)
-    got = _wanted(recipes).join(sums, "chunk", "left").groupBy("rid").agg(F.collect_list(F.struct("seq", "chunk", "n_ids", "crc")).alias("got"))
-    whole = recipes.drop("chunks", "width").join(got, "rid", "left")
-    return in_tasks(whole, _document_sums, "doc_id long, rid long, start long, n_tokens long, ids_crc32 long", 10_000)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    wrong = _faults(spark, path, recipes)
+    if wrong:
+        raise ValueError(f"recipes do not match the manifest at (level, block) {wrong}")
+    keys = ["doc_id", "pos", "start", "n_tokens", "root"]
+    wanted = recipes.select(*keys, F.posexplode("chunks").alias("seq", "chunk"))
+    chunks = _objects_of(spark, path, "chunk").select(F.col("key").alias("chunk"), "n_ids", "width", "ids")
+    whole = wanted.join(chunks, "chunk", "left").groupBy(*keys).agg(F.collect_list(F.struct("seq", "chunk", "n_ids", "width", "ids")).alias("got"))
+    return in_arrow(whole, lambda: _documents(with_ids), f"doc_id long, pos long, start long, n_tokens long, {'ids binary' if with_ids else 'ids_crc32 long'}", 500)
 
 
 def op1_id_store(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
@@ -249,4 +227,4 @@ def op1_id_store(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49
 
     path = scratch(spark, "store")
     write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, vocabulary(tokenizer), end_id=1)
-    return verified_sums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_store(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import in_tasks, pieces
+from tracewell.llm.common import in_tasks
 
 SAMPLE, ISLANDS, CONTEXT = 4000, 40, 80
 KINDS = ("assign", "access", "hex", "crf")
@@ -321,7 +321,7 @@ def redact(docs: DataFrame, crf: Field) -> DataFrame:
         return pd.Series([redacted(t, all_spans(t, shared.value)) for t in text], dtype=object)
 
     new = cleaned(docs["text"].cast("string"))
-    out = pieces(docs).withColumns({"text": new})
+    out = docs.withColumns({"text": new})
     if "n_chars" in docs.columns:
         out = out.withColumns({"n_chars": F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))})
     return out
