@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -41,6 +42,34 @@ def test_salvage(pack):
     assert read(b"") == []
 
 
+def test_quoted_records_are_not_taken():
+    inner = record(7, b"quoted")
+    recs = [record(0, b"a" * 50), record(1, b"start " + inner + b" end"), record(2, b"c")]
+    hurt = bytearray(b"".join(recs))
+    hurt[len(recs[0]) + recs[1].index(b"start")] ^= 1
+    assert [x[0] for x in read(bytes(hurt))] == [0, "gap", 2]
+    assert [x[0] for x in read(b"".join(gzip.compress(r, 0) for r in recs))] == [0, 1, 2]
+
+
+def test_one_damaged_byte_costs_one_record(spark):
+    pages = spark.createDataFrame([(i, f"http://{i}", f"page {i} " * (i % 50)) for i in range(300)], "page_id long, url string, html string")
+    path = scratch(spark, "t")
+    warc.write_archives(pages.repartition(1), path)
+    (file,) = Path(path.removeprefix("file:")).glob("part-*")
+    data = bytearray(file.read_bytes())
+    assert gzip.decompress(bytes(data)).count(b"WARC/1.0") == 300
+    data[len(data) // 3] ^= 0x55
+    hurt = scratch(spark, "t").removeprefix("file:")
+    Path(hurt).mkdir(parents=True)
+    (Path(hurt) / "one.warc.gz").write_bytes(data)
+    got = warc.read_archives(spark, hurt).collect()
+    whole = {tuple(r) for r in warc.pages_of(warc.read_archives(spark, path)).collect()}
+    left = {tuple(r) for r in warc.pages_of(warc.read_archives(spark, hurt)).collect()}
+    assert left < whole and len(whole - left) == 1
+    (gap,) = [r for r in got if r["gap"]]
+    assert gap["offset"] <= len(data) // 3 < gap["offset"] + gap["length"]
+
+
 def test_salvage_of_a_member_with_many_records():
     data = gzip.compress(b"".join(record(i, bytes(random.Random(i).choices(range(256), k=9000))) for i in range(6)), mtime=0)
     cut_off, hurt = data[: len(data) * 2 // 3], bytearray(data)

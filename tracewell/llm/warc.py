@@ -1,15 +1,18 @@
 """WARC archives: a writer with payload deduplication and a reader that salvages damaged files.
 
-Writer: each row of pages is one WARC/1.0 record. Among equal payloads the one with the largest
-page_id is a response, the others are revisits that refer to it. Records are rows of Spark's text
-writer, whose line separator is the blank lines that end a WARC record, so the executors write
-gzipped WARC files of about ARCHIVE bytes (before compression) to any file system.
+Writer: each row of pages is one WARC/1.0 record, and each record is a gzip member of its own. Among
+equal payloads the one with the largest page_id is a response, the others are revisits that refer
+to it. Members are rows of Spark's text writer, whose line separator is a gzip member of an empty
+text, so the executors write valid archives of about ARCHIVE bytes (before compression) to any file
+system that Spark can write to.
 
 Reader: walks an archive from record to record, plain or gzip members. A record that fails a check
 (version line, headers, length, closing blank lines, block digest, member checksum) is not the end:
-the reader searches on for the next member or version line from which a record reads well, goes on
-from there, and logs the bytes between as a gap with the reason. Of a damaged member, the records
-before the damage are kept.
+the reader searches on for the next member (of a compressed archive) or version line (of a plain one)
+from which a record reads well, goes on from there, and logs the bytes between as a gap with the
+reason. A plain record whose length leads to the next version line, so that only its block is
+damaged, is left as a whole: records quoted in its payload are not taken for records of the archive.
+Of a damaged member that holds several records, those before the damage are kept.
 
 Defined results: a null html is the empty payload; a null url is left out, line breaks in one are
 escaped; a null page_id is the least and comes back as null; rows with equal page_id and payload are
@@ -32,40 +35,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tracewell.llm.common import scratch, staged
+from tracewell.llm.common import in_arrow, scratch, staged
 
 ARCHIVE = 8_000_000
 #: Payloads with copies up to which their table is broadcast.
 BROADCAST = 200_000
-#: RFC 4648 alphabet. Fixed value.
-_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Deflate level of members.
+LEVEL = 3
 #: Record ids: an URN with the page's number.
 _ID = "urn:x-page:"
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_MEMBER = re.compile(rb"\x1f\x8b\x08")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 SHA-1: 20 bytes are four groups of 40 bits, of eight digits each."""
-    h = F.sha1(data.cast("binary"))
-    out = []
-    for g in range(4):
-        v = F.conv(F.substring(h, g * 10 + 1, 10), 16, 10).cast("long")
-        out += [F.substring(F.lit(_B32), F.shiftright(v, 35 - 5 * k).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for k in range(8)]
-    return F.concat(*out)
+def _member_of(record: bytes) -> bytes:
+    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return z.compress(record) + z.flush()
+
+
+def _base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
 
 
-def _record(kind: str, page: Column, url: Column, digest: Column, size: Column, block: Column, more: list[Column], date: str) -> Column:
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    uri = F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
+def _record(page: int | None, url: str | None, sha1: str, size: int, html: str | None, top: int | None, date: str) -> bytes:
+    """A response, or a revisit to page ``top`` if that is given."""
+    name = lambda p: f"<{_ID}{'null' if p is None else p}>"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (html or "").encode()
     lines = [
-        F.lit("WARC/1.0"), F.lit(f"WARC-Type: {kind}"), F.concat(F.lit(f"WARC-Record-ID: <{_ID}"), name(page), F.lit(">")), F.lit(f"WARC-Date: {date}"),
-        F.concat(F.lit("WARC-Target-URI: "), uri), F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest),
-        F.concat(F.lit("WARC-Block-Digest: sha1:"), base32_sha1(block)), F.concat(F.lit("X-Payload-Length: "), size.cast("string")), *more, F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
+        "WARC/1.0", f"WARC-Type: {'response' if top is None else 'revisit'}", f"WARC-Record-ID: {name(page)}", f"WARC-Date: {date}",
+        *([] if url is None else ["WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A")]), "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{_base32(bytes.fromhex(sha1))}",
+        f"WARC-Block-Digest: sha1:{_base32(hashlib.sha1(block).digest())}", f"X-Payload-Length: {size}", *([] if top is None else [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {name(top)}"]), f"Content-Length: {len(block)}",
     ]
-    return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _members(date: str):
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        rows = zip(*(batch[c].to_pylist() for c in ("page_id", "url", "sha1", "size", "html", "top")))
+        out = [_member_of(_record(*r, date)) for r in rows]
+        yield {"value": pa.array(out, pa.binary()).view(pa.string())}
+
+    return run
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -78,52 +90,57 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "197
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.select("page_id", "url", F.octet_length("html").cast("long").alias("size"), base32_sha1(F.col("html")).alias("digest"), "html")
-    again = staged(rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top", F.lit(True).alias("many")), "copies")
+    rows = rows.select("page_id", "url", F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").cast("long").alias("size"), "html")
+    again = staged(rows.where(F.col("size") >= least).groupBy("sha1").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select(F.col("sha1").alias("d"), "top", F.lit(True).alias("many")), "copies")
     first = F.col("many").isNull() | F.col("page_id").eqNullSafe(F.col("top"))
-    head = F.concat(F.lit(_HTTP), F.col("size").cast("string"), F.lit("\r\n\r\n"))
-    page, url, digest, size = (F.col(c) for c in ("page_id", "url", "digest", "size"))
-    refers = [F.lit(f"WARC-Profile: {_PROFILE}"), F.concat(F.lit(f"WARC-Refers-To: <{_ID}"), F.col("top").cast("string"), F.lit(">"))]
-    revisit = _record("revisit", page, url, digest, size, head, refers, date)
+    columns = ["page_id", "url", "sha1", "size"]
     if again.limit(BROADCAST + 1).count() <= BROADCAST:
-        both = rows.join(F.broadcast(again), "digest", "left")
-        out = both.select(F.when(first, _record("response", page, url, digest, size, F.concat(head, F.col("html")), [], date)).otherwise(revisit).alias("value"))
+        both = rows.join(F.broadcast(again), F.col("sha1") == F.col("d"), "left")
+        out = both.select(*columns, F.when(first, F.col("html")).alias("html"), F.when(~first, F.col("top")).alias("top"))
     else:
-        key = again.select(F.col("digest").alias("d"), "top", "many")
-        tops = rows.join(key, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("top")), "left_semi")
-        alone = rows.join(key, F.col("digest") == F.col("d"), "left_anti")
-        slim = rows.drop("html").join(key, F.col("digest") == F.col("d")).where(~first)
-        out = alone.unionByName(tops).select(_record("response", page, url, digest, size, F.concat(head, F.col("html")), [], date).alias("value")).union(slim.select(revisit.alias("value")))
+        tops = rows.join(again, (F.col("sha1") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("top")), "left_semi")
+        alone = rows.join(again, F.col("sha1") == F.col("d"), "left_anti")
+        slim = rows.drop("html").join(again, F.col("sha1") == F.col("d")).where(~first)
+        out = alone.unionByName(tops).withColumn("top", F.lit(None).cast("long")).unionByName(slim.select(*columns, F.lit(None).cast("string").alias("html"), "top"))
     n, total = rows.agg(F.count("*"), F.sum(F.col("size") + 600)).first()
     each = max(1, int(ARCHIVE * n / total)) if n else 1
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    text = in_arrow(out, lambda: _members(date), "value string", 500).write.option("encoding", "ISO-8859-1").option("lineSep", _member_of(b"").decode("latin-1"))
+    text.option("maxRecordsPerFile", each).text(path)
+
+
+class Damage(ValueError):
+    """What is wrong with a record; ``end``: where it ends nevertheless, if that is certain."""
+
+    def __init__(self, why: str, end: int | None = None):
+        super().__init__(why)
+        self.end = end
 
 
 def _plain(buf: bytes, at: int) -> tuple[dict, int, int, int]:
     """Headers, block start, block end and record end of the record at ``at``; ValueError says what is wrong."""
     m = _VERSION.match(buf, at)
     if not m:
-        raise ValueError("no version line")
+        raise Damage("no version line")
     stop = buf.find(b"\r\n\r\n", m.end())
     if stop < 0:
-        raise ValueError("headers do not end")
+        raise Damage("headers do not end")
     headers = {}
     for line in buf[m.end() : stop].split(b"\r\n"):
         k, colon, v = line.partition(b":")
         if not colon:
-            raise ValueError("header without a colon")
+            raise Damage("header without a colon")
         headers[k.decode("latin-1").strip().lower()] = v.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
     if not size.isascii() or not size.isdigit():
-        raise ValueError("no content length")
+        raise Damage("no content length")
     begin, end = stop + 4, stop + 4 + int(size)
     if end > len(buf):
-        raise ValueError("block is cut off")
+        raise Damage("block is cut off")
     if buf[end : end + 4] != b"\r\n\r\n":
-        raise ValueError("record does not end after its block")
+        raise Damage("record does not end after its block")
     want = headers.get("warc-block-digest", "")
     if want.startswith("sha1:") and want[5:] != base64.b32encode(hashlib.sha1(buf[begin:end]).digest()).decode():
-        raise ValueError("block digest differs")
+        raise Damage("block digest differs", end + 4 if end + 4 == len(buf) or _VERSION.match(buf, end + 4) else None)
     return headers, begin, end, end + 4
 
 
@@ -132,8 +149,8 @@ def _member(buf: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int, str]:
     z, parts, p, why = zlib.decompressobj(31), [], at, ""
     try:
         while not z.eof and p < len(buf):
-            parts.append(z.decompress(memoryview(buf)[p : p + 4096]))
-            p += 4096
+            parts.append(z.decompress(memoryview(buf)[p : p + 16384]))
+            p += 16384
         why = "" if z.eof else "gzip member is cut off"
     except zlib.error as e:
         why = f"gzip member: {e}"
@@ -159,17 +176,19 @@ def salvage(buf: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
             return _member(buf, at)
         try:
             headers, begin, end, after = _plain(buf, at)
-        except ValueError as e:
-            return [], at, str(e)
+        except Damage as e:
+            return [], e.end or at, str(e)
         return [(headers, buf[begin:end])], after, ""
 
+    # a compressed archive may hold version lines in its compressed bytes, and the other way round
+    start = _MEMBER if _MEMBER.match(buf) else _VERSION if _VERSION.match(buf) else _START
     at, n, got = 0, len(buf), None
     while at < n:
         found, after, why = got or read(at)
         got = None
-        if why:
+        if why and (after == at or buf[at : at + 1] == b"\x1f"):
             # the next place from which at least one record reads well; what is wrong with the rest is a gap of its own
-            for m in _START.finditer(buf, at + 1):
+            for m in start.finditer(buf, at + 1):
                 got = read(m.start())
                 if got[0]:
                     break
@@ -232,6 +251,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_of(read_archives(spark, path))
 
 
+#: RFC 4648 alphabet. Fixed value.
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
 OP4_SQL = f"""
 WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
 d AS (
