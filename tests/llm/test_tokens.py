@@ -1,5 +1,6 @@
 """Ids, counts, packing and sharding against the libraries and brute force."""
 
+import heapq
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -189,29 +190,61 @@ def test_packing_of_many_queues(spark, docs):
         assert one == two
 
 
-def test_sharding(spark, docs, rows, no_docs):
-    got = sharding.assign(docs, 4).collect()
-    assert len(got) == len(rows)
-    by, slots, load = defaultdict(set), defaultdict(list), Counter()
-    for r in got:
-        by[r["group"]].add(r["shard"])
-        slots[r["shard"]].append((r["slot"], r["doc_id"] if r["doc_id"] is not None else -1))
-        load[r["shard"]] += r["size"]
-    assert all(len(s) == 1 for s in by.values())
-    for s in slots.values():
-        s.sort()
-        assert [x for x, _ in s] == list(range(len(s))) and [d for _, d in s] == sorted(d for _, d in s)
-    sizes = Counter()
-    for r in got:
-        sizes[r["group"]] += r["size"]
-    items = sharding.longest_first(list(sizes.items()), 4)
-    want = Counter()
-    for g, s in items.items():
-        want[s] += sizes[g]
-    assert sorted(load.values()) == sorted(want.values())
+def by_heap(items, shards):
+    """Longest first, one group after another: items (size, key) to shard, and the loads."""
+    heap, out = [(0, s) for s in range(shards)], {}
+    for size, key in sorted(items, key=lambda x: (-x[0], x[1])):
+        load, s = heapq.heappop(heap)
+        out[key] = s
+        heapq.heappush(heap, (load + size, s))
+    return out, sorted(load for load, _ in heap)
+
+
+def test_turns_equal_a_heap():
+    rnd = random.Random(11)
+    for case in range(300):
+        shards, classes = rnd.choice([1, 2, 3, 7, 16]), {rnd.randint(1, 50) * rnd.choice([1, 1, 40]): rnd.choice([1, 2, 5, 60]) for _ in range(rnd.randint(1, 12))}
+        items = [(size, (size, k)) for size, n in classes.items() for k in range(n)]
+        want, loads = by_heap(items, shards)
+        got = {}
+        for size, parts in sharding.schedule(list(classes.items()), shards):
+            ends = [a for a, _ in parts[1:]] + [classes[size]]
+            for (a, pattern), b in zip(parts, ends):
+                got |= {(size, k): pattern[(k - a) % len(pattern)] for k in range(a, b)}
+        assert got == want, (case, shards, classes)
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_sharding(spark, docs, rows, no_docs, limit, monkeypatch):
+    monkeypatch.setattr(sharding, "BROADCAST", limit)
+    monkeypatch.setattr(sharding, "MANY", 2)
+    many = docs.unionByName(docs.withColumns({"doc_id": F.col("doc_id") + 5000, "text": F.substring("text", 1, 7)}))
+    for df in (docs, many):
+        source = df.select("doc_id", "text").collect()
+        got = sharding.assign(df, 4).collect()
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in source)
+        sizes, by, slots = Counter(), defaultdict(set), defaultdict(list)
+        for r in got:
+            sizes[bytes(r["group"])] += r["size"]
+            by[bytes(r["group"])].add(r["shard"])
+            slots[r["shard"]].append((r["slot"], r["doc_id"] if r["doc_id"] is not None else -1))
+        h = {bytes(r[0]): r[1] for r in spark.createDataFrame([(bytearray(g),) for g in sizes], "g binary").select("g", F.xxhash64("g")).collect()}
+        want, _ = by_heap([(n, (h[g], g)) for g, n in sizes.items()], 4)
+        assert by == {g: {want[h[g], g]} for g in sizes}
+        for s in slots.values():
+            s.sort()
+            assert [x for x, _ in s] == list(range(len(s))) and [d for _, d in s] == sorted(d for _, d in s)
     assert sharding.assign(no_docs, 4).count() == 0
 
 
-def test_longest_first():
-    placed = sharding.longest_first([("a", 7), ("b", 6), ("c", 5), ("d", 4), ("e", 3)], 2)
-    assert placed == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 0}
+def test_running_start_of_a_hot_key(spark, monkeypatch):
+    import tracewell.llm.common as common
+
+    monkeypatch.setattr(common, "ROWS_PER_BUCKET", 10)
+    monkeypatch.setattr(common.order_bounds, "__defaults__", (10,))
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, i, i % 5) for i in range(300)]
+    got = {r["rid"]: r["at"] for r in running_start(spark.createDataFrame(data, "k long, rid long, v long"), ["k", "rid"], "v", "at").collect()}
+    at = 0
+    for _, rid, v in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        assert got[rid] == at
+        at += v
