@@ -1,11 +1,13 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 A fingerprint has 64 bits; bit k is set if more than half of the XXH64 hashes (seed 42) of the
-shingles, repeats included, have it set. All distinct fingerprints form a binary trie. Starting
-from the nodes at an upper level, pairs of nodes are walked together: each step adds the bits in
-which the two paths differ and drops the pair beyond the error budget. Pairs of small nodes go to
-tasks, which walk on to the leaves and compare what is left exactly. A pair with a node of over
-NODE fingerprints is walked on by Spark first, so a dense region is split by its own bits.
+shingles, repeats included, have it set. Of two fingerprints within the budget of BUDGET bits, at
+least one of BUDGET + 1 equal blocks of bits agrees. So the distinct fingerprints form that many
+binary tries, each rotated to begin with another block; a trie is joined with itself from the nodes
+below its first block, where no bit may differ: each step down adds the bits in which the two paths
+differ and drops the pair beyond the budget. Each fingerprint is sent once a trie. Nodes of over NODE
+fingerprints are walked on by Spark first, so a dense region is split by its own bits; smaller ones
+go to tasks, which walk on to the leaves and compare what is left exactly.
 
 Within a task a pair of nodes is also dropped once all its fingerprints are known to be connected
 (budgets 0 to 3 are walked in turn, nearest links first), and the task returns a spanning forest of
@@ -33,6 +35,8 @@ from tracewell.llm.components import components
 SEED, BITS, BUDGET = 42, 64, 3
 #: Fingerprints of a trie node that a task may get on either side of a pair.
 NODE = 2048
+#: Fingerprints that a task gets about, of many small nodes.
+CELL = 16_384
 #: Pairs of fingerprints below a pair of nodes that are compared directly.
 LEAF = 64
 
@@ -151,69 +155,69 @@ def _prefix(fp: Column, depth: int) -> Column:
     return F.shiftrightunsigned(fp, BITS - depth) if depth else F.lit(0).cast("long")
 
 
-def _task_links():
+def _rotated(fp: Column, by: int) -> Column:
+    """The bits of a long, the first ``by`` moved to the end."""
+    return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by)) if by else fp
+
+
+def _task_links(budget: int):
     def links(key, pdf):
         import pandas as pd
 
-        depth = int(pdf["depth"].iloc[0])
+        by, depth = int(key[0]), int(key[1])
         fps = np.unique(pdf["fp"].to_numpy().astype(np.uint64))
         tops = fps >> np.uint64(BITS - depth)
-        own = np.uint64(key[1])
-        other = np.unique(pdf["node"].to_numpy().astype(np.uint64))
-        lo, hi = np.searchsorted(tops, own), np.searchsorted(tops, own, "right")
-        starts = np.array([(lo, hi, np.searchsorted(tops, x), np.searchsorted(tops, x, "right")) for x in other], np.int64).reshape(-1, 4)
-        got = trie_links(fps, starts, depth)
-        signed = fps.astype(np.int64)
+        nodes = np.unique(pdf[["own", "node"]].to_numpy().astype(np.uint64), axis=0)
+        ends = [np.searchsorted(tops, nodes[:, c], side) for c in (0, 1) for side in ("left", "right")]
+        starts = np.stack(ends, 1).astype(np.int64)
+        got = trie_links(fps, starts[(starts[:, 0] < starts[:, 1]) & (starts[:, 2] < starts[:, 3])], depth, budget)
+        back = (fps >> np.uint64(by)) | (fps << np.uint64(BITS - by)) if by else fps
+        signed = back.astype(np.int64)
         return pd.DataFrame({"a": [signed[x] for x, _ in got], "b": [signed[y] for _, y in got]}).astype("int64")
 
     return links
 
 
 def links(fps: DataFrame, budget: int = BUDGET, node: int = NODE) -> DataFrame:
-    """Links (a, b) that connect the distinct ``fps`` (fp) exactly as all pairs within the budget do.
-
-    Of each node pair, the tasks get the pair's own fingerprints once; with the level chosen by the
-    count of fingerprints a node holds about ``node`` of them, so a task's input is bounded.
-    """
-    n = fps.count()
-    depth, step, final = min(24, max(2, (n // (node // 2)).bit_length())), 4, []
-    counts = fps.groupBy(_prefix(F.col("fp"), depth).alias("p")).agg(F.count("*").alias("n"))
-    nodes = staged(counts, "trie")
-    # partner prefixes within the budget, each pair once
-    near = [0, *[x for x in range(1, 1 << min(depth, 12)) if bin(x).count("1") <= budget]] if depth <= 12 else _near(depth, budget)
-    other = nodes.select(F.col("p").alias("q"), F.col("n").alias("m"))
-    pairs = nodes.withColumn("q", F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in near]), lambda x: x.bitwiseXOR(F.col("p"))))).where("p <= q").join(other, "q")
+    """Links (a, b) that connect the distinct ``fps`` (fp) exactly as all pairs within the budget do."""
+    blocks, step, final = budget + 1, 4, []
+    depth = BITS // blocks
+    # cells: nodes with equal first bits, as many as a task should get at once
+    bits = max(4, min(depth, (fps.count() // CELL).bit_length()))
+    turned = F.explode(F.array(*[F.struct(F.lit(depth * k).alias("by"), _rotated(F.col("fp"), depth * k).alias("fp")) for k in range(blocks)]))
+    fps = fps.select(turned.alias("x")).select("x.by", "x.fp")
+    pairs = fps.groupBy("by", _prefix(F.col("fp"), depth).alias("p")).agg(F.count("*").alias("n")).where("n > 1")
+    pairs = pairs.select("by", "p", "n", F.col("p").alias("q"), F.col("n").alias("m"))
     while True:
-        deep = (F.col("n") > node * 4) | (F.col("m") > node * 4)
-        pairs = staged(pairs.select("p", "n", "q", "m"), "trie")
-        last = depth + step > BITS - 4
-        now = pairs if last else pairs.where(~deep)
-        final.append((depth, now.select("p", "q")))
+        deep = (F.col("n") > node) | (F.col("m") > node)
+        pairs = staged(pairs.select("by", "p", "n", "q", "m"), "trie")
+        last = depth + step > BITS
+        final.append((depth, (pairs if last else pairs.where(~deep)).select("by", "p", "q")))
         if last or not pairs.where(deep).limit(1).count():
             break
-        up = depth
-        depth += step
-        child = staged(fps.groupBy(_prefix(F.col("fp"), depth).alias("p")).agg(F.count("*").alias("n")).withColumn("up", F.shiftrightunsigned("p", depth - up)), "trie")
-        a = child.select(F.col("up").alias("a_up"), "p", "n")
-        b = child.select(F.col("up").alias("b_up"), F.col("p").alias("q"), F.col("n").alias("m"))
-        pairs = pairs.where(deep).select(F.col("p").alias("a_up"), F.col("q").alias("b_up")).join(a, "a_up").join(b, "b_up").where((F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= budget) & ((F.col("a_up") != F.col("b_up")) | (F.col("p") <= F.col("q"))))
+        up, parents, depth = depth, pairs.where(deep), depth + step
+        wanted = parents.select("by", F.col("p").alias("up")).union(parents.select("by", "q")).distinct()
+        below = fps.select("by", "fp", _prefix(F.col("fp"), up).alias("up")).join(wanted, ["by", "up"], "left_semi")
+        child = staged(below.groupBy("by", "up", _prefix(F.col("fp"), depth).alias("p")).agg(F.count("*").alias("n")), "trie")
+        a = child.select("by", F.col("up").alias("a_up"), "p", "n")
+        b = child.select("by", F.col("up").alias("b_up"), F.col("p").alias("q"), F.col("n").alias("m"))
+        pairs = parents.select("by", F.col("p").alias("a_up"), F.col("q").alias("b_up")).join(a, ["by", "a_up"]).join(b, ["by", "b_up"])
+        pairs = pairs.where((F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= budget) & ((F.col("a_up") != F.col("b_up")) | (F.col("p") <= F.col("q"))))
     out = None
     for depth, pq in final:
-        # the node that a pair goes to is drawn by hash, so that low prefixes get no more pairs
-        swap = F.pmod(F.xxhash64("p", "q"), F.lit(2)) == 0
-        own = pq.select(F.when(swap, F.col("p")).otherwise(F.col("q")).alias("own"), F.when(swap, F.col("q")).otherwise(F.col("p")).alias("node"))
-        at = fps.select(_prefix(F.col("fp"), depth).alias("node"), "fp")
-        # the own node's fingerprints come through its pair with itself, or once more if that went on
-        has = own.union(own.select("own", F.col("own").alias("node"))).distinct() if depth != final[0][0] else own
-        rows = has.join(at, "node").withColumn("depth", F.lit(depth))
+        at = fps.select("by", _prefix(F.col("fp"), depth).alias("node"), "fp")
+        if depth == final[0][0]:  # nodes with themselves
+            rows = at.join(pq.select("by", F.col("p").alias("node")), ["by", "node"]).select("by", F.col("node").alias("own"), "node", "fp")
+        else:
+            # the node that a pair goes to is drawn by hash, so that low prefixes get no more pairs
+            swap = F.pmod(F.xxhash64("p", "q"), F.lit(2)) == 0
+            own = pq.select("by", F.when(swap, F.col("p")).otherwise(F.col("q")).alias("own"), F.when(swap, F.col("q")).otherwise(F.col("p")).alias("node"))
+            # the own node's fingerprints come along as its pair with itself, which is a pair of this or an upper level
+            rows = own.union(own.select("by", "own", F.col("own").alias("node"))).distinct().join(at, ["by", "node"]).select("by", "own", "node", "fp")
+        cell = F.shiftrightunsigned("own", depth - bits) if depth == final[0][0] else F.col("own")
+        rows = rows.select("by", F.lit(depth).alias("depth"), cell.alias("cell"), "own", "node", "fp")
         out = rows if out is None else out.union(rows)
-    return out.groupBy("depth", "own").applyInPandas(_task_links(), "a long, b long").distinct()
-
-
-def _near(depth: int, budget: int) -> list[int]:
-    from itertools import combinations
-
-    return [sum(1 << k for k in ks) for r in range(budget + 1) for ks in combinations(range(depth), r)]
+    return out.groupBy("by", "depth", "cell").applyInPandas(_task_links(budget), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
