@@ -88,7 +88,7 @@ _OBJECTS = "kind string, key binary, rid long, doc_id long, n_tokens long, width
 
 def _objects(path: str, end_id: int):
     """Of each document a draft of its recipe, and its chunks, those that this task has sent before left out."""
-    enc, seen, zstd = encoder(path), set(), zstandard.ZstdCompressor(level=1)
+    enc, seen, zstd = encoder(path), set(), zstandard.ZstdCompressor(level=2)
     width = width_of(enc, end_id)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -153,7 +153,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
     with shuffles_freed(spark):
-        objects = in_arrow(rows, lambda: _objects(tokenizer, end_id), _OBJECTS, 10_000)
+        objects = in_arrow(rows, lambda: _objects(tokenizer, end_id), _OBJECTS, 4000)
         objects.dropDuplicates(["kind", "key"]).write.partitionBy("kind").parquet(f"{path}/objects")
         drafts = _objects_of(spark, path, "draft").select("doc_id", "rid", "n_tokens", "width", "chunks", "root")
         places = running_start(drafts.select("doc_id", "rid", "n_tokens", F.lit(1).alias("one")), ["doc_id", "rid"], ["n_tokens", "one"], ["start", "pos"]).select("rid", "start", "pos")
@@ -184,19 +184,16 @@ def _documents(with_ids: bool):
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         got = batch["got"]
         x = pa.RecordBatch.from_struct_array(got.flatten())
-        seq, width, n_ids = (x[c].to_numpy(zero_copy_only=False) for c in ("seq", "width", "n_ids"))
-        digests, frames = x["chunk"].to_pylist(), x["ids"].to_pylist()
+        seq, frames = x["seq"].to_numpy(zero_copy_only=False), x["ids"].to_pylist()
         ends, out = np.asarray(got.offsets) - got.offsets[0].as_py(), []
-        for i, (doc_id, n, root) in enumerate(zip(batch["doc_id"].to_pylist(), batch["n_tokens"].to_pylist(), batch["root"].to_pylist())):
-            parts = []
-            for j in (np.argsort(seq[ends[i] : ends[i + 1]]) + ends[i]).tolist():
-                body = zstd.decompress(frames[j]) if frames[j] is not None else b""
-                if hashlib.sha256(body).digest() != digests[j] or len(body) != n_ids[j] * width[j]:
-                    raise ValueError(f"chunk {digests[j].hex()}: its ids are not there or do not match its digest")
-                parts.append((digests[j], np.frombuffer(body, f"<u{int(width[j])}").astype("<u4")))
-            ids = np.concatenate([p for _, p in parts])
-            if merkle([d for d, _ in parts]) != root or len(ids) != n:
+        for i, (doc_id, n, width, root) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", "n_tokens", "width", "root")))):
+            own = (np.argsort(seq[ends[i] : ends[i + 1]]) + ends[i]).tolist()
+            if any(frames[j] is None for j in own):
+                raise ValueError(f"document {doc_id}: chunks that match its recipe are not there")
+            bodies = [zstd.decompress(frames[j]) for j in own]
+            if merkle([hashlib.sha256(b).digest() for b in bodies]) != root or sum(map(len, bodies)) != n * width:
                 raise ValueError(f"document {doc_id}: its chunks do not match its Merkle root")
+            ids = np.frombuffer(b"".join(bodies), f"<u{width}").astype("<u4")
             out.append(ids.tobytes() if with_ids else zlib.crc32(ids))
         yield {k: batch[k] for k in ("doc_id", "pos", "start", "n_tokens")} | {"ids" if with_ids else "ids_crc32": out}
 
@@ -208,16 +205,16 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFra
     ids (little-endian unsigned 32-bit integers) or, without them, ids_crc32.
 
     A body read for many documents (a hot chunk) is on the unique side of the join, whose other side
-    Spark may split. Raises ValueError where the recipes are not those of the manifest.
+    Spark may split. The digests of the bodies themselves must give the root of the document. Raises
+    ValueError where the recipes are not those of the manifest.
     """
     recipes = spark.read.parquet(f"{path}/recipes")
     wrong = _faults(spark, path, recipes)
     if wrong:
         raise ValueError(f"recipes do not match the manifest at (level, block) {wrong}")
-    keys = ["doc_id", "pos", "start", "n_tokens", "root"]
-    wanted = recipes.select(*keys, F.posexplode("chunks").alias("seq", "chunk"))
-    chunks = _objects_of(spark, path, "chunk").select(F.col("key").alias("chunk"), "n_ids", "width", "ids")
-    whole = wanted.join(chunks, "chunk", "left").groupBy(*keys).agg(F.collect_list(F.struct("seq", "chunk", "n_ids", "width", "ids")).alias("got"))
+    wanted = recipes.select("pos", F.posexplode("chunks").alias("seq", "key"))
+    got = wanted.join(_objects_of(spark, path, "chunk").select("key", "ids"), "key", "left").groupBy("pos").agg(F.collect_list(F.struct("seq", "ids")).alias("got"))
+    whole = recipes.drop("chunks").join(got, "pos", "left")
     return in_arrow(whole, lambda: _documents(with_ids), f"doc_id long, pos long, start long, n_tokens long, {'ids binary' if with_ids else 'ids_crc32 long'}", 500)
 
 
