@@ -119,25 +119,54 @@ def test_proximity(spark):
     assert {(r["d"], r["pos"], r["other"]) for r in got} == {(1, 0, 1), (1, 3, 1)}
 
 
+def brute_vector(text, h):
+    """Lanes and cells of a text by hand; h: a paragraph and a seed to its hash."""
+    lanes, cells = [0] * fingerprints.LANES, [0] * (fingerprints.STRATA * fingerprints.CELLS)
+    for p in re.split(r"(?<=[.!?])[ \n]+|\n+", text):
+        if not p:
+            continue
+        for k in range(fingerprints.LANES // 2):
+            x = h[p, k]
+            lanes[2 * k] = (lanes[2 * k] + (x & 0xFFFFFFFF)) % 2**32
+            lanes[2 * k + 1] = (lanes[2 * k + 1] + (x >> 32)) % 2**32
+        x = h[p, -1]
+        stratum = next((s for s in range(fingerprints.STRATA - 1) if x >> s & 1), fingerprints.STRATA - 1)
+        cells[stratum * fingerprints.CELLS + (x >> 24) % fingerprints.CELLS] += (x >> 40) + 2**40
+    return lanes, cells
+
+
+def brute_likeness(a, b):
+    used = [(x, y) for x, y in zip(a, b) if x or y]
+    best = [(x, y) for x, y in used if max(x, y) < 2**41] or used
+    return sum(x == y for x, y in best) / len(best) if best else 1.0
+
+
 def test_fingerprints(spark, docs, rows, no_docs):
-    got = fingerprints.fingerprint_edits(docs).collect()
-    assert len(got) == len(rows)
+    """Every column, against the sums made by hand from the hashes of all paragraphs."""
     down = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()), reverse=True)
-    want = Counter()
+    edited = []
     for i, (d, t) in enumerate(down):
         t, after = t or "", down[(i + 1) % len(down)][1] or ""
-        half = len(t) // 2
-        want[d, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
-    assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
-    by = defaultdict(set)
-    text = defaultdict(set)
-    for d, t in rows:
-        text[d].add(t or "")
-    for r in got:
-        if len(text[r["doc_id"]]) == 1:
-            by[next(iter(text[r["doc_id"]]))].add(r["fingerprint"])
-    assert all(len(f) == 1 for f in by.values())
+        edited.append(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+    units = sorted({p for t in [*(t or "" for _, t in rows), *edited] for p in re.split(r"(?<=[.!?])[ \n]+|\n+", t) if p})
+    seeds = [-1, *range(fingerprints.LANES // 2)]
+    hashed = spark.createDataFrame([(p,) for p in units], "p string").select("p", *[F.xxhash64("p", F.lit(s)).alias(f"h{s}") for s in seeds]).collect()
+    h = {(r["p"], s): r[f"h{s}"] & (2**64 - 1) for r in hashed for s in seeds}
+
+    def text_of(v):
+        return "".join(f"{x:08x}" for x in v[0]) + "".join(f".{i:x}-{x:x}" for i, x in enumerate(v[1]) if x)
+
+    own, new = [brute_vector(t or "", h) for _, t in down], [brute_vector(t, h) for t in edited]
+    want = Counter()
+    for i, (d, t) in enumerate(down):
+        near = brute_likeness(own[i][1], new[i][1]), brute_likeness(own[i][1], own[(i + 1) % len(down)][1])
+        want[d, len(t or ""), hashlib.sha256(edited[i].encode()).hexdigest(), text_of(own[i]), text_of(new[i]), *(round(x, 9) for x in near)] += 1
+    got = fingerprints.fingerprint_edits(docs)
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got.select(*names).collect()) == want
+    # the likeness follows from the fingerprints that are returned
+    again = got.select("near_edited", fingerprints.likeness(fingerprints.cells_of(F.col("fingerprint")), fingerprints.cells_of(F.col("edited_fingerprint"))).alias("x"))
+    assert all(r["near_edited"] == r["x"] for r in again.collect())
     assert fingerprints.fingerprint_edits(no_docs).count() == 0
 
 

@@ -15,7 +15,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of a slim (text-free) table that one ordering bucket holds on average.
 ROWS_PER_BUCKET = 20_000
-MAX_BUCKETS = 4096
+#: Bounds that an expression carries; only beyond this times ROWS_PER_BUCKET rows do buckets grow.
+MAX_BUCKETS = 65_536
 
 
 def shared_dir(spark: SparkSession) -> str:

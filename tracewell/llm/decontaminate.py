@@ -28,7 +28,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST = 200_000
 #: Rarest terms of a phrase whose lists are intersected before words are compared.
 ANCHORS = 3
-_NO_ID = -(2**63)
+#: What a document is known by: doc_id (0 of null), whether it is null, hash of the text.
+KEY = ["d", "u", "t"]
 
 
 def words(text: Column) -> Column:
@@ -38,7 +39,7 @@ def words(text: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.col("doc_id").cast("long").isNull().alias("u"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
 def _small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
@@ -48,9 +49,9 @@ def _small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Positional postings of ``docs`` (doc_id, text): term, d, t (the document's key), pos; of ``terms`` (term) only."""
-    rows = _keyed(docs).select("d", "t", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    rows = _keyed(docs).select(*KEY, F.posexplode(words(F.col("text"))).alias("pos", "term"))
     rows = rows if terms is None else rows.join(_small(terms), "term", "left_semi")
-    return rows.select("term", "d", "t", "pos")
+    return rows.select("term", *KEY, "pos")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -76,17 +77,17 @@ def phrase_matches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ranked = staged(ranked.select("phrase", *[x[f].alias(f"{f}{k}") for k, x in enumerate(one) for f in ("off", "term")]), "anchors")
     anchors = reduce(DataFrame.union, [ranked.select(F.col(f"term{k}").alias("term")) for k in range(ANCHORS)]).distinct()
     index = staged(postings(docs, anchors).sortWithinPartitions("term"), "postings")
-    found = index.join(ranked, F.col("term") == F.col("term0")).select("d", "t", (F.col("pos") - F.col("off0")).alias("start"), "phrase", *[f"{f}{k}" for k in range(1, ANCHORS) for f in ("off", "term")]).where("start >= 0")
+    found = index.join(ranked, F.col("term") == F.col("term0")).select(*KEY, (F.col("pos") - F.col("off0")).alias("start"), "phrase", *[f"{f}{k}" for k in range(1, ANCHORS) for f in ("off", "term")]).where("start >= 0")
     for k in range(1, ANCHORS):
-        other = index.select("d", "t", F.col("term").alias(f"term{k}"), F.col("pos").alias("p"))
-        found = found.withColumn("p", F.col("start") + F.col(f"off{k}")).join(other, ["d", "t", f"term{k}", "p"], "left_semi").drop("p")
-    found = staged(found.select("d", "t", "start", "phrase").distinct(), "starts")
-    keys = found.select("d", "t").distinct()
-    near = found.groupBy("d", "t").agg(F.collect_list(F.struct("start", "phrase")).alias("c"))
-    texts = _keyed(docs).join(_small(keys), ["d", "t"], "left_semi").dropDuplicates(["d", "t"])
-    both = texts.join(near, ["d", "t"]).select("d", "t", words(F.col("text")).alias("w"), "c")
+        other = index.select(*KEY, F.col("term").alias(f"term{k}"), F.col("pos").alias("p"))
+        found = found.withColumn("p", F.col("start") + F.col(f"off{k}")).join(other, [*KEY, f"term{k}", "p"], "left_semi").drop("p")
+    found = staged(found.select(*KEY, "start", "phrase").distinct(), "starts")
+    keys = found.select(*KEY).distinct()
+    near = found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "phrase")).alias("c"))
+    texts = _keyed(docs).join(_small(keys), KEY, "left_semi").dropDuplicates(KEY)
+    both = texts.join(near, KEY).select(*KEY, words(F.col("text")).alias("w"), "c")
     same = F.filter("c", lambda c: F.array_join(F.slice("w", c["start"] + 1, F.size(F.split(c["phrase"], " "))), " ") == c["phrase"])
-    return both.select("d", "t", F.explode(same).alias("c")).select("d", "t", "c.start", "c.phrase")
+    return both.select(*KEY, F.explode(same).alias("c")).select(*KEY, "c.start", "c.phrase")
 
 
 def proximity_matches(index: DataFrame, first: str, second: str, within: int) -> DataFrame:
@@ -94,39 +95,39 @@ def proximity_matches(index: DataFrame, first: str, second: str, within: int) ->
 
     Positions meet by blocks of ``within`` words, so a document with many of either is no square.
     """
-    a = index.where(F.col("term") == first).select("d", "t", "pos", F.floor(F.col("pos") / within).alias("block"))
-    b = index.where(F.col("term") == second).select("d", "t", F.col("pos").alias("other"), F.explode(F.array(*[F.floor(F.col("pos") / within) + k for k in (-1, 0, 1)])).alias("block"))
-    return a.join(b, ["d", "t", "block"]).where((F.abs(F.col("pos") - F.col("other")) <= within) & (F.col("pos") != F.col("other"))).select("d", "t", "pos", "other")
+    a = index.where(F.col("term") == first).select(*KEY, "pos", F.floor(F.col("pos") / within).alias("block"))
+    b = index.where(F.col("term") == second).select(*KEY, F.col("pos").alias("other"), F.explode(F.array(*[F.floor(F.col("pos") / within) + k for k in (-1, 0, 1)])).alias("block"))
+    return a.join(b, [*KEY, "block"]).where((F.abs(F.col("pos") - F.col("other")) <= within) & (F.col("pos") != F.col("other"))).select(*KEY, "pos", "other")
 
 
 def hits(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """d, t, n_hit, items (sorted ids): documents in which a window of an item occurs."""
     wanted = staged(phrases(items, size), "phrases")
     found = staged(phrase_matches(docs, wanted), "hits")
-    ends = found.groupBy("d", "t", "start").agg(F.max(F.size(F.split("phrase", " "))).alias("n"))
-    spans = ends.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("s"))
+    ends = found.groupBy(*KEY, "start").agg(F.max(F.size(F.split("phrase", " "))).alias("n"))
+    spans = ends.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("s"))
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     more = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["end"]))).alias("n"), F.greatest(acc["end"], s["end"]).alias("end"))
-    spans = spans.select("d", "t", F.aggregate("s", none, more)["n"].cast("long").alias("n_hit"))
-    named = found.select("d", "t", "phrase").distinct().join(wanted, "phrase").groupBy("d", "t").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return spans.join(named, ["d", "t"])
+    spans = spans.select(*KEY, F.aggregate("s", none, more)["n"].cast("long").alias("n_hit"))
+    named = found.select(*KEY, "phrase").distinct().join(wanted, "phrase").groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return spans.join(named, KEY)
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, items, contaminated for each row of ``docs`` (doc_id, text)."""
     got = hits(docs, items, size)
-    rows = _keyed(docs).select("d", "t", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(got, ["d", "t"], "left")
+    rows = _keyed(docs).select(*KEY, F.size(words(F.col("text"))).cast("long").alias("n_words")).join(got, KEY, "left")
     return rows.select(
-        F.when(F.col("d") != _NO_ID, F.col("d")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.when(~F.col("u"), F.col("d")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """Rows of ``docs``, with all their columns, in which no window of an item occurs."""
-    bad = _small(staged(hits(docs, items, size).select(F.col("d").alias("_d"), F.col("t").alias("_t")), "bad"))
+    bad = _small(staged(hits(docs, items, size).select(F.when(~F.col("u"), F.col("d")).alias("_d"), F.col("t").alias("_t")), "bad"))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.join(bad, (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col("_d")) & (F.xxhash64(text) == F.col("_t")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t")), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

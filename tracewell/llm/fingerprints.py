@@ -6,10 +6,13 @@ lane by lane modulo a power of two. So it does not depend on their order, the ve
 with a paragraph inserted or deleted is this one plus or minus the paragraph's, and equal multisets
 have equal vectors.
 
-LANES lanes of 32 bits take every paragraph: they are the fingerprint. STRATA x CELLS more lanes tell
-how alike two documents are: a paragraph falls into one stratum (half of them into the first, a
-quarter into the second, ...) and one cell of it, so documents of up to some 2**STRATA paragraphs
-have cells with about one paragraph; the share of equal cells among those estimates the share of common paragraphs.
+LANES lanes of 32 bits take every paragraph. STRATA x CELLS more lanes tell how alike two documents
+are: a paragraph falls into one stratum (half of them into the first, a quarter into the second, ...)
+and one cell of it, so documents of up to some 2**STRATA paragraphs have cells with about one
+paragraph; the share of equal cells among those estimates the share of common paragraphs. Both parts
+are sums, and together they are the fingerprint: the lanes in hexadecimal digits and then, each
+after a point, number and value of the cells that are not zero. ``cells_of`` reads them back, so the
+likeness of two documents follows from their fingerprints alone.
 
 Everything is DataFrame functions; there is one shuffle of texts, by ranges of doc_id.
 
@@ -73,9 +76,19 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + sign * y).bitwiseAND(F.lit(_LOW)))
 
 
-def digest(lanes: Column) -> Column:
-    """Lanes as hexadecimal digits."""
-    return F.array_join(F.transform(lanes, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+def digest(lanes: Column, cells: Column) -> Column:
+    """The fingerprint as text: the lanes, and the cells that are not zero (``.number-value``)."""
+    hexa = F.array_join(F.transform(lanes, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    used = F.filter(F.transform(cells, lambda x, i: F.when(x != 0, F.concat(F.lit("."), F.lower(F.hex(i)), F.lit("-"), F.lower(F.hex(x))))), lambda x: x.isNotNull())
+    return F.concat(hexa, F.array_join(used, ""))
+
+
+def cells_of(fingerprint: Column) -> Column:
+    """The cells of a fingerprint."""
+    parts = F.filter(F.split(fingerprint, r"\."), lambda x: F.instr(x, "-") > 0)
+    number = lambda x: F.conv(x, 16, 10).cast("long")
+    got = F.map_from_entries(F.transform(parts, lambda x: F.struct(number(F.substring_index(x, "-", 1)), number(F.substring_index(x, "-", -1)))))
+    return F.transform(F.sequence(F.lit(0), F.lit(STRATA * CELLS - 1)), lambda i: F.coalesce(F.element_at(got, i.cast("long")), F.lit(0)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -117,7 +130,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     after = Window.partitionBy("b").orderBy("rn")
     got = got.withColumn("ncells", F.lead("cells").over(after)).where("not edge")
     return got.select(
-        "doc_id", "n_chars", "edited_sha256", digest(F.col("lanes")).alias("fingerprint"), digest(F.col("elanes")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", digest(F.col("lanes"), F.col("cells")).alias("fingerprint"), digest(F.col("elanes"), F.col("ecells")).alias("edited_fingerprint"),
         likeness(F.col("cells"), F.col("ecells")).alias("near_edited"), likeness(F.col("cells"), F.col("ncells")).alias("near_next"), "lanes", "cells",
     )
 
