@@ -217,12 +217,6 @@ def r04(spark, d):
     return docs.join(first, "k").where("f.doc_id < doc_id and f.h <> h").select(F.col("f.doc_id").alias("a"), F.col("doc_id").alias("b"))
 
 
-@query("R07_commit", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)")
-def r07(spark, d):
-    done = table(spark, d, "lineitem").where("l_linenumber = 7").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").join(done, "o_orderkey", "left_anti").select("o_orderkey")
-
-
 @query("R15_manifest", "SELECT doc_id, len(regexp_extract_all(text, '[0-9a-f]{16,}')) AS digests FROM documents")
 def r15(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("([0-9a-f]{16,})"), F.lit(1))).cast("long").alias("digests"))

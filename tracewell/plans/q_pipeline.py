@@ -128,18 +128,6 @@ def e18(spark, d):
     return records(spark, d).select("party", "account", F.col("record_id").alias("keeper"), F.row_number().over(w).alias("k")).where("k = 1").drop("k")
 
 
-@query("R05_R06_timeline_drafts", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, count(*) OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE)) > 1 AS overlap FROM orders")
-def r05(spark, d):
-    w = Window.partitionBy("o_custkey", "day")
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day")).select("o_orderkey", "day", (F.count("*").over(w) > 1).alias("overlap"))
-
-
-@query("R10_custody", "SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate < o_orderdate THEN 'recorded_before_occurred' WHEN l_shipdate > TIMESTAMP '2001-01-01' THEN 'future' ELSE 'ok' END AS verdict FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def r10(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select("l_orderkey", "l_linenumber", F.when(F.col("l_shipdate") < F.col("o_orderdate"), "recorded_before_occurred").when(F.col("l_shipdate") > F.lit("2001-01-01").cast("timestamp_ntz"), "future").otherwise("ok").alias("verdict"))
-
-
 @query("R13_R17_observations", "SELECT page_id, 'url_query' AS rule, 'low' AS severity FROM pages WHERE contains(url, '?') UNION ALL SELECT page_id, 'url_plain_http', 'medium' FROM pages WHERE url LIKE 'http://%'")
 def r13(spark, d):
     p = table(spark, d, "pages")
