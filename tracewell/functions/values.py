@@ -60,3 +60,9 @@ def values_equal(a: Column, b: Column) -> Column:
     """Equal as numbers, or as dates in any layout, or as text without regard to case and white space."""
     text = lambda x: F.lower(F.regexp_replace(F.trim(x), r"\s+", " "))
     return F.coalesce(amount(a) == amount(b), day(a) == day(b), text(a) == text(b))
+
+
+def dates_agree(a: Column, b: Column) -> Column:
+    """Whether two times are the same instant, or the same day where either is a date only."""
+    x, y = timestamp(a), timestamp(b)
+    return F.when((granularity(a) == "date") | (granularity(b) == "date"), F.to_date(x) == F.to_date(y)).otherwise(x == y)

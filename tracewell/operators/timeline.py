@@ -44,7 +44,7 @@ def artifact_drafts(fields: DataFrame, most: int = 10) -> DataFrame:
     """
     rows = fields.where(F.coalesce(F.trim("value"), F.lit("")) != "")
     dates = rows.where("field = 'transaction_dates'")
-    w = Window.partitionBy("record_id").orderBy("idx")
+    w = Window.partitionBy("record_id").orderBy("idx", "value")
     said = rows.where("field = 'events'").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
     one = _draft(dates, F.concat(F.col("field"), F.lit(": "), _original(F.col("value"))), F.col("value"), F.lit("record_occurs_on"))
     return one.unionByName(_draft(said, F.trim("value"), F.regexp_extract("value", _EMBEDDED, 1), F.lit("statement_refers_to_event")))

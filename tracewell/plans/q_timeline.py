@@ -19,7 +19,7 @@ a AS (
 one AS (SELECT record_id, evidence_id, record_no, origin, field, idx, field || ': ' || value AS title, value AS original, try_strptime(value, ['%Y-%m-%d', '%d/%m/%Y']) AS occurred_at,
   CASE WHEN field LIKE '%created%' THEN 'document_created' ELSE 'record_occurs_on' END AS meaning FROM f WHERE field <> 'remark'),
 first AS (SELECT * FROM one WHERE NOT (field = 'billing_period' AND occurred_at IS NULL)),
-said AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY idx) AS k FROM a WHERE field = 'events'),
+said AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY idx, value) AS k FROM a WHERE field = 'events'),
 drafts AS (
   SELECT * FROM first
   UNION ALL SELECT record_id, evidence_id, record_no, origin, field, idx, field || ': ' || value, value, try_strptime(value, '%Y-%m-%d'), 'record_occurs_on' FROM a WHERE field = 'transaction_dates'
@@ -54,7 +54,7 @@ def _existing(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("evidence_id"), F.col("o_orderdate").alias("occurred_at"))
 
 
-@query("R05_timeline_drafts", FIELDS + "SELECT record_id, origin, field, idx, title, occurred_at::DATE AS day, meaning, occurred_at IS NULL AS missing, CASE WHEN occurred_at IS NOT NULL THEN 'date' END AS granularity FROM drafts")
+@query("R05_R06_timeline_drafts", FIELDS + "SELECT record_id, origin, field, idx, title, occurred_at::DATE AS day, meaning, occurred_at IS NULL AS missing, CASE WHEN occurred_at IS NOT NULL THEN 'date' END AS granularity FROM drafts")
 def r05(spark, d):
     return _drafts(spark, d).select("record_id", "origin", "field", "idx", "title", F.to_date("occurred_at").alias("day"), "meaning", "missing", "granularity")
 
@@ -64,7 +64,7 @@ def r06(spark, d):
     return timeline.annotated(_drafts(spark, d), _existing(spark, d)).select("record_id", "origin", "field", "idx", "original", "duplicate", "conflicting", "existing_event_id")
 
 
-@query("R07_timeline_commit", ANNOTATED + "SELECT DISTINCT evidence_id, record_id, origin, field, idx, original FROM marked WHERE occurred_at IS NOT NULL AND meaning <> 'document_created' AND NOT (origin = 'artifact' AND field = 'events')")
+@query("R07_commit", ANNOTATED + "SELECT DISTINCT evidence_id, record_id, origin, field, idx, original FROM marked WHERE occurred_at IS NOT NULL AND meaning <> 'document_created' AND NOT (origin = 'artifact' AND field = 'events')")
 def r07(spark, d):
     drafts = _drafts(spark, d)
     keyed = drafts.withColumn("proposal_key", timeline.proposal_key(drafts))
