@@ -1,9 +1,12 @@
-"""Graph operators on small shapes with known answers."""
+"""Graph operators on small shapes with known answers, and against brute force."""
+
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import finance, graph, matching, network, relational, rules
+from tracewell.operators import finance, graph, matching, network, relational, rules, structure
 
 EDGES = "case_id long, src string, dst string, rel_type string, created_at timestamp_ntz, confidence double"
 
@@ -30,14 +33,64 @@ def test_components(spark):
     assert got["c"] == "a" and got["y"] == "x" and got["q"] == "q" and got["n30"] == "n00"
 
 
+def brute_structure(nodes, edges):
+    """Cut vertices, separated pairs, betweenness and closeness by searching the graph without each vertex and by counting paths."""
+    near = {v: set() for v in nodes}
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+
+    def reach(s, gone=None):
+        dist, todo = {s: 0}, [s]
+        for v in todo:
+            for w in near[v]:
+                if w != gone and w not in dist:
+                    dist[w] = dist[v] + 1
+                    todo.append(w)
+        return dist
+
+    dist, out = {v: reach(v) for v in nodes}, {}
+
+    def count(s, t):
+        return 1 if s == t else sum(count(s, v) for v in near[t] if dist[s].get(v) == dist[s][t] - 1)
+
+    for v in nodes:
+        pieces = {frozenset(reach(w, v)) for w in near[v]}
+        apart = sum(len(p) * len(q) for p, q in itertools.combinations(pieces, 2))
+        between = sum(count(s, v) * count(v, t) / count(s, t) for s, t in itertools.combinations(nodes, 2) if v not in (s, t) and t in dist[s] and v in dist[s] and dist[s][v] + dist[v][t] == dist[s][t])
+        n = len(nodes)
+        out[v] = (len(pieces) > 1, apart / (n * (n - 1) / 2), between, sum(1 / d for w, d in dist[v].items() if w != v) / (n - 1))
+    return out
+
+
 def test_structure(spark):
-    v, e = make(spark, [("a", "b"), ("b", "c"), ("c", "d")], ["z"])
-    got = graph.local_structure(v, e)
-    assert by(got, "betweenness") == {"a": 0, "b": 2, "c": 2, "d": 0, "z": 0}
-    assert by(got, "cut_vertex") == {"a": False, "b": True, "c": True, "d": False, "z": False}
-    assert by(got, "bridge_score")["b"] == pytest.approx(2 / 10)
-    v, e = make(spark, [("a", "b"), ("b", "c"), ("a", "c")])
-    assert not any(by(graph.local_structure(v, e), "cut_vertex").values())
+    rnd = random.Random(2)
+    nodes = [f"v{i:02}" for i in range(22)]
+    pairs = [tuple(rnd.sample(nodes[:12], 2)) for _ in range(15)] + [tuple(rnd.sample(nodes[11:20], 2)) for _ in range(9)] + [("v00", "v00")]
+    v, e = make(spark, pairs, nodes)
+    want = brute_structure(nodes, pairs)
+    got = {r["entity_id"]: (r["cut_vertex"], r["bridge_score"]) for r in structure.cut_structure(v, e).collect()}
+    assert {k: (c, pytest.approx(s)) for k, (c, s, *_) in want.items()} == got
+    got = {r["entity_id"]: (r["betweenness"], r["closeness"]) for r in structure.centrality(v, e).collect()}
+    assert {k: (pytest.approx(b), pytest.approx(c)) for k, (*_, b, c) in want.items()} == got
+
+
+def test_sampled_centrality(spark):
+    """The sum over about half of the sources comes near that over all of them."""
+    rnd = random.Random(4)
+    nodes = [f"r{i:03}" for i in range(150)]
+    v, e = make(spark, [(n, rnd.choice(nodes[:10])) for n in nodes for _ in range(4)], nodes)
+    rows = structure.centrality(v, e, exact=10, pivots=75).collect()
+    assert not any(r["exact"] for r in rows)
+    true = structure.centrality(v, e).collect()
+    total = [sum(r[c] for r in x) for x in (rows, true) for c in ("betweenness", "closeness")]
+    assert total[0] == pytest.approx(total[2], rel=0.2) and total[1] == pytest.approx(total[3], rel=0.2)
+
+
+def test_known_shapes(spark):
+    got = by(structure.cut_structure(*make(spark, [*[("hub", f"x{i}") for i in range(4)], ("a", "b"), ("b", "c"), ("a", "c"), ("p", "q"), ("q", "r"), ("r", "s")], ["alone"])), "cut_vertex")
+    assert {k for k, c in got.items() if c} == {"hub", "q", "r"}
 
 
 @pytest.mark.parametrize("leak", [False, True])
@@ -69,9 +122,18 @@ def test_paths(spark):
 def test_communities(spark):
     cliques = [(x + str(i), x + str(j)) for x in "pq" for i in range(4) for j in range(i)]
     v, e = make(spark, [*cliques, ("p0", "q0")], ["z"])
-    got = by(graph.communities(v, e), "community")
-    assert len({got[f"p{i}"] for i in range(4)}) == 1 and len({got[f"q{i}"] for i in range(4)}) == 1
-    assert got["p0"] != got["q0"] and got["z"] not in (got["p0"], got["q0"])
+    got = by(structure.communities(v, e), "community")
+    assert {got[f"p{i}"] for i in range(4)} == {"p0"} and {got[f"q{i}"] for i in range(4)} == {"q0"} and got["z"] == "z"
+    assert set(by(structure.communities(v, e, exact=3), "community").values()) == {"p0", "z"}
+    s = {r["community"]: r for r in structure.community_summary(structure.communities(v, e), v.withColumn("entity_type", F.substring("entity_id", 1, 1)), e).collect()}
+    assert (s["p0"]["size"], s["p0"]["internal"], s["p0"]["external"], s["p0"]["density"], s["p0"]["top_types"]) == (4, 6, 1, 1.0, ["p"])
+
+    def modularity(label):
+        m, edges = len(cliques) + 1, [*cliques, ("p0", "q0")]
+        deg = {k: sum(k in x for x in edges) for k in label}
+        return sum(label[a] == label[b] for a, b in edges) / m - sum((sum(deg[k] for k in label if label[k] == c) / (2 * m)) ** 2 for c in set(label.values()))
+
+    assert modularity(got) > modularity({k: "one" for k in got}) and modularity(got) > modularity({k: k for k in got})
 
 
 def test_patterns(spark):

@@ -65,7 +65,7 @@ def concentration(facts: DataFrame, by: str, share: float) -> DataFrame:
     """Accounts that take at least ``share`` of a case's total."""
     own = totals(facts, by, "account")
     all_of = own.groupBy(by).agg(F.sum("total").cast(SUM).alias("of"))
-    return own.join(F.broadcast(all_of), by).select(by, "account", "n", "total", F.round(F.col("total").cast("double") / F.col("of").cast("double"), 6).alias("share")).where(F.col("share") >= share)
+    return own.join(all_of, by).select(by, "account", "n", "total", F.round(F.col("total").cast("double") / F.col("of").cast("double"), 6).alias("share")).where(F.col("share") >= share)
 
 
 def splitting(facts: DataFrame, limit: str, least: int) -> DataFrame:

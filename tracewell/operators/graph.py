@@ -5,20 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's shared folder and read back, so that loops keep a short lineage."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the session's shared folder."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tracewell-{spark.sparkContext.applicationId}/loop-{uuid.uuid4().hex[:12]}"
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's shared folder and read back, so that loops keep a short lineage."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def endpoints(rels: DataFrame) -> DataFrame:
@@ -99,14 +106,14 @@ def pagerank(vertices: DataFrame, rels: DataFrame, damping: float = 0.85, rounds
     out = (directed if leak else links).groupBy("case_id", "src").agg(F.count("*").alias("out"))
     links = cut(links.join(out, ["case_id", "src"]))
     size = vertices.groupBy("case_id").agg(F.count("*").alias("size"))
-    nodes = cut(vertices.select(*key).join(F.broadcast(size), "case_id").join(out.select("case_id", F.col("src").alias("entity_id"), "out"), key, "left"))
+    nodes = cut(vertices.select(*key).join(size, "case_id").join(out.select("case_id", F.col("src").alias("entity_id"), "out"), key, "left"))
     rank = nodes.select(*key, "size", "out", (1 / F.col("size")).alias("r"))
     for _ in range(rounds):
         got = links.join(rank.select("case_id", F.col("entity_id").alias("src"), "r"), ["case_id", "src"]).groupBy("case_id", F.col("dst").alias("entity_id")).agg(F.sum(F.col("r") / F.col("out")).alias("got"))
         lost = rank.groupBy("case_id").agg(F.sum(F.when(F.col("out").isNull(), F.col("r")).otherwise(0.0)).alias("lost"))
         new = (1 - damping) / F.col("size") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("size"))
         # read twice in the next round, so written each time
-        rank = cut(nodes.join(got, key, "left").join(F.broadcast(lost), "case_id").select(*key, "size", "out", new.alias("r")))
+        rank = cut(nodes.join(got, key, "left").join(lost, "case_id").select(*key, "size", "out", new.alias("r")))
     return rank.select(*key, F.col("r").alias("pagerank"))
 
 
@@ -121,8 +128,8 @@ def components(vertices: DataFrame, rels: DataFrame) -> DataFrame:
         new = cut(step.join(jump, ["case_id", "component"], "left").select("case_id", "entity_id", "old", F.least("component", F.coalesce("next", F.col("component"))).alias("component")))
         label = new.select("case_id", "entity_id", "component")
         if not new.where("old <> component").limit(1).count():
-            break
-    return label
+            return label
+    raise RuntimeError("components did not settle in 100 rounds")
 
 
 def shortest_paths(rels: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
@@ -156,108 +163,6 @@ def simple_paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return out.union(at.select("case_id", "source", "path", F.lit("depth_limit").alias("end_state")))
 
 
-_LOCAL = "case_id long, entity_id string, cut_vertex boolean, bridge_score double, betweenness double"
-
-
-def local_structure(vertices: DataFrame, rels: DataFrame) -> DataFrame:
-    """Cut vertices, bridge score and betweenness (Brandes, halved) of small graphs, one case to a task.
-
-    These are sequential by nature, so a case's graph must fit one task. bridge_score: pairs that the
-    vertex separates, over all pairs of vertices.
-    """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf.loc[pdf["b"].isna(), "a"]) | set(pdf["a"]) | set(pdf["b"].dropna()))
-        near: dict[str, set] = {v: set() for v in nodes}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            if isinstance(b, str) and a != b:
-                near[a].add(b)
-                near[b].add(a)
-        n = len(nodes)
-        between = dict.fromkeys(nodes, 0.0)
-        for s in nodes:  # one search from each vertex, dependencies added up backwards
-            order, before, count, dist = [s], {s: []}, {s: 1.0}, {s: 0}
-            for v in order:
-                for w in near[v]:
-                    if w not in dist:
-                        dist[w], before[w], count[w] = dist[v] + 1, [], 0.0
-                        order.append(w)
-                    if dist[w] == dist[v] + 1:
-                        before[w].append(v)
-                        count[w] += count[v]
-            gain = dict.fromkeys(order, 0.0)
-            for w in reversed(order[1:]):
-                for v in before[w]:
-                    gain[v] += count[v] / count[w] * (1 + gain[w])
-                between[w] += gain[w] / 2
-        rows = []
-        for v in nodes:  # what falls apart without v
-            sizes, left = [], set(near[v])
-            while left:
-                todo, own = [left.pop()], set()
-                while todo:
-                    x = todo.pop()
-                    if x not in own and x != v:
-                        own.add(x)
-                        todo += near[x]
-                left -= own
-                sizes.append(len(own))
-            total = sum(sizes)
-            apart = (total * total - sum(k * k for k in sizes)) / 2
-            rows.append((int(pdf["case_id"].iloc[0]), v, len(sizes) > 1, apart / (n * (n - 1) / 2) if n > 1 else 0.0, between[v]))
-        return pd.DataFrame(rows, columns=["case_id", "entity_id", "cut_vertex", "bridge_score", "betweenness"])
-
-    edges = undirected(rels).union(vertices.select("case_id", F.col("entity_id").alias("a"), F.lit(None).cast("string").alias("b")))
-    return edges.groupBy("case_id").applyInPandas(run, _LOCAL)
-
-
-def communities(vertices: DataFrame, rels: DataFrame, least_gain: float = 1e-9) -> DataFrame:
-    """case_id, entity_id, community: greedy modularity merges along sorted edges until none gains, one case to a task."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = sorted({(a, b) for a, b in zip(pdf["a"], pdf["b"]) if isinstance(b, str)})
-        nodes = sorted(set(pdf["a"]) | {b for _, b in edges})
-        up, total, m = {v: v for v in nodes}, dict.fromkeys(nodes, 0), len(edges)
-        for a, b in edges:
-            total[a] += 1
-            total[b] += 1
-
-        def find(v):
-            while up[v] != v:
-                up[v] = up[up[v]]
-                v = up[v]
-            return v
-
-        links: dict[str, dict[str, int]] = {v: {} for v in nodes}
-        for a, b in edges:
-            links[a][b] = links[b][a] = 1
-        moved = True
-        while moved and m:
-            moved = False
-            for a, b in edges:
-                x, y = find(a), find(b)
-                if x != y and links[x].get(y, 0) / m - total[x] * total[y] / (2 * m * m) > least_gain:
-                    x, y = min(x, y), max(x, y)
-                    up[y] = x
-                    total[x] += total[y]
-                    for k, c in links.pop(y).items():
-                        if k != x:
-                            links[k].pop(y, None)
-                            links[x][k] = links[k][x] = links[x].get(k, 0) + c
-                    links[x].pop(y, None)
-                    moved = True
-        groups: dict[str, list[str]] = {}
-        for v in nodes:
-            groups.setdefault(find(v), []).append(v)
-        rows = [(int(pdf["case_id"].iloc[0]), v, f"c{i}") for i, g in enumerate(sorted(groups.values(), key=lambda g: (-len(g), g[0]))) for v in g]
-        return pd.DataFrame(rows, columns=["case_id", "entity_id", "community"])
-
-    edges = undirected(rels).union(vertices.select("case_id", F.col("entity_id").alias("a"), F.lit(None).cast("string").alias("b")))
-    return edges.groupBy("case_id").applyInPandas(run, "case_id long, entity_id string, community string")
-
-
 def harmonic_closeness(vertices: DataFrame, rels: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     """case_id, entity_id, closeness of ``sources``: sum of 1/distance within ``hops`` steps, over the other vertices."""
     size = vertices.groupBy("case_id").agg(F.count("*").alias("n"))
@@ -271,6 +176,6 @@ def harmonic_closeness(vertices: DataFrame, rels: DataFrame, sources: DataFrame,
         rows = at.groupBy("case_id", "source").agg((F.count("*") / k).alias("s"))
         out = rows if out is None else out.union(rows)
     total = out.groupBy("case_id", F.col("source").alias("entity_id")).agg(F.sum("s").alias("s"))
-    return sources.select("case_id", "entity_id").join(total, ["case_id", "entity_id"], "left").join(F.broadcast(size), "case_id").select("case_id", "entity_id", F.when(F.col("n") > 1, F.coalesce("s", F.lit(0.0)) / (F.col("n") - 1)).otherwise(0.0).alias("closeness"))
+    return sources.select("case_id", "entity_id").join(total, ["case_id", "entity_id"], "left").join(size, "case_id").select("case_id", "entity_id", F.when(F.col("n") > 1, F.coalesce("s", F.lit(0.0)) / (F.col("n") - 1)).otherwise(0.0).alias("closeness"))
 
 

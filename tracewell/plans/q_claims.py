@@ -202,21 +202,6 @@ def g10(spark, d):
     return graph.ranked(rows, "raw")
 
 
-@query("G15_bridge_pattern", with_sql("SELECT case_id::BIGINT AS case_id, dst AS entity_id FROM rels WHERE src LIKE 'S%' GROUP BY 1, 2 HAVING count(*) > 1"))
-def g15(spark, d):
-    r = relationships(spark, d).where("src LIKE 'S%'")
-    v = r.select("case_id", F.col("src").alias("entity_id")).union(r.select("case_id", "dst")).distinct()
-    return graph.local_structure(v, r).where("cut_vertex").select("case_id", "entity_id")
-
-
-@query("R04_statement_pairs", "SELECT min(b.doc_id) AS a, a.doc_id AS b FROM documents a JOIN documents b ON left(a.text, 60) = left(b.text, 60) GROUP BY a.doc_id, a.text HAVING min(b.doc_id) < a.doc_id AND a.text <> arg_min(b.text, b.doc_id)")
-def r04(spark, d):
-    """Each document against the first one with the same beginning, so large groups give no square."""
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("k"), F.sha2("text", 256).alias("h"))
-    first = docs.groupBy("k").agg(F.min(F.struct("doc_id", "h")).alias("f"))
-    return docs.join(first, "k").where("f.doc_id < doc_id and f.h <> h").select(F.col("f.doc_id").alias("a"), F.col("doc_id").alias("b"))
-
-
 @query("R15_manifest", "SELECT doc_id, len(regexp_extract_all(text, '[0-9a-f]{16,}')) AS digests FROM documents")
 def r15(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("([0-9a-f]{16,})"), F.lit(1))).cast("long").alias("digests"))
@@ -235,18 +220,18 @@ def r25(spark, d):
 
 @query("S01_S02_csv_round_trip", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type FROM events")
 def s01(spark, d):
-    from tracewell.operators.graph import cut
+    from tracewell.operators.graph import scratch
     from tracewell.sources.files import read_csv
 
-    base = cut(spark.range(1)).inputFiles()[0].rsplit("/", 1)[0]
+    base = scratch(spark)
     table(spark, d, "events").select("event_id", "event_type").write.option("header", True).csv(f"{base}-csv")
     return read_csv(spark, f"{base}-csv").select(F.element_at("raw", "event_id").alias("event_id"), F.element_at("raw", "event_type").alias("event_type"))
 
 
 @query("S03_S16_json_round_trip", "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1")
 def s03(spark, d):
-    from tracewell.operators.graph import cut
+    from tracewell.operators.graph import scratch
 
-    base = cut(spark.range(1)).inputFiles()[0].rsplit("/", 1)[0]
+    base = scratch(spark)
     table(spark, d, "conversations").select("conv_id", "turn", "role").write.json(f"{base}-json")
     return spark.read.schema("conv_id long, turn int, role string").json(f"{base}-json").groupBy("conv_id").agg(F.count("*").alias("turns"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.domain import entities, records, relationships, with_sql
-from tracewell.operators import graph, network
+from tracewell.operators import graph, network, structure
 from tracewell.plans.registry import query
 
 DEG = "deg AS (SELECT e.case_id, e.entity_id, count(DISTINCT n.other) AS degree FROM ents e LEFT JOIN ends n ON n.node = e.entity_id AND n.case_id = e.case_id GROUP BY 1, 2)"
@@ -28,32 +28,56 @@ def g02(spark, d):
     return graph.degrees(*_graph(spark, d))
 
 
-@query("G03_components")
+def _levels(names: str, step: str, rounds: int) -> str:
+    """CTEs that repeat ``step`` (with {k} and {i} for this round and the one before)."""
+    return ", ".join(f"{names.format(k=k)} AS MATERIALIZED ({step.format(k=k, i=k - 1)})" for k in range(1, rounds + 1))
+
+
+NEAR = "near AS MATERIALIZED (SELECT DISTINCT case_id, node, other FROM ends WHERE node <> other)"
+LABELS = f"WITH {NEAR}, l0 AS MATERIALIZED (SELECT case_id, entity_id AS node, entity_id AS m FROM ents), " + _levels("l{k}", "SELECT l.case_id, l.node, least(l.m, coalesce(min(x.m), l.m)) AS m FROM l{i} l LEFT JOIN near n ON n.case_id = l.case_id AND n.node = l.node LEFT JOIN l{i} x ON x.case_id = n.case_id AND x.node = n.other GROUP BY l.case_id, l.node, l.m", 8)
+
+
+@query("G03_components", with_sql(f"{LABELS} SELECT case_id, node AS entity_id, m AS component FROM l8"))
 def g03(spark, d):
     return graph.components(*_graph(spark, d))
 
 
-@query("G03_component_sizes_of_organizations", with_sql("SELECT case_id, dst AS place, count(*) + 1 AS size FROM rels WHERE src LIKE 'S%' GROUP BY 1, 2"))
+@query("G03_component_sizes", with_sql(f"{LABELS} SELECT case_id, m AS component, count(*) AS size FROM l8 GROUP BY 1, 2"))
 def g03b(spark, d):
-    r = relationships(spark, d).where("src LIKE 'S%'")
-    e = r.select("case_id", F.col("src").alias("entity_id")).union(r.select("case_id", "dst")).distinct()
-    c = graph.components(e, r)
-    return c.groupBy("case_id", "component").agg(F.count("*").alias("size"), F.max(F.when(F.col("entity_id").startswith("N"), F.col("entity_id"))).alias("place")).select("case_id", "place", "size")
+    return graph.components(*_graph(spark, d)).groupBy("case_id", "component").agg(F.count("*").alias("size"))
+
+
+@query("G34_component_fallback", with_sql(f"{LABELS} SELECT case_id, node AS entity_id, m AS community FROM l8"))
+def g34(spark, d):
+    return structure.communities(*_graph(spark, d), exact=20)
 
 
-@query("G04_G05_G11_structure", with_sql("WITH t AS (SELECT dst AS node, case_id, count(*) AS k FROM rels WHERE src LIKE 'S%' GROUP BY 1, 2), n AS (SELECT case_id, sum(k + 1) AS n FROM t GROUP BY 1) SELECT t.case_id::BIGINT AS case_id, node AS entity_id, k > 1 AS cut_vertex, round(k * (k - 1) / 2 / (n * (n - 1) / 2), 9) AS bridge_score, round(k * (k - 1) / 2.0, 9) AS betweenness FROM t JOIN n ON t.case_id = n.case_id UNION ALL SELECT case_id::BIGINT, src, false, 0.0, 0.0 FROM rels WHERE src LIKE 'S%'"))
+@query("G04_G05_G11_structure")
 def g04(spark, d):
-    r = relationships(spark, d).where("src LIKE 'S%'")
-    e = r.select("case_id", F.col("src").alias("entity_id")).union(r.select("case_id", "dst")).distinct()
-    out = graph.local_structure(e, r)
-    return out.select("case_id", "entity_id", "cut_vertex", F.round("bridge_score", 9).alias("bridge_score"), F.round("betweenness", 9).alias("betweenness"))
+    e, r = _graph(spark, d)
+    key = ["case_id", "entity_id"]
+    out = structure.cut_structure(e, r).join(structure.centrality(e, r), key)
+    return out.select(*key, "cut_vertex", F.round("bridge_score", 9).alias("bridge_score"), F.round("betweenness", 6).alias("betweenness"), "exact")
+
+
+@query("G15_bridge_pattern")
+def g15(spark, d):
+    return structure.cut_structure(*_graph(spark, d)).where("cut_vertex").select("case_id", "entity_id", F.round("bridge_score", 9).alias("bridge_score"))
+
+
+CLOSE = f"WITH {NEAR}, d0 AS MATERIALIZED (SELECT case_id, entity_id AS s, entity_id AS node FROM ents), n0 AS (SELECT case_id, s, node FROM d0 WHERE false), d1 AS MATERIALIZED (SELECT case_id, node AS s, other AS node FROM near), " + ", ".join(f"d{k} AS MATERIALIZED (SELECT DISTINCT p.case_id, p.s, n.other AS node FROM d{k - 1} p JOIN near n ON n.case_id = p.case_id AND n.node = p.node ANTI JOIN d{k - 1} a ON a.s = p.s AND a.case_id = p.case_id AND a.node = n.other ANTI JOIN d{k - 2} b ON b.s = p.s AND b.case_id = p.case_id AND b.node = n.other)" for k in range(2, 8))
 
 
-@query("G06_closeness_of_places", with_sql("WITH e AS (SELECT DISTINCT case_id, node, other FROM ends), s AS (SELECT case_id, entity_id FROM ents WHERE entity_type = 'location'), a AS (SELECT s.case_id, s.entity_id, e.other FROM s JOIN e ON e.node = s.entity_id AND e.case_id = s.case_id), b AS (SELECT DISTINCT a.case_id, a.entity_id, e.other FROM a JOIN e ON e.node = a.other AND e.case_id = a.case_id WHERE e.other <> a.entity_id EXCEPT SELECT * FROM a), n AS (SELECT case_id, count(*) AS n FROM ents GROUP BY 1) SELECT s.case_id, s.entity_id, round(((SELECT count(*) FROM a WHERE a.entity_id = s.entity_id) + (SELECT count(*) FROM b WHERE b.entity_id = s.entity_id) / 2) / (n - 1), 9) AS closeness FROM s JOIN n ON s.case_id = n.case_id"))
+@query("G06_closeness", with_sql(CLOSE + ", c AS (SELECT case_id, s, sum(x) AS x FROM (" + " UNION ALL ".join(f"SELECT case_id, s, count(*) / {k}.0::DOUBLE AS x FROM d{k} GROUP BY 1, 2" for k in range(1, 8)) + ") GROUP BY 1, 2), n AS (SELECT case_id, count(*) AS n FROM ents GROUP BY 1) SELECT e.case_id, entity_id, round(coalesce(x, 0) / (n - 1), 6) AS closeness FROM ents e JOIN n ON n.case_id = e.case_id LEFT JOIN c ON c.case_id = e.case_id AND c.s = entity_id"))
 def g06(spark, d):
-    e, r = _graph(spark, d)
-    c = graph.harmonic_closeness(e, r, e.where("entity_type = 'location'"), 2)
-    return c.select("case_id", "entity_id", F.round("closeness", 9).alias("closeness"))
+    return structure.centrality(*_graph(spark, d)).select("case_id", "entity_id", F.round("closeness", 6).alias("closeness"))
+
+
+@query("G33_sampled_centrality")
+def g33(spark, d):
+    """Cases of over 50 vertices by about 16 searches each."""
+    out = structure.centrality(*_graph(spark, d), exact=50, pivots=16)
+    return out.select("case_id", "entity_id", F.round("betweenness", 6).alias("betweenness"), F.round("closeness", 6).alias("closeness"), "exact")
 
 
 PAGERANK = with_sql("""
@@ -78,7 +102,7 @@ def g07(spark, d):
 @query("G12_G13_communities")
 def g12(spark, d):
     e, r = _graph(spark, d)
-    return graph.communities(e, r.where("rel_type = 'located_at'")).groupBy("case_id", "community").agg(F.count("*").alias("members"), F.min("entity_id").alias("first_member"))
+    return structure.community_summary(structure.communities(e, r), e, r)
 
 
 @query("G14_shared_identifier", with_sql(f"WITH {DEG}, m AS (SELECT case_id, max(degree) AS most FROM deg GROUP BY 1) SELECT case_id, entity_id, degree, severity, score, confidence FROM (SELECT deg.case_id, deg.entity_id, degree, CASE WHEN degree >= 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, round(degree / most, 6) AS score, round(least(1.0, 0.5 + 0.1 * (degree - 3) / 3), 6)::DOUBLE AS confidence, row_number() OVER (PARTITION BY deg.case_id ORDER BY round(degree / most, 6) DESC, deg.entity_id) AS k FROM deg JOIN m USING (case_id) WHERE entity_id LIKE 'S%' AND degree >= 3) WHERE k <= 5"))
@@ -111,10 +135,10 @@ def g19(spark, d):
     return network.rapid_expansion(relationships(spark, d))
 
 
-@query("G20_missing_links", with_sql("WITH p AS (SELECT x.case_id, x.src AS a, y.src AS b, count(*) AS shared FROM rels x JOIN rels y ON x.dst = y.dst AND x.case_id = y.case_id AND x.src < y.src WHERE x.src LIKE 'S%' AND y.src LIKE 'S%' GROUP BY 1, 2, 3), m AS (SELECT case_id, max(shared) AS most FROM p GROUP BY 1) SELECT p.case_id, a, b, shared, true AS same_community, round(0.55 * shared / most + 0.45, 6)::DOUBLE AS score, round(least(1.0, 0.35 + 0.15 * shared), 6)::DOUBLE AS confidence, CASE WHEN shared >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM p JOIN m USING (case_id) QUALIFY row_number() OVER (PARTITION BY p.case_id ORDER BY score DESC, a, b) <= 25"))
+@query("G20_missing_links", with_sql("WITH near AS (SELECT DISTINCT case_id, node, other FROM ends), p AS (SELECT x.case_id, x.node AS a, y.node AS b, count(*) AS shared FROM near x JOIN near y ON x.other = y.other AND x.case_id = y.case_id AND x.node < y.node WHERE x.node LIKE 'S%' AND y.node LIKE 'S%' GROUP BY 1, 2, 3), m AS (SELECT case_id, max(shared) AS most FROM p GROUP BY 1) SELECT p.case_id, a, b, shared, true AS same_community, round(0.55 * shared / most + 0.45, 6)::DOUBLE AS score, round(least(1.0, 0.35 + 0.15 * shared), 6)::DOUBLE AS confidence, CASE WHEN shared >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM p JOIN m USING (case_id) QUALIFY row_number() OVER (PARTITION BY p.case_id ORDER BY score DESC, a, b) <= 25"))
 def g20(spark, d):
     e, r = _graph(spark, d)
-    return network.missing_links(r.where("src LIKE 'S%'"), e.where("entity_type = 'organization'"))
+    return network.missing_links(r, e.where("entity_type = 'organization'"))
 
 
 def _evidence(spark, d):
@@ -130,10 +154,10 @@ def g21(spark, d):
     return network.strength(per, totals, entities(spark, d)).select("case_id", "src", "dst", "strength")
 
 
-@query("G24_two_hop_pairs", with_sql("SELECT x.case_id, count(DISTINCT (x.src, y.src)) AS pairs FROM rels x JOIN rels y ON x.dst = y.dst AND x.case_id = y.case_id AND x.src < y.src WHERE x.src LIKE 'S%' AND y.src LIKE 'S%' GROUP BY 1"))
+@query("G24_two_hop_pairs", with_sql("WITH near AS (SELECT DISTINCT case_id, node, other FROM ends) SELECT x.case_id, count(DISTINCT (x.node, y.node)) AS pairs FROM near x JOIN near y ON x.other = y.other AND x.case_id = y.case_id AND x.node < y.node WHERE x.node LIKE 'S%' AND y.node LIKE 'S%' GROUP BY 1"))
 def g24(spark, d):
     e, r = _graph(spark, d)
-    return graph.common_neighbours(r.where("src LIKE 'S%'"), e.where("entity_type = 'organization'")).groupBy("case_id").agg(F.count("*").alias("pairs"))
+    return graph.common_neighbours(r, e.where("entity_type = 'organization'")).groupBy("case_id").agg(F.count("*").alias("pairs"))
 
 
 @query("G25_strongest", with_sql("SELECT case_id, arg_max(src || '>' || dst, (n_records, src, dst)) AS strongest, count(*) FILTER (n_records = 1) AS thin FROM rels WHERE rel_type = 'transferred_to' GROUP BY 1"))
@@ -175,12 +199,16 @@ def g30(spark, d):
 
 def _measures(spark, d):
     e, r = _graph(spark, d)
-    deg = graph.degrees(e, r)
-    rank = graph.pagerank(e, r)
-    ev = graph.endpoints(r.withColumn("rel_type", F.col("n_records").cast("string"))).groupBy("case_id", F.col("node").alias("entity_id")).agg(F.sum(F.col("rel_type").cast("long")).cast("double").alias("evidence_depth"))
     key = ["case_id", "entity_id"]
-    rows = e.select(*key).join(deg, key).join(rank, key).join(ev, key, "left")
-    return rows.select(*key, F.col("degree").cast("double").alias("prominence"), F.col("pagerank").alias("influence"), F.lit(0.0).alias("bridging"), F.col("out_degree").cast("double").alias("reach"), F.col("in_degree").cast("double").alias("anchorage"), (F.col("in_degree") + F.col("out_degree")).cast("double").alias("activity"), F.coalesce("evidence_depth", F.lit(0.0)).alias("evidence_depth"), F.lit(0.0).alias("community_span"))
+    deg, rank = graph.degrees(e, r), graph.pagerank(e, r)
+    bridge = structure.cut_structure(e, r).select(*key, F.col("bridge_score").alias("bridging"))
+    group = structure.communities(e, r)
+    depth = r.select("case_id", "src", "dst", "n_records")
+    depth = depth.select("case_id", F.col("src").alias("entity_id"), "n_records").union(depth.select("case_id", "dst", "n_records")).groupBy(*key).agg(F.sum("n_records").cast("double").alias("evidence_depth"))
+    span = graph.neighbours(r).join(group.select("case_id", F.col("entity_id").alias("other"), "community"), ["case_id", "other"]).groupBy("case_id", F.col("node").alias("entity_id")).agg(F.count_distinct("community").cast("double").alias("community_span"))
+    rows = e.select(*key).join(deg, key).join(rank, key).join(bridge, key).join(depth, key, "left").join(span, key, "left")
+    whole = lambda c: F.col(c).cast("double")
+    return rows.select(*key, whole("degree").alias("prominence"), F.col("pagerank").alias("influence"), "bridging", whole("out_degree").alias("reach"), whole("in_degree").alias("anchorage"), (whole("in_degree") + whole("out_degree")).alias("activity"), F.coalesce("evidence_depth", F.lit(0.0)).alias("evidence_depth"), F.coalesce("community_span", F.lit(0.0)).alias("community_span"))
 
 
 @query("G22_profiles")
@@ -190,19 +218,30 @@ def g22(spark, d):
 
 @query("G23_priorities")
 def g23(spark, d):
-    p = network.profiles(_measures(spark, d))
-    rows = p.select("case_id", "entity_id", "prominence", "influence", "bridging", "reach", F.when(F.col("tier") == "FOCAL", 1).otherwise(0).alias("high"), F.when(F.col("tier") == "SIGNIFICANT", 1).otherwise(0).alias("medium"), F.lit(0).alias("low"), F.lit(0).alias("hypotheses"))
-    return network.priorities(rows).select("case_id", "entity_id", "priority_score", "priority_tier")
-
-
-@query("A24_community_stats", with_sql("WITH m AS (SELECT case_id, src AS entity_id, dst AS community FROM rels WHERE rel_type = 'located_at'), e AS (SELECT DISTINCT r.case_id, src, dst FROM rels r WHERE rel_type = 'transferred_to') SELECT c.community, (SELECT count(*) FROM m WHERE community = c.community) AS size, count(*) FILTER (x.community = y.community AND x.community = c.community) AS internal, count(*) FILTER (x.community <> y.community) AS external FROM (SELECT DISTINCT community FROM m) c JOIN (e JOIN m x ON x.entity_id = e.src JOIN m y ON y.entity_id = e.dst) ON c.community IN (x.community, y.community) GROUP BY 1"))
+    """Findings of an entity are its patterns by severity, hypotheses the missing links that name it."""
+    e, r = _graph(spark, d)
+    key = ["case_id", "entity_id"]
+    deg = graph.degrees(e, r)
+    found = network.concentration(deg).select(*key, "severity").unionByName(network.shared_identifiers(deg, e.where("entity_type = 'organization'")).select(*key, "severity"))
+    found = found.groupBy(*key).agg(*[F.count_if(F.col("severity") == s).cast("int").alias(s.lower()) for s in ("HIGH", "MEDIUM", "LOW")])
+    links = network.missing_links(r, e.where("entity_type = 'organization'"))
+    guessed = links.select("case_id", F.col("a").alias("entity_id")).union(links.select("case_id", "b")).groupBy(*key).agg(F.count("*").cast("int").alias("hypotheses"))
+    p = network.profiles(_measures(spark, d)).select(*key, "prominence", "influence", "bridging", "reach")
+    rows = p.join(found, key, "left").join(guessed, key, "left").na.fill(0, ["high", "medium", "low", "hypotheses"])
+    return network.priorities(rows).select(*key, "priority_score", "priority_tier")
+
+
+@query("A24_community_stats", with_sql("""WITH m AS (SELECT case_id, src AS entity_id, dst AS community FROM rels WHERE rel_type = 'located_at'),
+e AS (SELECT DISTINCT case_id, least(src, dst) AS a, greatest(src, dst) AS b FROM rels WHERE rel_type = 'transferred_to'),
+s AS (SELECT x.case_id, x.community AS p, y.community AS q FROM e JOIN m x ON x.entity_id = e.a JOIN m y ON y.entity_id = e.b),
+c AS (SELECT case_id, community, count(*) FILTER (same) AS internal, count(*) FILTER (NOT same) AS external FROM (SELECT case_id, p AS community, p = q AS same FROM s UNION ALL SELECT case_id, q, false FROM s WHERE p <> q) GROUP BY 1, 2),
+k AS (SELECT m.case_id, community, entity_type, count(*) AS n FROM m JOIN ents ON ents.entity_id = m.entity_id GROUP BY 1, 2, 3),
+t AS (SELECT case_id, community, sum(n)::BIGINT AS size, list(entity_type ORDER BY n DESC, entity_type)[1:3] AS top_types FROM k GROUP BY 1, 2)
+SELECT t.case_id, t.community, size, coalesce(internal, 0) AS internal, coalesce(external, 0) AS external, CASE WHEN size > 1 THEN round(2 * coalesce(internal, 0) / (size * (size - 1)), 6) ELSE 0 END AS density, top_types FROM t LEFT JOIN c ON c.case_id = t.case_id AND c.community = t.community"""))
 def a24(spark, d):
-    r = relationships(spark, d)
-    m = r.where("rel_type = 'located_at'").select(F.col("src").alias("entity_id"), F.col("dst").alias("community"))
-    e = r.where("rel_type = 'transferred_to'").select("src", "dst")
-    sides = e.join(m.select(F.col("entity_id").alias("src"), F.col("community").alias("x")), "src").join(m.select(F.col("entity_id").alias("dst"), F.col("community").alias("y")), "dst")
-    counts = sides.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("community"), (F.col("x") == F.col("y")).alias("same")).groupBy("community").agg(F.count_if("same").alias("internal"), F.count_if(~F.col("same")).alias("external"))
-    return m.groupBy("community").agg(F.count("*").alias("size")).join(counts, "community")
+    e, r = _graph(spark, d)
+    home = r.where("rel_type = 'located_at'").select("case_id", F.col("src").alias("entity_id"), F.col("dst").alias("community"))
+    return structure.community_summary(home, e, r.where("rel_type = 'transferred_to'"))
 
 
 @query("A28_tier_counts")

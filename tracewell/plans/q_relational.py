@@ -178,10 +178,9 @@ def j17(spark, d):
     return records(spark, d).groupBy("part", "case_id").agg(F.count("*").alias("m")).groupBy("part").agg(F.sum("m").alias("n"), F.count("*").alias("cases")).where("cases >= 2")
 
 
-@query("J19_common_neighbours", with_sql("SELECT case_id, a, b, count(*) AS shared FROM (SELECT x.case_id, x.src AS a, y.src AS b, x.dst FROM rels x JOIN rels y ON x.dst = y.dst AND x.case_id = y.case_id AND x.src < y.src WHERE x.src LIKE 'S%' AND y.src LIKE 'S%') GROUP BY 1, 2, 3"))
+@query("J19_common_neighbours", with_sql("WITH near AS (SELECT DISTINCT case_id, node, other FROM ends) SELECT x.case_id, x.node AS a, y.node AS b, count(*) AS shared FROM near x JOIN near y ON x.other = y.other AND x.case_id = y.case_id AND x.node < y.node WHERE x.node LIKE 'S%' AND y.node LIKE 'S%' GROUP BY 1, 2, 3"))
 def j19(spark, d):
-    r = relationships(spark, d).where("src LIKE 'S%'")
-    return graph.common_neighbours(r, entities(spark, d).where("entity_type = 'organization'"))
+    return graph.common_neighbours(relationships(spark, d), entities(spark, d).where("entity_type = 'organization'"))
 
 
 @query("J20_G09_triangles", with_sql("SELECT x.case_id, count(*) AS triangles FROM rels x JOIN rels y ON x.src = y.src AND x.case_id = y.case_id AND y.rel_type = 'located_at' JOIN rels z ON z.src = x.dst AND z.dst = y.dst AND z.rel_type = 'located_at' WHERE x.rel_type = 'transferred_to' GROUP BY 1"))
@@ -189,11 +188,12 @@ def j20(spark, d):
     return graph.triangles(relationships(spark, d)).groupBy("case_id").agg(F.count("*").alias("triangles"))
 
 
-@query("J21_same_day", "SELECT e.event_id, min(o_orderkey) AS o_orderkey FROM events e JOIN orders ON e.user_id = o_custkey AND day(e.ts) = day(o_orderdate) GROUP BY 1")
+@query("J21_same_day", "SELECT l_orderkey, l_linenumber, l_partkey, min(o_orderkey) AS o_orderkey FROM (SELECT l.*, o_custkey AS c FROM lineitem l JOIN orders ON l_orderkey = o_orderkey) l JOIN orders o ON c = o.o_custkey AND l_shipdate::DATE = o_orderdate::DATE GROUP BY 1, 2, 3")
 def j21(spark, d):
-    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("o_custkey"), F.dayofmonth("ts").alias("day"))
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.dayofmonth("o_orderdate").alias("day"))
-    return e.join(o, ["o_custkey", "day"]).groupBy("event_id").agg(F.min("o_orderkey").alias("o_orderkey"))
+    """Order lines and the first order that their customer made on the day they were shipped."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
+    drafts = table(spark, d, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", F.to_date("l_shipdate").alias("day"))
+    return drafts.join(o, ["o_custkey", "day"]).groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("o_orderkey").alias("o_orderkey"))
 
 
 @query("J22_W04_duplicates", "SELECT doc_id, first_value(doc_id) OVER w AS keeper FROM documents WINDOW w AS (PARTITION BY text ORDER BY doc_id) QUALIFY row_number() OVER w > 1")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.graph import cut
+from tracewell.operators.graph import scratch
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -53,10 +53,7 @@ def drained(df: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
 
     complete: the last batch's whole result; append and update: all rows of all batches.
     """
-    import uuid
-
-    base = cut(spark.range(1)).inputFiles()[0].rsplit("/", 2)[0]
-    out, marks = f"{base}/stream-{uuid.uuid4().hex[:12]}", f"{base}/marks-{uuid.uuid4().hex[:12]}"
+    out, marks = scratch(spark), scratch(spark)
 
     def put(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={k}")
