@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import product
 from pathlib import Path
 
 import numpy as np
@@ -131,8 +132,7 @@ def test_secrets(spark, docs, rows, no_docs):
         base = brute_base(t or "")
         assert all(not (a < e and s < b) for s, e, k in got[i] if k == "crf" for a, b, _ in base)
     # what the patterns miss, after a key word
-    assert [k for *_, k in secrets.all_spans("lorem the password is: Zk9xQw3rty77ab0123 ipsum", crf)] == ["crf"]
-    assert secrets.all_spans("lorem ipsum dolor 10.2.3.4 sit amet", crf) == []
+    assert [[k for *_, k in x] for x in secrets.all_spans(["lorem the password is: Zk9xQw3rty77ab0123 ipsum", None, "lorem ipsum dolor 10.2.3.4 sit amet"], crf)] == [["crf"], [], []]
     assert secrets.scan(no_docs, secrets.learn(no_docs)).count() == 0
     clean = secrets.redact(docs, crf)
     assert clean.columns == docs.columns and clean.count() == docs.count()
@@ -140,20 +140,87 @@ def test_secrets(spark, docs, rows, no_docs):
     assert all(r["n_chars"] == len(r["text"]) for r in clean.collect() if r["text"])
 
 
-def test_viterbi_is_the_best_sequence():
-    from itertools import product
+def worth(crf, emit, tags):
+    if tags[0] == 1 or (2, 1) in zip(tags, tags[1:]):
+        return -1e9
+    return sum(e[t] for e, t in zip(emit, tags)) + sum(crf.steps[a][b] for a, b in zip(tags, tags[1:]))
+
 
+def test_viterbi_is_the_best_sequence():
     rnd = random.Random(8)
-    crf = secrets.Field({f"f{k}": tuple(rnd.gauss(0, 2) for _ in range(3)) for k in range(4)}, [[rnd.gauss(0, 1) for _ in range(3)] for _ in range(3)])
     for _ in range(50):
-        feats = [None if rnd.random() < 0.2 else [f"f{rnd.randrange(4)}" for _ in range(2)] for _ in range(6)]
+        crf = secrets.Field({}, [[rnd.gauss(0, 1) for _ in range(3)] for _ in range(3)])
+        emit = np.array([[rnd.gauss(0, 2) for _ in range(3)] for _ in range(6)])
+        assert worth(crf, emit, crf.tags(emit)) == pytest.approx(max(worth(crf, emit, t) for t in product(range(3), repeat=6)))
 
-        def worth(tags):
-            if tags[0] == 1 or any(f is None and t != 2 for f, t in zip(feats, tags)) or (2, 1) in zip(tags, tags[1:]):
-                return -1e9
-            return sum(crf.weights[n][t] for f, t in zip(feats, tags) for n in f or ()) + sum(crf.steps[a][b] for a, b in zip(tags, tags[1:]))
 
-        assert worth(crf.tags(feats)) == pytest.approx(max(map(worth, product(range(3), repeat=6))))
+def test_batches_decode_like_whole_texts(spark):
+    """Scores of a batch are those of the features, and stretches between certain tokens give the best sequence of the whole."""
+    crf = secrets.learn(spark.createDataFrame(list(enumerate(secret_texts(300))), "doc_id long, text string"))
+    texts = [*secret_texts(60), "password correct-horse-battery-staple and two.part.secret", "", "a\u00a0b key:\u3000x" + "y" * 30, "secret: " + "abcdefghijklmnopqrstuvwx" * 2]
+    d = secrets.Decoder(crf)
+    emit, text, start, end = d.scores(texts)
+    for i, t in enumerate(texts):
+        tokens = [(m.start(), m.end(), m[0]) for m in secrets._TOKEN.finditer(t)]
+        own = text == i
+        assert [x[:2] for x in tokens] == list(zip(start[own].tolist(), end[own].tolist()))
+        want = np.array([crf.score(f) for f in secrets.features(tokens, secrets.file_features(t))]).reshape(-1, 3)
+        assert np.allclose(emit[own], want)
+        spans, at = [], None
+        for (s, e, _), tag, (_, before, _) in zip([*tokens, (0, 0, "")], [*crf.tags(want), 2], [(0, 0, ""), *tokens]):
+            if at is not None and tag != 1:
+                spans.append((at, before))
+                at = None
+            at = s if tag == 0 else at
+        assert d.spans(texts)[i] == spans
+
+
+def test_gradient_of_the_field():
+    rnd = random.Random(3)
+    examples = [([[f"f{rnd.randrange(5)}" for _ in range(3)] for _ in range(n)], [2, 0, 1, 1, 2, 0][:n]) for n in (6, 3, 1)]
+    data = secrets.Training(examples)
+    w, steps = np.random.default_rng(1).normal(size=(len(data.names), 3)), np.random.default_rng(2).normal(size=(3, 3))
+    value, grad, gstep = data.loss(w, steps)
+    # the likelihood by all tag sequences
+    total = data.ridge / 2 * ((w**2).sum() + (steps**2).sum())
+    crf = secrets.Field({}, steps.tolist())
+    for f, tags in examples:
+        emit = np.array([sum(w[data.names[n]] for n in x) for x in f])
+        each = [worth(crf, emit, t) for t in product(range(3), repeat=len(f))]
+        total += np.logaddexp.reduce([x for x in each if x > -1e8]) - worth(crf, emit, tags)
+    assert value == pytest.approx(total)
+    for i in range(3):
+        for arr, g in ((w, grad), (steps, gstep)):
+            if arr is steps and i == 1:
+                continue
+            old = arr[i % len(arr), i]
+            arr[i % len(arr), i] = old + 1e-5
+            up = data.loss(w, steps)[0]
+            arr[i % len(arr), i] = old - 1e-5
+            down = data.loss(w, steps)[0]
+            arr[i % len(arr), i] = old
+            assert (up - down) / 2e-5 == pytest.approx(g[i % len(arr), i], abs=1e-4)
+
+
+def hidden(n, seed):
+    """Texts with secrets whose patterns are hidden, and where they are."""
+    rnd, out = random.Random(seed), []
+    for t in secret_texts(n):
+        m = re.search("password=([0-9a-f]{18})|APIKEY:(\\S+)", t)
+        if m:
+            code = "".join(rnd.choice("abcdefghijkXYZ0123456789") for _ in range(20))
+            out.append((t[: m.start()] + "password is " + code + t[m.end() :], m.start() + 12, m.start() + 32))
+    return out
+
+
+def test_field_finds_hidden_secrets(spark):
+    crf = secrets.learn(spark.createDataFrame(list(enumerate(secret_texts(400))), "doc_id long, text string"))
+    rows = hidden(400, 5)
+    found = secrets.all_spans([t for t, *_ in rows], crf)
+    hit = sum(any(k == "crf" and s < b and a < e for s, e, k in f) for f, (_, a, b) in zip(found, rows))
+    crf_spans = [(s, e, a, b) for f, (_, a, b) in zip(found, rows) for s, e, k in f if k == "crf"]
+    right = sum(s < b and a < e for s, e, a, b in crf_spans)
+    assert len(rows) > 50 and hit > 0.75 * len(rows) and right > 0.9 * len(crf_spans)
 
 
 def test_quality(spark, docs, no_docs):

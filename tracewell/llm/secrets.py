@@ -1,15 +1,23 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field over tokens.
 
-Patterns give the base spans (kinds assign, access, hex), which always stay. The field tags tokens
-as begin, inside or outside of a secret from their shape, the words around them and features of
-the whole text; Viterbi decoding gives spans of kind crf, kept where no base span overlaps them. It
-learns from the base spans of a bounded sample (SAMPLE documents, those whose ids hash lowest, at
-most ISLANDS stretches of each), so it carries what their surroundings have in common to tokens that
-the patterns miss.
+Patterns give the base spans (kinds assign, access, hex), which always stay. The field tags every token
+as begin, inside or outside of a secret from its shape, the words around it and features of the whole
+text; Viterbi decoding gives spans of kind crf, kept where no base span overlaps them. It learns from
+the base spans of a bounded sample, so it carries what their surroundings have in common to tokens
+that the patterns miss.
 
-Plain tokens (letters of one word, no digits, no inner capitals, under 24 letters) are outside by
-construction: their weight for begin and inside is minus infinity. A run of them separates what
-lies left and right of it exactly, so decoding runs over the stretches around other tokens only.
+Scores of all tokens of a batch are sums of table rows: a distinct token's shape is looked at once. A
+token is outside for certain if its score for outside leads by more than any neighbours could make up
+for; Viterbi runs over the stretches between such tokens, which gives the best sequence of the whole
+text. Texts of over BLOCK characters are decoded in blocks that overlap by MARGIN characters.
+
+The base patterns know few kinds of values, so each stretch around an assigned value is learnt from
+twice more: with the value drawn anew from letters and digits, and also with a plain word for the
+signs between key word and value.
+
+Bounds of the fit, all parameters: SAMPLE documents (those whose ids hash lowest), of each at most
+ISLANDS stretches around base spans (WIDTH tokens on either side) and one elsewhere, each of at most
+STRETCH tokens.
 
 Defined results: a null text is the empty one and has no spans; without any base span in the sample
 no field is learnt and only base spans are returned; repeated rows each get their result; a null
@@ -19,9 +27,9 @@ ignored. Offsets count code points, the end is exclusive.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,18 +40,21 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import in_tasks
 
-SAMPLE, ISLANDS, CONTEXT = 4000, 40, 80
+SAMPLE, ISLANDS, WIDTH, STRETCH = 2000, 10, 8, 32
+#: Characters of a long text that are decoded at once, and how far blocks overlap.
+BLOCK, MARGIN = 1_000_000, 4000
+#: Distinct tokens whose scores a worker remembers.
+KNOWN = 300_000
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _SIGN = re.compile("[:=]")
-#: What makes a token other than plain.
-_ODD = re.compile(r"[0-9_=+/]|[a-z][A-Z]|[A-Za-z]{24}")
 _TOKEN = re.compile(r"[\w+/.\-]+=*|[^\w\s]")
+#: Tokens and the white space between them.
+_PIECE = re.compile(r"[\w+/.\-]+=*|[^\w\s]|\s+")
 _PLAIN = re.compile(r"(?!.*[a-z][A-Z])[^\W\d_]{1,23}")
 _KEYS = re.compile(r"(?ai)passw|passwd|secret|token|api_?key|private|credential|auth|bearer|key")
-_SPACE = re.compile(r"\s")
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 
 
@@ -58,50 +69,37 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def islands(text: str) -> Iterator[list[tuple[int, int, str]]]:
-    """Stretches of tokens (start, end, token) around the tokens that are not plain."""
-    spans: list[list[int]] = []
-    for m in _ODD.finditer(text):
-        if spans and m.start() < spans[-1][1] - CONTEXT:
-            continue
-        a = m.start()
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        stop = _SPACE.search(text, m.end())
-        b = stop.start() if stop else len(text)
-        a, b = max(0, a - CONTEXT), min(len(text), b + CONTEXT)
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(b, spans[-1][1])
-        else:
-            spans.append([a, b])
-    for a, b in spans:
-        # no half words at the ends
-        while 0 < a and not text[a - 1].isspace() and not text[a].isspace():
-            a += 1
-        while b < len(text) and b > a and not text[b].isspace() and not text[b - 1].isspace():
-            b -= 1
-        yield [(m.start() + a, m.end() + a, m[0]) for m in _TOKEN.finditer(text[a:b])]
+_HEXA = frozenset("0123456789abcdef")
+
+
+def _signature(t: str) -> tuple:
+    """What a token's own features are made of; most tokens share theirs with many others."""
+    n, kinds = len(t), set(t)
+    if n == 1 and not t.isalnum():
+        return (t,)
+    if t.isalpha():
+        digits, mix = 0, "l" if t.islower() else "u" if t.isupper() else "c" if t[1:].islower() else "lu"
+    else:
+        digits = sum(map(str.isdigit, t))
+        letters = sum(map(str.isalpha, t))
+        mix = ("d" if digits else "") + ("l" if any(map(str.islower, kinds)) else "") + ("u" if any(map(str.isupper, kinds)) else "") + ("_" if digits + letters < n else "")
+    return (mix, min(6, n.bit_length()), min(12, len(kinds)), kinds <= _HEXA, int(digits / n * 4), n >= 12, min(3, t.count(".")), min(3, t.count("-")))
 
 
 def _shape(t: str) -> list[str]:
     """Features of a token by itself."""
-    if len(t) == 1 and not t.isalnum():
-        return [f"sign={t}"]
-    digits, lower, upper = sum(c.isdigit() for c in t), sum(c.islower() for c in t), sum(c.isupper() for c in t)
-    n = len(t)
-    counts = Counter(t)
-    bits = -sum(k / n * math.log2(k / n) for k in counts.values())
-    size = min(6, n.bit_length())
-    mix = ("d" if digits else "") + ("l" if lower else "") + ("u" if upper else "") + ("_" if digits + lower + upper < n else "")
-    hexa = all(c in "0123456789abcdef" for c in t)
-    out = [f"mix={mix}", f"mix={mix},size={size}", f"bits={int(bits * 2)}", f"hex={hexa},size={size}", f"digits={int(digits / n * 4)},size={size}", f"long={n >= 12},{mix}"]
-    out += [f"head={t[:4].lower()}"] if n >= 8 else []
-    out += [f"dots={min(3, t.count('.'))}", f"dash={min(3, t.count('-'))}"]
-    return out
+    return _shape_of(_signature(t))
+
+
+def _shape_of(signature: tuple) -> list[str]:
+    if len(signature) == 1:
+        return [f"sign={signature[0]}"]
+    mix, size, kinds, hexa, digits, long, dots, dash = signature
+    return [f"mix={mix}", f"mix={mix},size={size}", f"kinds={kinds},size={size}", f"hex={hexa},size={size}", f"digits={digits},size={size}", f"long={long},{mix}", f"dots={dots}", f"dash={dash}"]
 
 
 def _word(t: str) -> str:
-    key = _KEYS.search(t)
+    key = _KEYS.search(t) if len(t) > 2 else None
     if key:
         return f"key:{key[0].lower()}"
     if len(t) == 1 and not t.isalnum():
@@ -109,15 +107,15 @@ def _word(t: str) -> str:
     return "plain" if _PLAIN.fullmatch(t) else "odd"
 
 
-def features(tokens: list[tuple[int, int, str]], file: list[str]) -> list[list[str] | None]:
-    """Features of each token of a stretch; None for plain ones, which are outside."""
+_AROUND = (-4, -3, -2, -1, 1, 2)
+
+
+def features(tokens: list[tuple[int, int, str]], file: list[str]) -> list[list[str]]:
+    """Features of each of the tokens (start, end, token) of a text."""
     words = [_word(t) for *_, t in tokens]
-    out: list[list[str] | None] = []
+    out = []
     for i, (_, _, t) in enumerate(tokens):
-        if _PLAIN.fullmatch(t):
-            out.append(None)
-            continue
-        around = [f"at{d}={words[i + d]}" for d in (-4, -3, -2, -1, 1, 2) if 0 <= i + d < len(words)]
+        around = [f"at{d}={words[i + d]}" for d in _AROUND if 0 <= i + d < len(words)]
         keys = [d for d in (1, 2, 3, 4) if i >= d and words[i - d].startswith("key:")]
         out.append(["all", *_shape(t), *around, f"key_near={keys[0] if keys else 0}", f"key_near={bool(keys)},long={len(t) >= 12}", *file])
     return out
@@ -135,116 +133,264 @@ class Field:
     weights: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     steps: list[list[float]] = field(default_factory=lambda: [[0.0] * 3 for _ in range(3)])
 
-    def tags(self, feats: list[list[str] | None]) -> list[int]:
-        """The best tag sequence (Viterbi); inside never follows outside."""
-        best, back = [0.0 if t != INSIDE else -1e9 for t in range(3)], []
-        first = True
-        for f in feats:
-            if f is None:
-                emit = [-1e9, -1e9, 0.0]
-            else:
-                emit = [0.0] * 3
-                for name in f:
-                    w = self.weights.get(name)
-                    if w:
-                        for t in range(3):
-                            emit[t] += w[t]
-            if first:
-                best, first = [best[t] + emit[t] for t in range(3)], False
-                continue
-            new, came = [], []
-            for t in range(3):
-                froms = [best[s] + (self.steps[s][t] if not (s == OUTSIDE and t == INSIDE) else -1e9) for s in range(3)]
-                s = max(range(3), key=froms.__getitem__)
-                came.append(s)
-                new.append(froms[s] + emit[t])
-            best = new
-            back.append(came)
-        if first:
+    def score(self, names: list[str]) -> np.ndarray:
+        """Sum of the weights of features, for the three tags."""
+        return np.array([self.weights[n] for n in names if n in self.weights], float).reshape(-1, 3).sum(axis=0)
+
+    def tags(self, emit: np.ndarray, first: bool = True, last: bool = True) -> list[int]:
+        """The best tag sequence (Viterbi) for scores (n, 3); inside never follows outside.
+
+        first, last: whether the text starts and ends here; else an outside token stands there.
+        """
+        if not len(emit):
             return []
+        steps = [[x if not (s == OUTSIDE and t == INSIDE) else -1e9 for t, x in enumerate(row)] for s, row in enumerate(self.steps)]
+        best, back = [float(emit[0][t]) + ((-1e9 if t == INSIDE else 0.0) if first else steps[OUTSIDE][t]) for t in range(3)], []
+        for e in emit[1:].tolist():
+            came = [max(range(3), key=lambda s, t=t: best[s] + steps[s][t]) for t in range(3)]
+            best = [best[s] + steps[s][t] + e[t] for t, s in enumerate(came)]
+            back.append(came)
+        if not last:
+            best = [b + steps[t][OUTSIDE] for t, b in enumerate(best)]
         out = [max(range(3), key=best.__getitem__)]
         for came in reversed(back):
             out.append(came[out[-1]])
         return out[::-1]
 
 
+class Decoder:
+    """A field with its weights as tables, for whole batches of texts."""
+
+    def __init__(self, crf: Field):
+        self.crf = crf
+        names = sorted({n.partition("=")[2] for n in crf.weights if n.startswith("at")})
+        self.classes = {n: i + 1 for i, n in enumerate(names)}  # 0: no weight
+        self.around = {d: np.vstack([np.zeros(3), *(crf.score([f"at{d}={n}"]) for n in names)]) for d in _AROUND}
+        self.near = np.array([crf.score([f"key_near={d}"]) for d in range(5)])
+        self.long = np.array([crf.score([f"key_near={k},long={n}"]) for k in (False, True) for n in (False, True)])
+        self.known: dict[str, int] = {}
+        self.rows: list[tuple] = []
+        self.table = np.zeros((0, 6))
+        self.shapes: dict[tuple, tuple] = {}
+        steps = np.array(crf.steps)
+        steps[OUTSIDE, INSIDE] = -1e9
+        # the most that a tag other than outside can gain through the steps to and from it
+        into = [(steps[p, x], steps[p, OUTSIDE]) if p is not None else (0.0 if x == BEGIN else -1e9, 0.0) for p in (BEGIN, INSIDE, OUTSIDE, None) for x in (BEGIN, INSIDE)]
+        onto = [(steps[x, n], steps[OUTSIDE, BEGIN if n == INSIDE else n]) if n is not None else (0.0, 0.0) for x in (BEGIN, INSIDE) for n in (BEGIN, INSIDE, OUTSIDE, None)]
+        self.lead = max(a - b for a, b in into) + max(a - b for a, b in onto)
+
+    def _row(self, t: str) -> int:
+        if t.isspace():
+            self.known[t] = -1
+            return -1
+        got = len(self.rows)
+        word, signature = _word(t), _signature(t)
+        own = self.shapes.get(signature)
+        if own is None:
+            own = self.shapes[signature] = tuple(self.crf.score(["all", *_shape_of(signature)]).tolist())
+        self.rows.append((*own, self.classes.get(word, 0), word.startswith("key:"), len(t) >= 12))
+        self.known[t] = got
+        return got
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all tokens of the texts: scores (n, 3), text, start, end."""
+        pieces, count = [], []
+        for t in texts:
+            found = _PIECE.findall(t)
+            pieces += found
+            count.append(len(found))
+        if len(self.rows) > KNOWN:
+            self.known, self.rows, self.table = {}, [], np.zeros((0, 6))
+        codes = list(map(self.known.get, pieces))
+        for i, c in enumerate(codes):
+            if c is None:
+                codes[i] = self.known[pieces[i]] if pieces[i] in self.known else self._row(pieces[i])
+        code, size = np.array(codes, np.int64), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        text = np.repeat(np.arange(len(texts)), count)
+        begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1]
+        end = np.cumsum(size) - begin[text] if len(text) else size
+        solid = code >= 0
+        code, text, end, size = code[solid], text[solid], end[solid], size[solid]
+        if len(self.table) < len(self.rows):
+            self.table = np.vstack([self.table, np.array(self.rows[len(self.table) :], float)])
+        table = self.table
+        emit, cls = table[code, :3], table[code, 3].astype(np.int64)
+        key, long = table[code, 4] > 0, table[code, 5] > 0
+        near = np.zeros(len(code), np.int64)
+        for d in (4, 3, 2, 1):
+            near[d:] = np.where(key[:-d] & (text[d:] == text[:-d]), d, near[d:])
+        for d in _AROUND:
+            a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
+            emit[a] += self.around[d][cls[b] * (text[a] == text[b])]
+        emit += self.near[near] + self.long[2 * (near > 0) + long]
+        emit += np.array([self.crf.score(file_features(t)) for t in texts]).reshape(-1, 3)[text]
+        return emit, text, end - size, end
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Secrets of each text: start, end."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        emit, text, start, end = self.scores(texts)
+        n = len(text)
+        if not n:
+            return out
+        same = np.append(text[1:] == text[:-1], False)
+        after = np.append(np.maximum(0, emit[1:, INSIDE] - emit[1:, BEGIN]), 0) * same
+        open_ = np.flatnonzero(emit[:, OUTSIDE] - np.maximum(emit[:, BEGIN], emit[:, INSIDE]) <= self.lead + after)
+        if not len(open_):
+            return out
+        new = np.flatnonzero(np.append(True, (np.diff(open_) > 1) | (np.diff(text[open_]) > 0)))
+        for a, b in zip(open_[new].tolist(), open_[np.append(new[1:], len(open_)) - 1].tolist()):
+            first, last = a == 0 or text[a - 1] != text[a], not same[b]
+            if not first and not last and a == b and emit[a, BEGIN] + self.crf.steps[OUTSIDE][BEGIN] + self.crf.steps[BEGIN][OUTSIDE] <= emit[a, OUTSIDE] + 2 * self.crf.steps[OUTSIDE][OUTSIDE]:
+                continue  # the commonest stretch, a single token that stays outside
+            open_at = None
+            for i, tag in enumerate([*self.crf.tags(emit[a : b + 1], first, last), OUTSIDE], a):
+                if open_at is not None and tag != INSIDE:
+                    out[text[open_at]].append((int(start[open_at]), int(end[i - 1])))
+                    open_at = None
+                if tag == BEGIN:
+                    open_at = i
+        return out
+
+
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis=axis, keepdims=True)
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(examples: list[tuple[list[list[str] | None], list[int]]], rounds: int = 150, ridge: float = 0.02) -> Field:
-    """A field of greatest penalised likelihood, by forward-backward over all examples at once and Adagrad."""
-    examples = [(f, t) for f, t in examples if f]
-    if not any(t != OUTSIDE for _, tags in examples for t in tags):
-        return Field()
-    names = {n: i for i, n in enumerate(sorted({n for f, _ in examples for x in f if x for n in x}))}
-    rows, cols, plain, tags, at = [], [], [], [], 0
-    length = np.array([len(f) for f, _ in examples])
-    most = int(length.max())
-    index = np.full((len(examples), most), -1)
-    for k, (f, t) in enumerate(examples):
-        for i, x in enumerate(f):
-            index[k, i] = at
-            plain.append(x is None)
-            tags.append(t[i])
-            for n in x or ():
-                rows.append(at)
-                cols.append(names[n])
-            at += 1
-    rows, cols, plain, tags = np.array(rows, int), np.array(cols, int), np.array(plain), np.array(tags)
-    w, steps = np.zeros((len(names), 3)), np.zeros((3, 3))
-    gw, gs = np.full_like(w, 1e-6), np.full_like(steps, 1e-6)
-    ban = np.zeros((3, 3))
-    ban[OUTSIDE, INSIDE] = -1e9
-    real = index >= 0
-    gold_steps = np.zeros((3, 3))
-    for k in range(len(examples)):
-        t = tags[index[k, : length[k]]]
-        np.add.at(gold_steps, (t[:-1], t[1:]), 1)
-    for _ in range(rounds):
-        emit = np.stack([np.bincount(rows, w[cols, t], at) for t in range(3)], 1)
-        emit[plain] = [-1e9, -1e9, 0]
-        e = np.where(real[..., None], emit[index], 0)
-        step = steps + ban
-        alpha = np.zeros((len(examples), most, 3))
+class Training:
+    """Examples (features and tags of stretches) as arrays; penalised likelihood and its gradient by forward-backward."""
+
+    def __init__(self, examples: list[tuple[list[list[str]], list[int]]], ridge: float = 0.02):
+        examples = [(f, t) for f, t in examples if f]
+        self.ridge, self.count = ridge, len(examples)
+        self.names = {n: i for i, n in enumerate(sorted({n for f, _ in examples for x in f for n in x}))}
+        self.length = np.array([len(f) for f, _ in examples], int)
+        self.most = int(self.length.max()) if examples else 0
+        self.index = np.full((len(examples), self.most), -1)
+        rows, cols, tags, at = [], [], [], 0
+        for k, (f, t) in enumerate(examples):
+            self.index[k, : len(f)] = np.arange(at, at + len(f))
+            tags += t
+            for x in f:
+                cols += [self.names[n] for n in x]
+                rows += [at] * len(x)
+                at += 1
+        self.rows, self.cols, self.tags, self.tokens = np.array(rows, int), np.array(cols, int), np.array(tags, int), at
+        self.real = self.index >= 0
+        self.ban = np.zeros((3, 3))
+        self.ban[OUTSIDE, INSIDE] = -1e9
+        self.gold = np.zeros((3, 3))
+        for k in range(self.count):
+            t = self.tags[self.index[k, : self.length[k]]]
+            np.add.at(self.gold, (t[:-1], t[1:]), 1)
+
+    def loss(self, w: np.ndarray, steps: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Negative log-likelihood with the ridge, and its gradients by weights (features, 3) and steps (3, 3)."""
+        emit = np.stack([np.bincount(self.rows, w[self.cols, t], self.tokens) for t in range(3)], 1)
+        e = np.where(self.real[..., None], emit[self.index], 0)
+        step, most = steps + self.ban, self.most
+        alpha = np.zeros((self.count, most, 3))
         alpha[:, 0] = e[:, 0] + np.array([0, -1e9, 0])
         for i in range(1, most):
-            alpha[:, i] = np.where(real[:, i, None], _logsumexp(alpha[:, i - 1, :, None] + step, 1) + e[:, i], alpha[:, i - 1])
+            alpha[:, i] = np.where(self.real[:, i, None], _logsumexp(alpha[:, i - 1, :, None] + step, 1) + e[:, i], alpha[:, i - 1])
         beta = np.zeros_like(alpha)
         for i in range(most - 2, -1, -1):
-            beta[:, i] = np.where(real[:, i + 1, None], _logsumexp(step + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2), 0)
+            beta[:, i] = np.where(self.real[:, i + 1, None], _logsumexp(step + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2), 0)
         z = _logsumexp(alpha[:, -1], 1)
         p = np.exp(alpha + beta - z[:, None, None])
-        flat = np.zeros((at, 3))
-        flat[index[real]] = p[real]
-        flat[np.arange(at), tags] -= 1
-        grad = np.stack([np.bincount(cols, flat[rows, t], len(names)) for t in range(3)], 1) + ridge * w
+        flat = np.zeros((self.tokens, 3))
+        flat[self.index[self.real]] = p[self.real]
+        flat[np.arange(self.tokens), self.tags] -= 1
+        grad = np.stack([np.bincount(self.cols, flat[self.rows, t], len(self.names)) for t in range(3)], 1) + self.ridge * w
         pair = np.zeros((3, 3))
         for i in range(1, most):
             q = alpha[:, i - 1, :, None] + step + (e[:, i] + beta[:, i])[:, None, :] - z[:, None, None]
-            pair += np.where(real[:, i, None, None], np.exp(np.minimum(q, 0)), 0).sum(0)
-        gstep = pair - gold_steps + ridge * steps
-        gw += grad**2
-        gs += gstep**2
-        w -= 0.3 * grad / np.sqrt(gw)
-        steps -= 0.3 * gstep / np.sqrt(gs)
-    return Field({n: tuple(map(float, w[i])) for n, i in names.items()}, (steps).tolist())
+            pair += np.where(self.real[:, i, None, None], np.exp(np.minimum(q, 0)), 0).sum(0)
+        gold = emit[np.arange(self.tokens), self.tags].sum() + (self.gold * steps).sum()
+        value = float(z.sum() - gold + self.ridge / 2 * ((w**2).sum() + (steps**2).sum()))
+        return value, grad, pair - self.gold + self.ridge * steps
+
+
+def fit(examples: list[tuple[list[list[str]], list[int]]], rounds: int = 60, ridge: float = 0.1, rate: float = 0.15) -> Field:
+    """A field of greatest penalised likelihood, by steps over all examples at once, scaled by running means of the
+    gradient and of its square.
+    """
+    if not any(t != OUTSIDE for _, tags in examples for t in tags):
+        return Field()
+    data = Training(examples, ridge)
+    at = [np.zeros((len(data.names), 3)), np.zeros((3, 3))]
+    mean, square = [np.zeros_like(x) for x in at], [np.zeros_like(x) for x in at]
+    for k in range(1, rounds + 1):
+        _, *grads = data.loss(*at)
+        for x, g, m, v in zip(at, grads, mean, square):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            x -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+    w, steps = at
+    return Field({n: tuple(map(float, w[i])) for n, i in data.names.items()}, steps.tolist())
 
 
 def _examples(text: str) -> Iterator[tuple[list, list[int]]]:
-    """Stretches of a text with the tags that its base spans give, at most ISLANDS."""
+    """Stretches of a text with the tags that its base spans give: around them, and one elsewhere."""
     values = [(v, e) for _, e, _, v in base_spans(text)]
+    tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
+    if not tokens:
+        return
+    starts, tags = [s for s, *_ in tokens], [OUTSIDE] * len(tokens)
+    wanted: list[list[int]] = []
+    for v, e in values:
+        i = max(0, bisect_right(starts, v) - 1)
+        if tokens[i][1] <= v:
+            i += 1
+        a = i
+        while i < len(tokens) and tokens[i][0] < e:
+            if tags[i] == OUTSIDE:
+                tags[i] = BEGIN if i == a else INSIDE
+            i += 1
+        wanted.append([max(0, a - WIDTH), min(len(tokens), i + WIDTH)])
+    at = zlib.crc32(text.encode("utf-8", "replace")) % len(tokens)
+    stretches = [[at, min(len(tokens), at + STRETCH)]]
+    for a, b in sorted(wanted)[:ISLANDS]:
+        if len(stretches) > 1 and a <= stretches[-1][1]:
+            stretches[-1][1] = max(b, stretches[-1][1])
+        else:
+            stretches.append([a, b])
     file = file_features(text)
-    for k, tokens in enumerate(islands(text)):
-        if k >= ISLANDS:
-            return
-        tags, open_span = [], None
-        for s, e, _ in tokens[:200]:
-            own = next((x for x in values if x[0] < e and s < x[1]), None)
-            tags.append(OUTSIDE if own is None else INSIDE if own == open_span else BEGIN)
-            open_span = own
-        yield features(tokens[:200], file), tags
+    for a, b in stretches:
+        b = min(b, a + STRETCH)
+        own = [BEGIN if t == INSIDE and i == 0 else t for i, t in enumerate(tags[a:b])]
+        # features see what stands before and after the stretch
+        lo, hi = max(0, a - 4), min(len(tokens), b + 2)
+        yield features(tokens[lo:hi], file)[a - lo : b - lo], own
+        new, dropped, plain = list(tokens[a:b]), set(), set()
+        for i, t in enumerate(own):
+            if t == BEGIN and (i == len(own) - 1 or own[i + 1] != INSIDE) and len(new[i][2]) >= 12:
+                back = [j for j in range(max(0, i - 3), i) if new[j][2] in _SIGNS or _KEYS.search(new[j][2])]
+                if any(_KEYS.search(new[j][2]) for j in back):
+                    new[i] = (*new[i][:2], _redrawn(new[i][2]))
+                    signs = [j for j in back if new[j][2] in _SIGNS]
+                    dropped |= set(signs[1:])
+                    plain |= set(signs[:1])
+                    new[back[0]] = (*new[back[0]][:2], new[back[0]][2].rstrip("="))
+        if dropped or new != tokens[a:b]:
+            yield features(new, file), own
+            kept = [j for j in range(len(new)) if j not in dropped]
+            yield features([(*new[j][:2], "is") if j in plain else new[j] for j in kept], file), [own[j] for j in kept]
+
+
+_SIGNS = frozenset("=:\"'")
+_DRAWN = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+
+
+def _redrawn(value: str) -> str:
+    """Another value of the same length: a stream of characters that the hash of the value starts."""
+    h, out, n = zlib.crc32(value.encode()), [], len(value)
+    alphabet = _DRAWN[: 24 + h % (len(_DRAWN) - 23)]
+    for _ in range(max(12, n // (1 + h % 2))):
+        h = (h * 1103515245 + 12345) & 0x7FFFFFFF
+        out.append(alphabet[(h >> 8) % len(alphabet)])
+    return "".join(out)
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
@@ -256,34 +402,42 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
     def make():
         def run(batch: dict) -> Iterator[dict]:
             found = [(d, f, t) for d, text in zip(batch["doc_id"], batch["text"]) if text for f, t in _examples(text)]
-            yield {"doc_id": [d for d, *_ in found], "f": [["\n".join(x) if x is not None else None for x in f] for _, f, _ in found], "t": [t for *_, t in found]}
+            yield {"doc_id": [d for d, *_ in found], "f": [["\n".join(x) for x in f] for _, f, _ in found], "t": [t for *_, t in found]}
 
         return run
 
-    got = in_tasks(some, make, "doc_id long, f array<string>, t array<int>").orderBy("doc_id", F.xxhash64("f"), "f").limit(sample * 5).collect()
-    return fit([([x.split("\n") if x is not None else None for x in r["f"]], list(r["t"])) for r in got])
+    got = in_tasks(some, make, "doc_id long, f array<string>, t array<int>").orderBy("doc_id", F.xxhash64("f"), "f").limit(sample * (3 * ISLANDS + 3)).collect()
+    return fit([([x.split("\n") for x in r["f"]], list(r["t"])) for r in got])
+
+
+def decoder(crf: Field) -> Decoder:
+    """The field's tables, made once a worker."""
+    if getattr(crf, "_decoder", None) is None:
+        crf._decoder = Decoder(crf)
+    return crf._decoder
 
 
-def all_spans(text: str | None, crf: Field) -> list[tuple[int, int, str]]:
-    """start, end, kind of base spans, and of those that the field adds."""
-    if not text:
-        return []
-    base = base_spans(text)
-    out = [(s, e, k) for s, e, k, _ in base]
+def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
+    """Start of each block of a text, and from and to which start of a secret it counts."""
+    for at in range(0, max(1, len(text)), BLOCK):
+        yield max(0, at - MARGIN), at, min(len(text), at + BLOCK)
+
+
+def all_spans(texts: list[str | None], crf: Field) -> list[list[tuple[int, int, str]]]:
+    """Of each text, start, end, kind of base spans and of those that the field adds."""
+    out = []
+    for text in texts:
+        out.append([(s, e, k) for s, e, k, _ in base_spans(text)] if text else [])
     if crf.weights:
-        file = None
-        for tokens in islands(text):
-            file = file or file_features(text)
-            start = end = None
-            for (s, e, _), tag in [*zip(tokens, crf.tags(features(tokens, file))), ((0, 0, ""), OUTSIDE)]:
-                if start is not None and tag != INSIDE:
-                    if not any(a < end and start < b for a, b, *_ in base):
-                        out.append((start, end, "crf"))
-                    start = None
-                if tag == BEGIN:
-                    start = s
-                end = e
-    return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
+        parts = [(i, a, lo, hi) for i, text in enumerate(texts) if text for a, lo, hi in _blocks(text)]
+        found = decoder(crf).spans([texts[i][a : hi + MARGIN] for i, a, _, hi in parts])
+        added: list[list] = [[] for _ in texts]
+        for (i, a, lo, hi), spans in zip(parts, found):
+            added[i] += [(s + a, e + a, "crf") for s, e in spans if lo <= s + a < hi]
+        for base, more in zip(out, added):
+            known = list(base)
+            base += [x for x in more if not any(a < x[1] and x[0] < b for a, b, _ in known)]
+    return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in out]
 
 
 def scan(docs: DataFrame, crf: Field) -> DataFrame:
@@ -293,11 +447,11 @@ def scan(docs: DataFrame, crf: Field) -> DataFrame:
 
     def make():
         def run(batch: dict) -> Iterator[dict]:
-            yield {"doc_id": batch["doc_id"], "spans": [[{"start": s, "end": e, "kind": k} for s, e, k in all_spans(t, shared.value)] for t in batch["text"]]}
+            yield {"doc_id": batch["doc_id"], "spans": [[{"start": s, "end": e, "kind": k} for s, e, k in spans] for spans in all_spans(batch["text"], shared.value)]}
 
         return run
 
-    return in_tasks(rows, make, "doc_id long, spans array<struct<start:int,end:int,kind:string>>")
+    return in_tasks(rows, make, "doc_id long, spans array<struct<start:int,end:int,kind:string>>", 500)
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, str]], mark: str = "[secret]") -> str | None:
@@ -318,7 +472,11 @@ def redact(docs: DataFrame, crf: Field) -> DataFrame:
 
     @F.pandas_udf("string")
     def cleaned(text: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t, all_spans(t, shared.value)) for t in text], dtype=object)
+        out: list = []
+        for at in range(0, len(text), 500):
+            some = text.iloc[at : at + 500].tolist()
+            out += [redacted(t, spans) for t, spans in zip(some, all_spans(some, shared.value))]
+        return pd.Series(out, dtype=object)
 
     new = cleaned(docs["text"].cast("string"))
     out = docs.withColumns({"text": new})
