@@ -9,9 +9,9 @@ about 10 of 64 bits, far beyond any budget that the trie can walk, so the bands
 0.8 shares none with a chance of (1 - 0.8**5)**24, 1 in 14,000, and one at 0.85 of 1 in 1,300,000.
 Each candidate pair is then checked by the sizes of the two sets and of what they have in common.
 
-Rounds: in each bucket the first HEADS documents left are compared with all after them, and those
-whose comparisons are complete are decided in order. So a bucket of many near copies costs HEADS
-comparisons a document, not all pairs, and none is left out.
+Rounds: in each bucket the first documents left (HEADS, and in each round twice as many) are compared
+with all after them, and those whose comparisons are complete are decided in order. So a bucket of many
+near copies costs a few comparisons a document, not all pairs, and none is left out.
 
 Documents with equal sets of shingles, so all copies, are one node. A text below five words is one
 shingle; null and blank texts have none and are copies of each other.
@@ -32,7 +32,7 @@ from tracewell.llm.simhash import _LOWER, _WORDS, BITS, SEED, best_rows, links,
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
-HEADS = 32
+HEADS = 4
 
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.default_rng(43).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,6 +147,7 @@ def similar_to_kept(docs: DataFrame, rows: DataFrame, heads: int = HEADS) -> Dat
         decided = ready.join(edges.select(F.col("b").alias("node")), "node", "left_anti")
         for g in gone:
             decided = decided.union(g)
+        heads *= 2
         left = _shared(left.join(decided.distinct(), "node", "left_anti").select("bucket", "trie", "node", "k", "n"))
     return dropped if dropped is not None else nodes.select("node").limit(0)
 
