@@ -70,11 +70,6 @@ def s22(spark, d):
     return docs.join(again, "h").select("doc_id", "duplicate")
 
 
-@query("S25_headed_chunks", "SELECT doc_id, count(*) AS chunks FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 0 GROUP BY 1")
-def s25(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").groupBy("doc_id").agg(F.count("*").alias("chunks"))
-
-
 @query("P05_P06_headers", "SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS header FROM part")
 def p05(spark, d):
     return table(spark, d, "part").select("p_partkey", text.header(F.col("p_type")).alias("header"))
