@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and
 read again as the next stage's docs. All but the last keep the columns of documents.
+
+Defined results of every stage: a null text is the empty one, scored, compared and packed like any
+other; whole texts are read however long they are; a null doc_id is kept and never learnt from; ties
+go to the lower doc_id (nulls last), then to the hash of the text; rows repeated in all of doc_id and
+text are one document from near_duplicates on; an empty table gives an empty result; further columns
+of documents, also such as clash with names used inside, come through unchanged.
 """
 
 from __future__ import annotations
