@@ -44,10 +44,12 @@ def f35(spark, d):
     return table(spark, d, "events").select("event_id", claims.json_object(raw).alias("o")).select("event_id", F.col("o").isNotNull().alias("found"), claims.schema_issues(F.col("o"), ["k", "v"]).alias("issues"))
 
 
-@query("F37_F31_value_in_source", "SELECT doc_id, contains(text, split_part(text, ' ', 3)) AS first_ok, contains(text, split_part(text, ' ', 3) || '#') AS other_ok FROM documents")
+@query("F37_F31_value_in_source", "SELECT d.doc_id, contains(d.text, b.text) AS whole, contains(d.text, d.text) AS own FROM documents d JOIN benchmark b ON b.item_id = d.doc_id")
 def f37(spark, d):
-    w = F.split_part("text", F.lit(" "), F.lit(3))
-    return table(spark, d, "documents").select("doc_id", F.contains("text", w).alias("first_ok"), F.contains("text", F.concat(w, F.lit("#"))).alias("other_ok"))
+    """Whole benchmark texts, and documents themselves, looked up in whole documents."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("value"))
+    rows = table(spark, d, "documents").join(items, "doc_id")
+    return rows.select("doc_id", F.contains("text", F.col("value")).alias("whole"), F.contains("text", F.col("text")).alias("own"))
 
 
 @query("F41_negation", r"SELECT doc_id, regexp_matches(text, '(?i)\b(not|no|never|none|neither|den(?:y|ied|ies)|refus(?:e|ed)|without)\b') AS negated FROM documents")
@@ -66,12 +68,6 @@ def f43(spark, d):
     return _lines(spark, d).select("l_orderkey", "l_linenumber", F.size(claims.tokens(F.col("t"))).cast("long").alias("n"))
 
 
-@query("F44_unverified_quotes", "SELECT doc_id, [left(text, 5) || '§'] AS bad FROM documents")
-def f44(spark, d):
-    first = F.substring("text", 1, 5)
-    return table(spark, d, "documents").select("doc_id", claims.unverified(F.array(first, F.concat(first, F.lit("§"))), F.col("text")).alias("bad"))
-
-
 @query("F40_material_missing", r"SELECT l_orderkey, l_linenumber, list_sort(list_filter(list_distinct(regexp_extract_all(t, '[0-9]+')), lambda x: NOT contains('part ' || l_partkey, x))) AS missing FROM " + LINES)
 def f40(spark, d):
     return _lines(spark, d).select("l_orderkey", "l_linenumber", F.array_sort(claims.material_missing(F.col("t"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")))).alias("missing"))
@@ -95,12 +91,6 @@ def f49(spark, d):
     return rows.select("doc_id", F.array_compact(F.array(F.when(F.col("lang").isNull(), "record_missing"), F.when(F.col("lang") != "en", "wrong_case"))).alias("issues"))
 
 
-@query("F50_spans", "SELECT doc_id, true AS good, false AS bad FROM documents")
-def f50(spark, d):
-    part = F.substring("text", 3, 4)
-    return table(spark, d, "documents").select("doc_id", claims.span_holds(F.col("text"), F.lit(2), F.lit(6), part).alias("good"), claims.span_holds(F.col("text"), F.lit(2), F.lit(6), F.concat(part, F.lit("x"))).alias("bad"))
-
-
 @query("R20_audit", f"SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'high' ELSE 'none' END AS severity FROM {LINES}")
 def r20(spark, d):
     codes = F.array_compact(F.array(F.when(~claims.total_holds(F.col("t")), "numeric_mismatch")))
@@ -119,14 +109,6 @@ def j18(spark, d):
     return r.join(r.where("discount = 0 and currency = 'R'").select("file_id").distinct(), "file_id", "left_semi").select("record_id", "part")
 
 
-@query("J26_counter_evidence", "SELECT item_id, doc_id FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS k FROM (SELECT DISTINCT item_id, lower(w) AS w FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 6) b JOIN (SELECT DISTINCT doc_id, lower(w) AS w FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) >= 6) USING (w) GROUP BY item_id, doc_id) WHERE k <= 3")
-def j26(spark, d):
-    word = lambda df, key: df.select(key, F.explode(F.split("text", " ")).alias("w")).where("length(w) >= 6").select(key, F.lower("w").alias("w")).distinct()
-    hits = word(table(spark, d, "documents"), "doc_id").join(word(table(spark, d, "benchmark"), "item_id"), "w").select("item_id", "doc_id").distinct()
-    w = Window.partitionBy("item_id").orderBy("doc_id")
-    return hits.withColumn("k", F.row_number().over(w)).where("k <= 3").drop("k")
-
-
 @query("J29_job_artifacts", "SELECT d.doc_id, count(l.doc_id) AS artifacts FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1")
 def j29(spark, d):
     n = table(spark, d, "labels").groupBy("doc_id").agg(F.count("*").alias("artifacts"))
