@@ -171,11 +171,6 @@ def e13(spark, d):
     return entities(spark, d).groupBy("case_id", "entity_type", "status").agg(F.count("*").alias("n"))
 
 
-@query("E16_closure", with_sql("SELECT DISTINCT party, account FROM recs"))
-def e16(spark, d):
-    return records(spark, d).select("party", "account").distinct()
-
-
 @query("G10_centrality", with_sql("WITH g AS (SELECT e.case_id, e.entity_id, count(DISTINCT n.other) AS degree FROM ents e LEFT JOIN ends n ON n.node = e.entity_id AND n.case_id = e.case_id GROUP BY 1, 2) SELECT case_id, entity_id, degree::DOUBLE AS raw, round(degree / greatest(1, max(degree) OVER (PARTITION BY case_id)), 8) AS normalized, CAST(row_number() OVER (PARTITION BY case_id ORDER BY degree DESC, entity_id) AS INT) AS rank FROM g"))
 def g10(spark, d):
     deg = graph.degrees(entities(spark, d), relationships(spark, d)).select("case_id", "entity_id", F.col("degree").cast("double").alias("raw"))
