@@ -81,3 +81,24 @@ def severities(claims: DataFrame, found: DataFrame) -> DataFrame:
     top = found.groupBy("draft_id", "claim_id").agg(F.count("*").alias("findings"), F.max_by("severity", rank).alias("severity"))
     rows = claims.select("draft_id", "claim_id").distinct().join(top, ["draft_id", "claim_id"], "left")
     return rows.select("draft_id", "claim_id", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("severity", F.lit("none")).alias("severity"))
+
+
+def citation_codes(citations: DataFrame, sources: DataFrame, case_id: str = "case_id") -> DataFrame:
+    """citation_id, codes (sorted, empty where valid) of ``citations``: citation_id, kind, cited_id, case_id, locator, value, quote.
+
+    sources: kind, source_id, case_id, visible, fields (map), body. Codes: unknown_kind, invalid_id, record_missing, unauthorized,
+    wrong_case, locator_invalid (no such field), value_mismatch (the field has another value), quote_unsupported.
+    """
+    s = sources.select(F.col("kind").alias("kind"), F.col("source_id").alias("cited_id"), F.col("case_id").alias("_case"), "visible", "fields", "body", F.lit(True).alias("_there"))
+    kinds = [r[0] for r in sources.select("kind").distinct().limit(50).collect()]
+    rows = citations.join(s, ["kind", "cited_id"], "left")
+    known, there = F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), F.col("_there").isNotNull()
+    shaped = F.coalesce(F.trim("cited_id") != "", F.lit(False))
+    field = F.element_at("fields", F.col("locator"))
+    code = lambda test, name: F.when(test, name)
+    codes = F.array_compact(F.array(
+        code(~known, "unknown_kind"), code(known & ~shaped, "invalid_id"), code(known & shaped & ~there, "record_missing"), code(there & ~F.col("visible"), "unauthorized"), code(there & (F.col("_case") != F.col(case_id)), "wrong_case"),
+        code(there & F.col("locator").isNotNull() & ~F.coalesce(F.map_contains_key("fields", F.coalesce("locator", F.lit(""))), F.lit(False)), "locator_invalid"), code(there & field.isNotNull() & F.col("value").isNotNull() & (field != F.col("value")), "value_mismatch"),
+        code(there & F.col("quote").isNotNull() & ~F.contains("body", F.coalesce("quote", F.lit(""))), "quote_unsupported"),
+    ))
+    return rows.select("citation_id", F.array_sort(codes).alias("codes"))

@@ -184,12 +184,6 @@ def r15(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("([0-9a-f]{16,})"), F.lit(1))).cast("long").alias("digests"))
 
 
-@query("R21_findings", with_sql("SELECT case_id, 'concentration' AS kind, node AS entity_id, count(*) AS score FROM ends GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY count(*) DESC, node) <= 40"))
-def r21(spark, d):
-    n = graph.endpoints(relationships(spark, d)).groupBy("case_id", F.col("node").alias("entity_id")).agg(F.count("*").alias("score"))
-    return graph.ranked(n, "score", 40).select("case_id", F.lit("concentration").alias("kind"), "entity_id", "score")
-
-
 @query("R25_digests", with_sql("SELECT case_id, count(*) AS entities, count(*) FILTER (entity_type = 'person') AS persons, count(*) FILTER (status = 'review') AS to_review FROM ents GROUP BY 1"))
 def r25(spark, d):
     return entities(spark, d).groupBy("case_id").agg(F.count("*").alias("entities"), F.count_if(F.col("entity_type") == "person").alias("persons"), F.count_if(F.col("status") == "review").alias("to_review"))

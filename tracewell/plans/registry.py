@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def queries() -> dict[str, Query]:
     _load()
     return dict(_QUERIES)
