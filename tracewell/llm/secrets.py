@@ -42,9 +42,9 @@ from tracewell.llm.common import in_tasks
 
 SAMPLE, ISLANDS, WIDTH, STRETCH = 2000, 10, 8, 32
 #: Characters of a long text that are decoded at once, and how far blocks overlap.
-BLOCK, MARGIN = 1_000_000, 4000
+BLOCK, MARGIN = 500_000, 4000
 #: Distinct tokens whose scores a worker remembers.
-KNOWN = 300_000
+KNOWN = 100_000
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -183,7 +183,7 @@ class Decoder:
         if t.isspace():
             self.known[t] = -1
             return -1
-        got = len(self.rows)
+        got = len(self.table) + len(self.rows)
         word, signature = _word(t), _signature(t)
         own = self.shapes.get(signature)
         if own is None:
@@ -199,8 +199,8 @@ class Decoder:
             found = _PIECE.findall(t)
             pieces += found
             count.append(len(found))
-        if len(self.rows) > KNOWN:
-            self.known, self.rows, self.table = {}, [], np.zeros((0, 6))
+        if len(self.table) > KNOWN:
+            self.known, self.table = {}, np.zeros((0, 6))
         codes = list(map(self.known.get, pieces))
         for i, c in enumerate(codes):
             if c is None:
@@ -211,8 +211,8 @@ class Decoder:
         end = np.cumsum(size) - begin[text] if len(text) else size
         solid = code >= 0
         code, text, end, size = code[solid], text[solid], end[solid], size[solid]
-        if len(self.table) < len(self.rows):
-            self.table = np.vstack([self.table, np.array(self.rows[len(self.table) :], float)])
+        if self.rows:
+            self.table, self.rows = np.vstack([self.table, np.array(self.rows, float)]), []
         table = self.table
         emit, cls = table[code, :3], table[code, 3].astype(np.int64)
         key, long = table[code, 4] > 0, table[code, 5] > 0
@@ -425,15 +425,24 @@ def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
 
 def all_spans(texts: list[str | None], crf: Field) -> list[list[tuple[int, int, str]]]:
     """Of each text, start, end, kind of base spans and of those that the field adds."""
-    out = []
-    for text in texts:
-        out.append([(s, e, k) for s, e, k, _ in base_spans(text)] if text else [])
+    out = [[(s, e, k) for s, e, k, _ in base_spans(text)] if text else [] for text in texts]
     if crf.weights:
-        parts = [(i, a, lo, hi) for i, text in enumerate(texts) if text for a, lo, hi in _blocks(text)]
-        found = decoder(crf).spans([texts[i][a : hi + MARGIN] for i, a, _, hi in parts])
         added: list[list] = [[] for _ in texts]
-        for (i, a, lo, hi), spans in zip(parts, found):
-            added[i] += [(s + a, e + a, "crf") for s, e in spans if lo <= s + a < hi]
+        some, size = [], 0
+
+        def decode() -> None:
+            found = decoder(crf).spans([texts[i][a : hi + MARGIN] for i, a, _, hi in some])
+            for (i, a, lo, hi), spans in zip(some, found):
+                added[i] += [(s + a, e + a, "crf") for s, e in spans if lo <= s + a < hi]
+
+        for i, text in enumerate(texts):
+            for a, lo, hi in _blocks(text) if text else ():
+                some.append((i, a, lo, hi))
+                size += hi - a
+                if size >= BLOCK:  # about as much at once as a block of a long text
+                    decode()
+                    some, size = [], 0
+        decode()
         for base, more in zip(out, added):
             known = list(base)
             base += [x for x in more if not any(a < x[1] and x[0] < b for a, b, _ in known)]
