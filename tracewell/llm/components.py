@@ -1,4 +1,9 @@
-"""Connected components of an edge table, on Spark."""
+"""Connected components of an edge table, on Spark.
+
+Defined results: repeated links and loops say nothing; a node that is only in loops has no row; nulls in
+a or b drop the link; no links give no rows; further columns are ignored. A node of very many links is
+one group of a partial aggregate, never a list.
+"""
 
 from __future__ import annotations
 

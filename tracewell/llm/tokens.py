@@ -7,6 +7,9 @@ library's model and remembered, and the ids of texts are gathered as arrays.
 
 Words with characters beyond Latin (over U+024F) are encoded by the library, one distinct word at a
 time; texts with special strings, or with other white space beside blanks, as a whole.
+
+Defined results: a null text is the empty one and has no ids but the end; repeated texts have equal ids;
+an array of no texts has none; a text of any length is encoded whole, alone if it is over BATCH bytes.
 """
 
 from __future__ import annotations
