@@ -133,3 +133,24 @@ def provenance(entities: DataFrame, ends: DataFrame, evidence: DataFrame, record
     files = recs.join(records, "record_id").select("entity_id", "file_id").distinct()
     of = lambda df, kind, c: df.select("entity_id", F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id"))
     return of(rels, "relationship", "rel_id").union(of(recs, "record", "record_id")).union(of(files, "file", "file_id"))
+
+
+def reviewed(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """match_id, status, signals of ``candidates`` (match_id, status, signals) after review.
+
+    decisions: match_id, verdict (accepted or rejected), decided_at, signals. Only pending candidates change, by their
+    first decision; an accepted one has the signals of both.
+    """
+    rank = Window.partitionBy("match_id").orderBy("decided_at", "verdict")
+    first = decisions.where(F.col("verdict").isin("accepted", "rejected")).withColumn("k", F.row_number().over(rank)).where("k = 1").select("match_id", "verdict", F.col("signals").alias("more"))
+    rows = candidates.join(first, "match_id", "left")
+    change = (F.col("status") == "pending") & F.col("verdict").isNotNull()
+    both = F.array_sort(F.array_distinct(F.concat("signals", F.coalesce("more", F.array().cast("array<string>")))))
+    return rows.select("match_id", F.when(change, F.col("verdict")).otherwise(F.col("status")).alias("status"), F.when(change & (F.col("verdict") == "accepted"), both).otherwise(F.array_sort("signals")).alias("signals"))
+
+
+def ingestion_summary(entities: DataFrame, rels: DataFrame) -> DataFrame:
+    """case_id, kind, name, n: entities and relationships of each case by type, and their totals (name: total)."""
+    of = lambda df, kind, c: df.groupBy("case_id", F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count("*").alias("n"))
+    rows = of(entities, "entity", "entity_type").union(of(rels, "relationship", "rel_type"))
+    return rows.union(rows.groupBy("case_id", "kind").agg(F.sum("n").alias("n")).select("case_id", "kind", F.lit("total").alias("name"), "n"))

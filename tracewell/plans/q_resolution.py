@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.domain import entities, records, table, with_sql
+from tracewell.domain import entities, records, relationships, table, with_sql
 from tracewell.operators import resolution
 from tracewell.plans.registry import query
 from tracewell.sources import intake
@@ -84,3 +84,21 @@ def e08(spark, d):
     some, long = w.where(F.length("t") >= 12), w.where(F.length("t") >= 30)
     found = mention(some, "person", F.substring("t", 1, 4), F.col("start")).union(mention(some, "location", F.right(F.col("t"), F.lit(4)), F.col("end") - 4)).union(mention(long, "person", F.substring("t", 6, 4), F.col("start") + 5))
     return resolution.co_occurrence(found, w.select("record_id", "start", "end"))
+
+
+@query("E13_reviewed_matches", """WITH c AS (SELECT o_orderkey AS match_id, CASE WHEN o_orderstatus = 'O' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'accepted' ELSE 'rejected' END AS status, [o_orderpriority] AS signals FROM orders),
+d AS (SELECT l_orderkey AS match_id, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'rejected' END AS verdict, l_shipdate AS decided_at, l_linestatus AS s FROM lineitem),
+f AS (SELECT match_id, min((decided_at, verdict, s)) AS x FROM d WHERE verdict IS NOT NULL GROUP BY 1)
+SELECT c.match_id, CASE WHEN status = 'pending' AND x IS NOT NULL THEN x[2] ELSE status END AS status, CASE WHEN status = 'pending' AND x[2] = 'accepted' THEN list_sort(list_distinct(list_append(signals, x[3]))) ELSE signals END AS signals FROM c LEFT JOIN f USING (match_id)""")
+def e13(spark, d):
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "accepted").otherwise("rejected")
+    c = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"), status.alias("status"), F.array("o_orderpriority").alias("signals"))
+    flag = F.col("l_returnflag")
+    # of decisions at one time with one verdict, the least signal counts
+    said = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("match_id"), F.when(flag == "A", "accepted").when(flag == "R", "rejected").otherwise("none").alias("verdict"), F.col("l_shipdate").alias("decided_at")).agg(F.array(F.min("l_linestatus")).alias("signals"))
+    return resolution.reviewed(c, said)
+
+
+@query("E15_ingestion_summary", with_sql("WITH r AS (SELECT case_id, 'entity' AS kind, entity_type AS name, count(*) AS n FROM ents GROUP BY ALL UNION ALL SELECT case_id, 'relationship', rel_type, count(*) FROM rels GROUP BY ALL) SELECT * FROM r UNION ALL SELECT case_id, kind, 'total', sum(n)::BIGINT FROM r GROUP BY ALL"))
+def e15(spark, d):
+    return resolution.ingestion_summary(entities(spark, d), relationships(spark, d))
