@@ -153,7 +153,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.monotonically_increasing_id())
     with shuffles_freed(spark):
-        objects = in_arrow(rows, lambda: _objects(tokenizer, end_id), _OBJECTS, 4000)
+        objects = in_arrow(rows, lambda: _objects(tokenizer, end_id), _OBJECTS, 3000)
         objects.dropDuplicates(["kind", "key"]).write.partitionBy("kind").parquet(f"{path}/objects")
         drafts = _objects_of(spark, path, "draft").select("doc_id", "rid", "n_tokens", "width", "chunks", "root")
         places = running_start(drafts.select("doc_id", "rid", "n_tokens", F.lit(1).alias("one")), ["doc_id", "rid"], ["n_tokens", "one"], ["start", "pos"]).select("rid", "start", "pos")

@@ -36,6 +36,8 @@ from tracewell.llm.tokens import encoder, width_of
 WINDOW, QUANTUM = 1024, 128
 #: Queues whose totals are sent to the tasks.
 TABLE = 4096
+#: Pieces, of at most WINDOW ids, that a task sends at once.
+PIECES = 4000
 #: Weights are rounded to this total, so that products stay well below 2**63.
 RESOLUTION = 1 << 20
 
@@ -143,10 +145,10 @@ def _pieces(schedule: Schedule | None, order: dict, total: int, with_ids: bool):
             runs = (doc, *(x[c].to_numpy(zero_copy_only=False) for c in ("start", "length", "to")))
         doc, start, length, sequence, offset = windows(*runs, total)
         data = [memoryview(np.frombuffer(x, f"<u{w}").astype("<u4")).cast("B") for x, w in zip(batch["ids"].to_pylist(), width.tolist())]
-        for k in range(0, len(doc), 20_000):
-            d, s, m = (x[k : k + 20_000] for x in (doc, start, length))
+        for k in range(0, len(doc), PIECES):
+            d, s, m = (x[k : k + PIECES] for x in (doc, start, length))
             own = [data[i][4 * a : 4 * (a + b)] for i, a, b in zip(d.tolist(), s.tolist(), m.tolist())]
-            out = {"doc_id": batch["doc_id"].take(pa.array(d)), "start": s, "length": m, "ids_crc32": list(map(zlib.crc32, own)), "doc_tokens": n[d], "sequence_id": sequence[k : k + 20_000], "offset": offset[k : k + 20_000]}
+            out = {"doc_id": batch["doc_id"].take(pa.array(d)), "start": s, "length": m, "ids_crc32": list(map(zlib.crc32, own)), "doc_tokens": n[d], "sequence_id": sequence[k : k + PIECES], "offset": offset[k : k + PIECES]}
             yield out | ({"source": batch["source"].take(pa.array(d)), "ids": list(map(bytes, own))} if with_ids else {})
 
     return run
@@ -195,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, weights: dict[str, int] |
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    first = staged(in_arrow(rows.withColumn("rid", F.monotonically_increasing_id()), lambda: _encoded(tokenizer, end_id), "rid long, doc_id long, source string, n long, width int, ids binary", 10_000), "pack")
+    first = staged(in_arrow(rows.withColumn("rid", F.monotonically_increasing_id()), lambda: _encoded(tokenizer, end_id), "rid long, doc_id long, source string, n long, width int, ids binary", 3000), "pack")
     first = first.withColumn("queue", F.to_json(F.struct("source")))
     totals = staged(first.groupBy("queue").agg(F.sum("n").alias("n"), F.first("source").alias("source")), "queues")
     share = F.col("n")
@@ -217,7 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, weights: dict[str, int] |
         numbered = running_start(staged(numbered, "queues"), ["h", "queue"], "one", "q").select("queue", "q", "n", "weight")
         slim = staged(at.select("rid", "queue", "at", "n"), "pack")
         known = first.join(_ranked_runs(slim, staged(numbered, "queues")), "rid")
-    return in_arrow(known, lambda: _pieces(schedule, order, total or 0, with_ids), columns, 1000)
+    return in_arrow(known, lambda: _pieces(schedule, order, total or 0, with_ids), columns, 500)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -477,18 +477,18 @@ def redacted(text: str | None, spans: list[tuple[int, int, str]], mark: str = "[
 
 def redact(docs: DataFrame, crf: Field) -> DataFrame:
     """``docs`` with all their columns, secrets in ``text`` replaced and ``n_chars`` (where there is one) counted anew."""
-    shared = docs.sparkSession.sparkContext.broadcast(crf)
-
-    @F.pandas_udf("string")
-    def cleaned(text: pd.Series) -> pd.Series:
-        out: list = []
-        for at in range(0, len(text), 500):
-            some = text.iloc[at : at + 500].tolist()
-            out += [redacted(t, spans) for t, spans in zip(some, all_spans(some, shared.value))]
-        return pd.Series(out, dtype=object)
-
-    new = cleaned(docs["text"].cast("string"))
-    out = docs.withColumns({"text": new})
+    shared, at = docs.sparkSession.sparkContext.broadcast(crf), docs.columns.index("text")
+    docs = docs.withColumns({"text": docs["text"].cast("string")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                texts = part.column(at).to_pylist()
+                new = pa.array([redacted(t, spans) for t, spans in zip(texts, all_spans(texts, shared.value))], part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([new if c == at else part.column(c) for c in range(part.num_columns)], schema=part.schema)
+
+    out = docs.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumns({"n_chars": F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))})
     return out
