@@ -39,6 +39,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tracewell-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 8 << 20
+
+
+def batches_bounded(df: DataFrame) -> DataFrame:
+    """``df`` unchanged; the session sends at most BATCH_BYTES at once to Python, where it was set to send more.
+
+    Two tasks of an executor hold a few such batches each, outside of Spark's memory. A plan reads the
+    setting when it runs, so it stays lowered; batches are no part of any result.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Writes inside give up their shuffle files when they end: only what they wrote is read later."""
@@ -63,7 +79,7 @@ def in_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
     """``df`` through a Python function in each task, in Arrow batches of at most ``rows`` rows.
 
     ``make()`` is called once a task and returns a function from a batch to any number of batches
-    (column name to list or Arrow array). Spark bounds the bytes of what it sends at once.
+    (column name to list or Arrow array).
     """
     to = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -76,7 +92,7 @@ def in_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
         for out in getattr(f, "rest", tuple)():
             yield pa.RecordBatch.from_pydict(out, schema=to)
 
-    return df.mapInArrow(run, schema)
+    return batches_bounded(df).mapInArrow(run, schema)
 
 
 def in_tasks(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[dict]]], schema: str, rows: int = 2000) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import in_tasks
+from tracewell.llm.common import batches_bounded, in_tasks
 
 SAMPLE, THRESHOLD = 8000, 0.7
 TREES, DEPTH, BINS = 40, 3, 32
@@ -204,7 +204,7 @@ def _statistics(text: pd.Series) -> pd.DataFrame:
 def accepted(docs: DataFrame, rules: Rules) -> DataFrame:
     """Rows of ``docs``, with all their columns, that the rules predict to be good."""
     got = F.pandas_udf(_statistics, ", ".join(f"{name} double" for name in STATISTICS))(docs["text"].cast("string"))
-    return docs.where(rules.column(lambda name: got[name]) >= THRESHOLD)
+    return batches_bounded(docs).where(rules.column(lambda name: got[name]) >= THRESHOLD)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import in_tasks
+from tracewell.llm.common import batches_bounded, in_tasks
 
 SAMPLE, ISLANDS, WIDTH, STRETCH = 2000, 10, 8, 32
 #: Characters of a long text that are decoded at once, and how far blocks overlap.
@@ -488,7 +488,7 @@ def redact(docs: DataFrame, crf: Field) -> DataFrame:
                 new = pa.array([redacted(t, spans) for t, spans in zip(texts, all_spans(texts, shared.value))], part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([new if c == at else part.column(c) for c in range(part.num_columns)], schema=part.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = batches_bounded(docs).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumns({"n_chars": F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))})
     return out
