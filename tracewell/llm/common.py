@@ -50,7 +50,7 @@ def batches_bounded(df: DataFrame) -> DataFrame:
     setting when it runs, so it stays lowered; batches are no part of any result.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+    if df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key)) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
 
