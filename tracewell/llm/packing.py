@@ -9,7 +9,9 @@ a sum over queues: tasks compute the places of their own documents, nothing is s
 sequence, and deficits carry across windows and partitions.
 
 Up to TABLE queues their totals are sent to the tasks. Beyond that, Spark counts the quanta of each
-(round, queue) and sums them in order; the places are the same.
+(round, queue) and sums them in order; the places are the same. A document gives at most a row for each
+of its quanta there, however many rounds lie between them. Weights are rounded to RESOLUTION parts of the
+mixture, at least one each: with more sources than that all of the smallest get equal shares.
 
 The stream of all quanta, and after it the rests of the queues (under one quantum each), is cut into
 windows; what the last, partial window holds is cut into sequences whose sizes are powers of two, so
@@ -177,7 +179,8 @@ def _ranked_runs(slim: DataFrame, totals: DataFrame) -> DataFrame:
         return _whole((i + 1) * F.lit(each) + w - 1, w)
 
     first, last = F.expr(f"at div {q}"), F.least(F.expr(f"(end - 1) div {q}"), F.col("full") - 1)
-    turns = rows.where(first <= last).withColumn("turn", F.explode(F.sequence(turn(first), turn(last))))
+    # a row for each round in which quanta of the document are served, not for each round between them
+    turns = rows.where(first <= last).withColumn("turn", F.explode(F.array_distinct(F.transform(F.sequence(first, last), turn))))
     turns = turns.withColumns({"lo": served(F.col("turn") - 1), "hi": served(F.col("turn"))}).where("hi > lo")
     counts = staged(turns.select("turn", "q", (F.col("hi") - F.col("lo")).alias("many")).distinct(), "turns")
     base = running_start(counts, ["turn", "q"], "many", "base").select("turn", "q", "base")

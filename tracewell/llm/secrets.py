@@ -9,7 +9,9 @@ that the patterns miss.
 Scores of all tokens of a batch are sums of table rows: a distinct token's shape is looked at once. A
 token is outside for certain if its score for outside leads by more than any neighbours could make up
 for; Viterbi runs over the stretches between such tokens, which gives the best sequence of the whole
-text. Texts of over BLOCK characters are decoded in blocks that overlap by MARGIN characters.
+text. Texts of over BLOCK characters are scored in blocks of whole tokens, each with the tokens around it
+that its features see and with the features of the whole text, so that their spans are those of a text
+scored at once.
 
 The base patterns know few kinds of values, so each stretch around an assigned value is learnt from
 twice more: with the value drawn anew from letters and digits, and also with a plain word for the
@@ -29,9 +31,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,10 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import batches_bounded, in_tasks
 
 SAMPLE, ISLANDS, WIDTH, STRETCH = 2000, 10, 8, 32
-#: Characters of a long text that are decoded at once, and how far blocks overlap.
-BLOCK, MARGIN = 500_000, 4000
+#: Characters of texts that are scored at once.
+BLOCK = 500_000
+#: Tokens before and after a token that its scores, and the choice of tokens to decode, look at.
+BEFORE, AFTER = 4, 3
 #: Distinct tokens whose scores a worker remembers.
 KNOWN = 100_000
 KINDS = ("assign", "access", "hex", "crf")
@@ -192,8 +197,8 @@ class Decoder:
         self.known[t] = got
         return got
 
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all tokens of the texts: scores (n, 3), text, start, end."""
+    def scores(self, texts: list[str], files: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all tokens of the texts: scores (n, 3), text, start, end. files: features of whole texts, where these are parts."""
         pieces, count = [], []
         for t in texts:
             found = _PIECE.findall(t)
@@ -223,35 +228,95 @@ class Decoder:
             a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
             emit[a] += self.around[d][cls[b] * (text[a] == text[b])]
         emit += self.near[near] + self.long[2 * (near > 0) + long]
-        emit += np.array([self.crf.score(file_features(t)) for t in texts]).reshape(-1, 3)[text]
+        emit += np.array([self.crf.score(f) for f in files or map(file_features, texts)]).reshape(-1, 3)[text]
         return emit, text, end - size, end
 
+    def _open(self, emit: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of tokens: which may be other than outside, which are the first of their text, and the last."""
+        same = np.append(text[1:] == text[:-1], False) if len(text) else np.zeros(0, bool)
+        after = np.append(np.maximum(0, emit[1:, INSIDE] - emit[1:, BEGIN]), 0) * same if len(text) else np.zeros(0)
+        first = np.append(True, ~same[:-1]) if len(text) else same
+        return emit[:, OUTSIDE] - np.maximum(emit[:, BEGIN], emit[:, INSIDE]) <= self.lead + after, first, ~same
+
+    def _decoded(self, emit: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int]]:
+        """First and last token (places in the arguments) of each secret. Arguments: of the tokens that may be other than
+        outside, with their numbers ``at`` among all.
+        """
+        if not len(at):
+            return
+        new = np.flatnonzero(np.append(True, (np.diff(at) > 1) | first[1:]))
+        for a, b in zip(new.tolist(), (np.append(new[1:], len(at)) - 1).tolist()):
+            if not first[a] and not last[b] and a == b and emit[a, BEGIN] + self.crf.steps[OUTSIDE][BEGIN] + self.crf.steps[BEGIN][OUTSIDE] <= emit[a, OUTSIDE] + 2 * self.crf.steps[OUTSIDE][OUTSIDE]:
+                continue  # the commonest stretch, a single token that stays outside
+            begun = None
+            for i, tag in enumerate([*self.crf.tags(emit[a : b + 1], bool(first[a]), bool(last[b])), OUTSIDE], a):
+                if begun is not None and tag != INSIDE:
+                    yield begun, i - 1
+                    begun = None
+                if tag == BEGIN:
+                    begun = i
+
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """Secrets of each text: start, end."""
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
         emit, text, start, end = self.scores(texts)
-        n = len(text)
-        if not n:
-            return out
-        same = np.append(text[1:] == text[:-1], False)
-        after = np.append(np.maximum(0, emit[1:, INSIDE] - emit[1:, BEGIN]), 0) * same
-        open_ = np.flatnonzero(emit[:, OUTSIDE] - np.maximum(emit[:, BEGIN], emit[:, INSIDE]) <= self.lead + after)
-        if not len(open_):
-            return out
-        new = np.flatnonzero(np.append(True, (np.diff(open_) > 1) | (np.diff(text[open_]) > 0)))
-        for a, b in zip(open_[new].tolist(), open_[np.append(new[1:], len(open_)) - 1].tolist()):
-            first, last = a == 0 or text[a - 1] != text[a], not same[b]
-            if not first and not last and a == b and emit[a, BEGIN] + self.crf.steps[OUTSIDE][BEGIN] + self.crf.steps[BEGIN][OUTSIDE] <= emit[a, OUTSIDE] + 2 * self.crf.steps[OUTSIDE][OUTSIDE]:
-                continue  # the commonest stretch, a single token that stays outside
-            open_at = None
-            for i, tag in enumerate([*self.crf.tags(emit[a : b + 1], first, last), OUTSIDE], a):
-                if open_at is not None and tag != INSIDE:
-                    out[text[open_at]].append((int(start[open_at]), int(end[i - 1])))
-                    open_at = None
-                if tag == BEGIN:
-                    open_at = i
+        open_, first, last = self._open(emit, text)
+        at = np.flatnonzero(open_)
+        for a, b in self._decoded(emit[at], at, first[at], last[at]):
+            out[text[at[a]]].append((int(start[at[a]]), int(end[at[b]])))
         return out
 
+    def long_spans(self, text: str, block: int = BLOCK) -> list[tuple[int, int]]:
+        """Secrets of one text, scored in blocks of about ``block`` characters; only tokens that may be secret are kept."""
+        kept, n, file = [], 0, file_features(text)
+        for a, b in blocks(text, block):
+            lo, hi = stepped_back(text, a, BEFORE), stepped_on(text, b, AFTER)
+            emit, which, start, end = self.scores([text[lo:hi]], [file])
+            own = (start + lo >= a) & (start + lo < b)
+            open_, first, last = self._open(emit, which)
+            # the first and last token of what is scored here are those of the text only at its ends
+            first, last = first & (lo == 0), last & (hi == len(text))
+            at = np.flatnonzero(open_ & own)
+            kept.append((emit[at], at - np.flatnonzero(own)[0] + n if len(at) else at, first[at], last[at], start[at] + lo, end[at] + lo))
+            n += int(own.sum())
+        emit, at, first, last, start, end = (np.concatenate(x) for x in zip(*kept))
+        return [(int(start[a]), int(end[b])) for a, b in self._decoded(emit, at, first, last)]
+
+
+_SPACE = re.compile(r"\s")
+
+
+def blocks(text: str, size: int) -> Iterator[tuple[int, int]]:
+    """Start and end of parts of a text of about ``size`` characters, each but the first begins with white space."""
+    a = 0
+    while a < len(text):
+        space = _SPACE.search(text, a + size)
+        b = space.start() if space else len(text)
+        yield a, b
+        a = b
+
+
+def stepped_back(text: str, at: int, tokens: int) -> int:
+    """A start before ``at``, of the text or at white space, with at least so many tokens between, if there are so many."""
+    reach = 64
+    while at > reach:
+        space = _SPACE.search(text, at - reach, at)
+        if space and len(_TOKEN.findall(text, space.start(), at)) >= tokens:
+            return space.start()
+        reach *= 2
+    return 0
+
+
+def stepped_on(text: str, at: int, tokens: int) -> int:
+    """An end after ``at``, of the text or at white space, with at least so many tokens between, if there are so many."""
+    end = at
+    while end < len(text):
+        space = _SPACE.search(text, end + 64)
+        end = space.start() if space else len(text)
+        if len(_TOKEN.findall(text, at, end)) >= tokens:
+            return end
+    return len(text)
+
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis=axis, keepdims=True)
@@ -417,12 +482,6 @@ def decoder(crf: Field) -> Decoder:
     return crf._decoder
 
 
-def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
-    """Start of each block of a text, and from and to which start of a secret it counts."""
-    for at in range(0, max(1, len(text)), BLOCK):
-        yield max(0, at - MARGIN), at, min(len(text), at + BLOCK)
-
-
 def all_spans(texts: list[str | None], crf: Field) -> list[list[tuple[int, int, str]]]:
     """Of each text, start, end, kind of base spans and of those that the field adds."""
     out = [[(s, e, k) for s, e, k, _ in base_spans(text)] if text else [] for text in texts]
@@ -431,24 +490,36 @@ def all_spans(texts: list[str | None], crf: Field) -> list[list[tuple[int, int,
         some, size = [], 0
 
         def decode() -> None:
-            found = decoder(crf).spans([texts[i][a : hi + MARGIN] for i, a, _, hi in some])
-            for (i, a, lo, hi), spans in zip(some, found):
-                added[i] += [(s + a, e + a, "crf") for s, e in spans if lo <= s + a < hi]
+            for i, spans in zip(some, decoder(crf).spans([texts[i] for i in some])):
+                added[i] = spans
 
         for i, text in enumerate(texts):
-            for a, lo, hi in _blocks(text) if text else ():
-                some.append((i, a, lo, hi))
-                size += hi - a
+            if text and len(text) > BLOCK:
+                added[i] = decoder(crf).long_spans(text, BLOCK)
+            elif text:
+                some.append(i)
+                size += len(text)
                 if size >= BLOCK:  # about as much at once as a block of a long text
                     decode()
                     some, size = [], 0
         decode()
         for base, more in zip(out, added):
-            known = list(base)
-            base += [x for x in more if not any(a < x[1] and x[0] < b for a, b, _ in known)]
+            free = _apart([(a, b) for a, b, _ in base])
+            base += [(s, e, "crf") for s, e in more if free(s, e)]
     return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in out]
 
 
+def _apart(spans: list[tuple[int, int]]):
+    """Whether a stretch touches none of ``spans`` (by start)."""
+    starts, reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def free(s: int, e: int) -> bool:
+        before = bisect_left(starts, e)
+        return not before or reach[before - 1] <= s
+
+    return free
+
+
 def scan(docs: DataFrame, crf: Field) -> DataFrame:
     """doc_id, rid and spans (array of start, end, kind) of each row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
