@@ -175,6 +175,27 @@ def test_batches_decode_like_whole_texts(spark):
         assert d.spans(texts)[i] == spans
 
 
+def test_long_texts_decode_like_short_ones(spark):
+    """Parts of any size, and texts of over BLOCK characters, have the spans of the text scored at once."""
+    rnd = random.Random(12)
+    some = secret_texts(400)
+    crf = secrets.learn(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"))
+    d = secrets.Decoder(crf)
+    texts = [" ".join(rnd.sample(some, 12)) for _ in range(6)] + ["\u3000".join(some[:20]), "x" * 3000 + " the password is: Zk9xQw3rty77ab0123", ("a=b " * 700) + "\n\n" + some[3], "   ", "?" * 999]
+    found = 0
+    for t in texts:
+        want = d.spans([t])[0]
+        found += len(want)
+        for block in (1, 7, 64, 300, 5000):
+            assert d.long_spans(t, block) == want, block
+    assert found > 20
+    long = " ".join(some * 18)
+    assert len(long) > secrets.BLOCK
+    want = [(s, e, "crf") for s, e in d.spans([long])[0]]
+    base = brute_base(long)
+    assert secrets.all_spans([long], crf)[0] == sorted([*base, *(x for x in want if not any(a < x[1] and x[0] < b for a, b, _ in base))], key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+
+
 def test_gradient_of_the_field():
     rnd = random.Random(3)
     examples = [([[f"f{rnd.randrange(5)}" for _ in range(3)] for _ in range(n)], [2, 0, 1, 1, 2, 0][:n]) for n in (6, 3, 1)]

@@ -200,6 +200,29 @@ def by_heap(items, shards):
     return out, sorted(load for load, _ in heap)
 
 
+def test_runs_of_thousands_of_queues_follow_the_documents(spark):
+    """As many stretches as quanta, not as rounds that pass between them, at the places of the closed form."""
+    rnd = random.Random(3)
+    totals = [rnd.randint(1, 900) for _ in range(5000)]
+    totals[7] = 3_000_000
+    rows, at = [], [0] * 5000
+    for q in (0, 7, 7, 7, 4999):
+        n = totals[q] - at[q] if q != 7 or at[q] > 2_000_000 else 1_200_000
+        rows.append((len(rows), q, at[q], n))
+        at[q] += n
+    # the queues' order is that of their numbers in both
+    weights = packing.scaled(totals)
+    plan = spark.createDataFrame([(f"k{q}", q, n, w) for q, (n, w) in enumerate(zip(totals, weights))], "queue string, q long, n long, weight long")
+    slim = spark.createDataFrame([(r, f"k{q}", a, n) for r, q, a, n in rows], "rid long, queue string, at long, n long")
+    got = {r["rid"]: [(x["start"], x["length"], x["to"]) for x in r["runs"]] for r in packing._ranked_runs(slim, plan).collect()}
+    # the same counts for queues of which no document is asked: each of them has its turns
+    schedule = packing.Schedule(totals)
+    assert sum(map(len, got.values())) <= sum(n // packing.QUANTUM + 2 for *_, n in rows)
+    for r, q, a, n in rows:
+        assert [x[0] for x in got[r]] == sorted(x[0] for x in got[r]) and sum(x[1] for x in got[r]) == n
+    assert schedule.slots == sum(t // packing.QUANTUM for t in totals)
+
+
 def test_turns_equal_a_heap():
     rnd = random.Random(11)
     for case in range(300):
