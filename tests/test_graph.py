@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import finance, graph, matching, network, relational, rules, structure
+from tracewell.operators import blocks, finance, graph, hypotheses, matching, network, relational, rules, structure
 
 EDGES = "case_id long, src string, dst string, rel_type string, created_at timestamp_ntz, confidence double"
 
@@ -70,7 +70,7 @@ def test_structure(spark):
     pairs = [tuple(rnd.sample(nodes[:12], 2)) for _ in range(15)] + [tuple(rnd.sample(nodes[11:20], 2)) for _ in range(9)] + [("v00", "v00")]
     v, e = make(spark, pairs, nodes)
     want = brute_structure(nodes, pairs)
-    got = {r["entity_id"]: (r["cut_vertex"], r["bridge_score"]) for r in structure.cut_structure(v, e).collect()}
+    got = {r["entity_id"]: (r["cut_vertex"], r["bridge_score"]) for r in blocks.cut_structure(v, e).collect()}
     assert {k: (c, pytest.approx(s)) for k, (c, s, *_) in want.items()} == got
     got = {r["entity_id"]: (r["betweenness"], r["closeness"]) for r in structure.centrality(v, e).collect()}
     assert {k: (pytest.approx(b), pytest.approx(c)) for k, (*_, b, c) in want.items()} == got
@@ -88,8 +88,51 @@ def test_sampled_centrality(spark):
     assert total[0] == pytest.approx(total[2], rel=0.2) and total[1] == pytest.approx(total[3], rel=0.2)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_structure_of_random_graphs(spark, seed):
+    rnd = random.Random(seed)
+    nodes = [f"{rnd.randrange(10**6):06d}" for _ in range(60)]
+    pairs = [tuple(rnd.sample(nodes[:25], 2)) for _ in range(34)] + [tuple(rnd.sample(nodes[22:50], 2)) for _ in range(24 + 8 * seed)]
+    pairs += [(nodes[50], x) for x in nodes[51:58]] + [(nodes[51], nodes[52])]
+    ring = [f"ring{i:02}" for i in range(20)]
+    pairs += [*zip(ring, [*ring[1:], ring[0]]), (ring[3], nodes[0]), (ring[3], ring[12])]
+    v, e = make(spark, pairs, [*nodes, *ring])
+    got = {r["entity_id"]: (r["cut_vertex"], r["bridge_score"]) for r in blocks.cut_structure(v, e).collect()}
+    near = {x: {b for p in pairs for a, b in (p, p[::-1]) if a == x and b != x} for x in {*nodes, *ring}}
+
+    def reach(s, gone):
+        seen, todo = {s}, [s]
+        for x in todo:
+            new = near[x] - seen - {gone}
+            seen |= new
+            todo += new
+        return frozenset(seen)
+
+    for x in near:
+        pieces = {reach(w, x) for w in near[x]}
+        apart = sum(len(p) * len(q) for p, q in itertools.combinations(pieces, 2))
+        assert got[x] == (len(pieces) > 1, pytest.approx(apart / (len(near) * (len(near) - 1) / 2))), x
+    label = by(graph.components(v, e), "component")
+    assert label == {x: min(reach(x, None)) for x in near}
+
+
+def test_long_chains_in_few_rounds(spark, monkeypatch):
+    """A chain, a ring and a star: far fewer rounds than vertices."""
+    n, rounds, keep = 2000, [], graph.cut
+    for m in (graph, blocks):
+        monkeypatch.setattr(m, "cut", lambda df: rounds.append(1) or keep(df))
+    names = lambda x: [f"{x}{i * 7919 % n:05d}" for i in range(n)]
+    chain, ring = names("c"), names("r")
+    v, e = make(spark, [*zip(chain, chain[1:]), *zip(ring, [*ring[1:], ring[0]]), *((f"s{i}", "hub") for i in range(500))])
+    got = {r["entity_id"]: (r["cut_vertex"], r["bridge_score"]) for r in blocks.cut_structure(v, e).collect()}
+    all_ = len(got) * (len(got) - 1) / 2
+    assert all(got[x][0] == (0 < i < n - 1) and got[x][1] == pytest.approx(i * (n - 1 - i) / all_) for i, x in enumerate(chain))
+    assert not any(got[x][0] for x in ring) and got["hub"][0] and not got["s3"][0] and got["hub"][1] == pytest.approx(500 * 499 / 2 / all_)
+    assert len(rounds) < 65, len(rounds)
+
+
 def test_known_shapes(spark):
-    got = by(structure.cut_structure(*make(spark, [*[("hub", f"x{i}") for i in range(4)], ("a", "b"), ("b", "c"), ("a", "c"), ("p", "q"), ("q", "r"), ("r", "s")], ["alone"])), "cut_vertex")
+    got = by(blocks.cut_structure(*make(spark, [*[("hub", f"x{i}") for i in range(4)], ("a", "b"), ("b", "c"), ("a", "c"), ("p", "q"), ("q", "r"), ("r", "s")], ["alone"])), "cut_vertex")
     assert {k for k, c in got.items() if c} == {"hub", "q", "r"}
 
 
@@ -142,7 +185,7 @@ def test_patterns(spark):
     ids = spark.createDataFrame([(1, "f1"), (1, "f2")], "case_id long, entity_id string")
     assert [(r["entity_id"], r["severity"]) for r in network.shared_identifiers(deg, ids).collect()] == [("f1", "MEDIUM")]
     assert [r["entity_id"] for r in network.concentration(deg).collect()] == ["hub"]
-    links = network.missing_links(e.where("dst like 'f%'"), v.where("entity_id in ('p', 'q', 'r')")).collect()
+    links = hypotheses.missing_links(e.where("dst like 'f%'"), v.where("entity_id in ('p', 'q', 'r')"), v.withColumn("community", F.lit("c"))).collect()
     assert {(r["a"], r["b"]): (r["shared"], r["severity"]) for r in links} == {("p", "q"): (2, "MEDIUM"), ("p", "r"): (1, "LOW"), ("q", "r"): (1, "LOW")}
     assert {r["score"] for r in links if r["shared"] == 2} == {1.0}
 

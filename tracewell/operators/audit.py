@@ -90,9 +90,9 @@ def citation_codes(citations: DataFrame, sources: DataFrame, case_id: str = "cas
     wrong_case, locator_invalid (no such field), value_mismatch (the field has another value), quote_unsupported.
     """
     s = sources.select(F.col("kind").alias("kind"), F.col("source_id").alias("cited_id"), F.col("case_id").alias("_case"), "visible", "fields", "body", F.lit(True).alias("_there"))
-    kinds = [r[0] for r in sources.select("kind").distinct().limit(50).collect()]
-    rows = citations.join(s, ["kind", "cited_id"], "left")
-    known, there = F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), F.col("_there").isNotNull()
+    kinds = sources.select("kind").distinct().withColumn("_kind", F.lit(True))
+    rows = citations.join(s, ["kind", "cited_id"], "left").join(kinds, "kind", "left")
+    known, there = F.col("_kind").isNotNull(), F.col("_there").isNotNull()
     shaped = F.coalesce(F.trim("cited_id") != "", F.lit(False))
     field = F.element_at("fields", F.col("locator"))
     code = lambda test, name: F.when(test, name)

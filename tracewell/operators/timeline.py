@@ -25,7 +25,7 @@ def _draft(rows: DataFrame, title: Column, stamp: Column, meaning: Column) -> Da
     keys = ["record_id", "evidence_id", "record_no", "origin", "field", "idx"]
     return rows.select(
         *keys, F.substring(title, 1, TITLE).alias("title"), _original(F.col("value")).alias("original"), values.timestamp(stamp).alias("occurred_at"), values.granularity(stamp).alias("granularity"),
-        values.zone_assumed(stamp).alias("zone_assumed"), meaning.alias("meaning"), values.timestamp(stamp).isNull().alias("missing"),
+        values.zone_assumed(stamp).alias("zone_assumed"), meaning.alias("meaning"), values.timestamp(stamp).isNull().alias("missing"), F.sha2(F.trim("value"), 256).alias("value_sha256"),
     )
 
 
@@ -68,8 +68,8 @@ def annotated(drafts: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def proposal_key(drafts: DataFrame) -> Column:
-    """What makes a proposal the same one in a later run: where it comes from and its original value."""
-    parts = [F.coalesce(drafts[c].cast("string"), F.lit("")) for c in ("evidence_id", "record_id", "origin", "field", "idx", "original")]
+    """What makes a proposal the same one in a later run: where it comes from and its whole value (the original that is shown is clipped)."""
+    parts = [F.coalesce(drafts[c].cast("string"), F.lit("")) for c in ("evidence_id", "record_id", "origin", "field", "idx", "value_sha256")]
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 

@@ -53,7 +53,7 @@ def r21(spark, d):
     e, r = entities(spark, d), relationships(spark, d)
     deg = graph.degrees(e, r)
     firms = e.where("entity_type = 'organization'")
-    links = network.missing_links(r, firms)
+    links = q_graph.g20(spark, d)
     parts = {"concentration": network.concentration(deg), "shared_identifier": network.shared_identifiers(deg, firms), "missing_link": links.withColumn("entity_id", F.concat("a", F.lit(">"), "b"))}
     return network.assembled(parts)
 

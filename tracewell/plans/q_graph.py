@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.domain import entities, records, relationships, with_sql
-from tracewell.operators import graph, network, structure
+from tracewell.operators import blocks, graph, hypotheses, network, structure
 from tracewell.plans.registry import query
 
 DEG = "deg AS (SELECT e.case_id, e.entity_id, count(DISTINCT n.other) AS degree FROM ents e LEFT JOIN ends n ON n.node = e.entity_id AND n.case_id = e.case_id GROUP BY 1, 2)"
@@ -56,13 +56,13 @@ def g34(spark, d):
 def g04(spark, d):
     e, r = _graph(spark, d)
     key = ["case_id", "entity_id"]
-    out = structure.cut_structure(e, r).join(structure.centrality(e, r), key)
+    out = blocks.cut_structure(e, r).join(structure.centrality(e, r), key)
     return out.select(*key, "cut_vertex", F.round("bridge_score", 9).alias("bridge_score"), F.round("betweenness", 6).alias("betweenness"), "exact")
 
 
 @query("G15_bridge_pattern")
 def g15(spark, d):
-    return structure.cut_structure(*_graph(spark, d)).where("cut_vertex").select("case_id", "entity_id", F.round("bridge_score", 9).alias("bridge_score"))
+    return blocks.cut_structure(*_graph(spark, d)).where("cut_vertex").select("case_id", "entity_id", F.round("bridge_score", 9).alias("bridge_score"))
 
 
 CLOSE = f"WITH {NEAR}, d0 AS MATERIALIZED (SELECT case_id, entity_id AS s, entity_id AS node FROM ents), n0 AS (SELECT case_id, s, node FROM d0 WHERE false), d1 AS MATERIALIZED (SELECT case_id, node AS s, other AS node FROM near), " + ", ".join(f"d{k} AS MATERIALIZED (SELECT DISTINCT p.case_id, p.s, n.other AS node FROM d{k - 1} p JOIN near n ON n.case_id = p.case_id AND n.node = p.node ANTI JOIN d{k - 1} a ON a.s = p.s AND a.case_id = p.case_id AND a.node = n.other ANTI JOIN d{k - 2} b ON b.s = p.s AND b.case_id = p.case_id AND b.node = n.other)" for k in range(2, 8))
@@ -135,10 +135,36 @@ def g19(spark, d):
     return network.rapid_expansion(relationships(spark, d))
 
 
-@query("G20_missing_links", with_sql("WITH near AS (SELECT DISTINCT case_id, node, other FROM ends), p AS (SELECT x.case_id, x.node AS a, y.node AS b, count(*) AS shared FROM near x JOIN near y ON x.other = y.other AND x.case_id = y.case_id AND x.node < y.node WHERE x.node LIKE 'S%' AND y.node LIKE 'S%' GROUP BY 1, 2, 3), m AS (SELECT case_id, max(shared) AS most FROM p GROUP BY 1) SELECT p.case_id, a, b, shared, true AS same_community, round(0.55 * shared / most + 0.45, 6)::DOUBLE AS score, round(least(1.0, 0.35 + 0.15 * shared), 6)::DOUBLE AS confidence, CASE WHEN shared >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM p JOIN m USING (case_id) QUALIFY row_number() OVER (PARTITION BY p.case_id ORDER BY score DESC, a, b) <= 25"))
+def _actors(e):
+    return e.where("entity_type in ('person', 'organization')")
+
+
+def component_communities(spark, d):
+    """Connected components as communities, as in cases above the bound."""
+    return graph.components(*_graph(spark, d)).withColumnRenamed("component", "community")
+
+
+@query("G20_missing_links", with_sql(f"""{LABELS},
+p AS (SELECT x.case_id, x.node AS a, y.node AS b, count(*) AS shared FROM near x JOIN near y ON x.other = y.other AND x.case_id = y.case_id AND x.node < y.node WHERE x.node NOT LIKE 'N%' AND y.node NOT LIKE 'N%' GROUP BY 1, 2, 3),
+q AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM near z WHERE z.case_id = p.case_id AND z.node = a AND z.other = b)),
+m AS (SELECT case_id, max(shared) AS most FROM q GROUP BY 1),
+r AS (SELECT q.case_id, a, b, shared, most, x.m = y.m AS same_community FROM q JOIN m ON m.case_id = q.case_id JOIN l8 x ON x.case_id = q.case_id AND x.node = a JOIN l8 y ON y.case_id = q.case_id AND y.node = b)
+SELECT case_id, a, b, shared, same_community, round(0.55 * shared / most + CASE WHEN same_community THEN 0.30 ELSE 0 END + 0.15, 6)::DOUBLE AS score, round(least(1.0, 0.35 + 0.15 * shared), 6)::DOUBLE AS confidence, CASE WHEN shared >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity
+FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, a, b) <= 25"""))
 def g20(spark, d):
     e, r = _graph(spark, d)
-    return network.missing_links(r, e.where("entity_type = 'organization'"))
+    return hypotheses.missing_links(r, _actors(e), component_communities(spark, d))
+
+
+def community_links(e, r):
+    return hypotheses.missing_links(r, _actors(e), structure.communities(e, r))
+
+
+@query("G20_hypotheses")
+def g20_hypotheses(spark, d):
+    """With communities by modularity, and the type that the relationships around a pair suggest."""
+    e, r = _graph(spark, d)
+    return hypotheses.supported(community_links(e, r), r)
 
 
 def _evidence(spark, d):
@@ -201,7 +227,7 @@ def _measures(spark, d):
     e, r = _graph(spark, d)
     key = ["case_id", "entity_id"]
     deg, rank = graph.degrees(e, r), graph.pagerank(e, r)
-    bridge = structure.cut_structure(e, r).select(*key, F.col("bridge_score").alias("bridging"))
+    bridge = blocks.cut_structure(e, r).select(*key, F.col("bridge_score").alias("bridging"))
     group = structure.communities(e, r)
     depth = r.select("case_id", "src", "dst", "n_records")
     depth = depth.select("case_id", F.col("src").alias("entity_id"), "n_records").union(depth.select("case_id", "dst", "n_records")).groupBy(*key).agg(F.sum("n_records").cast("double").alias("evidence_depth"))
@@ -224,7 +250,7 @@ def g23(spark, d):
     deg = graph.degrees(e, r)
     found = network.concentration(deg).select(*key, "severity").unionByName(network.shared_identifiers(deg, e.where("entity_type = 'organization'")).select(*key, "severity"))
     found = found.groupBy(*key).agg(*[F.count_if(F.col("severity") == s).cast("int").alias(s.lower()) for s in ("HIGH", "MEDIUM", "LOW")])
-    links = network.missing_links(r, e.where("entity_type = 'organization'"))
+    links = community_links(e, r)
     guessed = links.select("case_id", F.col("a").alias("entity_id")).union(links.select("case_id", "b")).groupBy(*key).agg(F.count("*").cast("int").alias("hypotheses"))
     p = network.profiles(_measures(spark, d)).select(*key, "prominence", "influence", "bridging", "reach")
     rows = p.join(found, key, "left").join(guessed, key, "left").na.fill(0, ["high", "medium", "low", "hypotheses"])
