@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from tracewell.llm import similar
 
@@ -66,3 +68,39 @@ def test_defined_results(spark, docs, rows, no_docs):
     assert all(jaccard(a, b) < 0.8 for i, a in enumerate(sets) for b in sets[:i])
     assert all(any(jaccard(shingles(t), s) >= 0.8 for s in sets) for _, t in rows)
     assert not Counter((r["doc_id"], r["text"]) for r in got.collect()) - Counter(rows)
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Sets at 0.8 or more share a shingle of their prefixes, early enough for what is left of both; common ones come last."""
+    rnd = random.Random(5)
+    common = np.array(sorted((h, rnd.randint(2, 99)) for h in rnd.sample(range(400), 120)), [("h", np.int64), ("n", np.int64)])
+    met = tried = 0
+    for _ in range(4000):
+        a = set(rnd.sample(range(400), rnd.randint(1, 60)))
+        b = set(a) if rnd.random() < 0.9 else set(rnd.sample(range(400), 30))
+        for x in rnd.sample(sorted(b), min(len(b) - 1, rnd.randint(0, 6))):
+            b.remove(x)
+        b |= set(rnd.sample(range(400), rnd.randint(0, 4)))
+        x, y = (similar.prefix(np.array(sorted(s), np.int64), common).tolist() for s in (a, b))
+        fits = any(h in y and min(len(a) - i, len(b) - y.index(h)) * 18 >= (len(a) + len(b)) * 8 for i, h in enumerate(x))
+        if 10 * len(a & b) >= 8 * len(a | b):
+            tried += 1
+            assert fits
+        met += fits
+    assert tried > 1000 and met < 4000
+    often = set(common["h"].tolist())
+    some = similar.prefix(np.arange(400), common).tolist()
+    assert len(some) == 81 and not often & set(some)
+
+
+def test_a_family_that_is_not_similar_costs_few_pairs(spark, monkeypatch):
+    """Documents with a long passage in common, below 0.8, are not compared pair by pair."""
+    rnd = random.Random(8)
+    word = lambda: f"{rnd.choice('bdfgklmn')}{rnd.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(24))])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(5)]
+    made, keep = [], similar._similar
+    monkeypatch.setattr(similar, "_similar", lambda pairs, sets: made.append(pairs.count()) or keep(pairs, sets))
+    kept = similar.one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert kept == 400 and sum(made) < 25 * 400  # all pairs: 79,800

@@ -11,7 +11,12 @@ Each candidate pair is then checked by the sizes of the two sets and of what the
 
 Rounds: in each bucket the first documents left (HEADS, and in each round twice as many) are compared
 with all after them, and those whose comparisons are complete are decided in order. So a bucket of many
-near copies costs a few comparisons a document, not all pairs, and none is left out.
+near copies costs a few comparisons a document, not all pairs, and none is left out. A bucket that is not
+settled by FEW first documents holds many that are not similar (a template, a passage that all have). What is
+left is then dealt anew by prefixes: a set of n shingles that is similar to another shares one of its n - 0.8 n + 1
+rarest shingles with it, so only these are buckets. Common passages are in no prefix, and no pair is lost. The
+order of shingles by rarity takes the COMMON most frequent ones among what is left last; any order would do, this
+one is short enough to be sent to the tasks.
 
 Documents with equal sets of shingles, so all copies, are one node. A text below five words is one
 shingle; null and blank texts have none and are copies of each other.
@@ -32,7 +37,9 @@ from tracewell.llm.simhash import _LOWER, _WORDS, BITS, SEED, best_rows, links,
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
-HEADS = 4
+HEADS, FEW = 2, 4
+#: Most frequent shingles that prefixes avoid.
+COMMON = 65_536
 
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.default_rng(43).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,18 +125,23 @@ def similar_to_kept(docs: DataFrame, rows: DataFrame, heads: int = HEADS) -> Dat
     nodes = rows.groupBy("root").agg(F.min(rank()).alias("k"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = staged(nodes.withColumnRenamed("root", "node").where("n > 0"), "nodes")
     trie = components(links(nodes.select("fp").distinct())).withColumnRenamed("node", "fp")
-    by_trie = nodes.join(trie, "fp", "left").select(F.coalesce("root", "fp").alias("bucket"), F.lit(True).alias("trie"), "node", "k", "n")
-    left = by_trie.union(nodes.select(F.explode("bands").alias("bucket"), F.lit(False), "node", "k", "n"))
+    by_trie = nodes.join(trie, "fp", "left").select(F.coalesce("root", "fp").alias("bucket"), F.lit(True).alias("trie"), "node", "k", "n", F.lit(0).alias("pos"))
+    left = by_trie.union(nodes.select(F.explode("bands").alias("bucket"), F.lit(False), "node", "k", "n", F.lit(0)))
     left = _shared(left)
     sets = staged(_sets(docs, left.select("node", "k").distinct()), "sets")
-    dropped = None
+    dropped, prefixes = None, False
     while left.limit(1).count():
+        if heads > FEW and not prefixes:
+            left, prefixes, heads = _shared(_by_prefix(left.select("node", "k", "n").distinct(), sets)), True, FEW
+            continue
         at = Window.partitionBy("trie", "bucket").orderBy("k")
         seen = staged(left.withColumn("rn", F.row_number().over(at)), "similar")
-        first = seen.where(F.col("rn") <= heads).select("trie", "bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rn").alias("ra"))
-        later = seen.select("trie", "bucket", F.col("node").alias("b"), F.col("n").alias("nb"), "rn")
+        first = seen.where(F.col("rn") <= heads).select("trie", "bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rn").alias("ra"), F.col("pos").alias("pa"))
+        later = seen.select("trie", "bucket", F.col("node").alias("b"), F.col("n").alias("nb"), "rn", F.col("pos").alias("pb"))
         sizes = (F.col("na") * 10 >= F.col("nb") * int(LEAST * 10)) & (F.col("nb") * 10 >= F.col("na") * int(LEAST * 10))
-        pairs = staged(first.join(later, ["trie", "bucket"]).where((F.col("ra") < F.col("rn")) & sizes).select("a", "b").distinct(), "similar")
+        # what two sets have in common from a shared shingle on, if it is the first, is at most what either has left
+        rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * int(LEAST * 10 + 10) >= (F.col("na") + F.col("nb")) * int(LEAST * 10)
+        pairs = staged(first.join(later, ["trie", "bucket"]).where((F.col("ra") < F.col("rn")) & sizes & rest).select("a", "b").distinct(), "similar")
         # a node is ready if it has been compared with every node before it, and it with all after it
         ready = staged(seen.groupBy("node").agg((F.max("rn") <= heads).alias("ready")).where("ready").select("node"), "similar")
         edges = staged(_similar(pairs, sets).join(ready.select(F.col("node").alias("a"), F.lit(True).alias("ready")), "a", "left"), "similar")
@@ -148,15 +160,44 @@ def similar_to_kept(docs: DataFrame, rows: DataFrame, heads: int = HEADS) -> Dat
         for g in gone:
             decided = decided.union(g)
         heads *= 2
-        left = _shared(left.join(decided.distinct(), "node", "left_anti").select("bucket", "trie", "node", "k", "n"))
+        left = _shared(left.join(decided.distinct(), "node", "left_anti").select("bucket", "trie", "node", "k", "n", "pos"))
     return dropped if dropped is not None else nodes.select("node").limit(0)
 
 
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of a set of n hashes the n - 0.8 n + 1 rarest: those of ``common`` (ascending) are the last, by their places there."""
+    n = len(hashes)
+    at = np.minimum(np.searchsorted(common["h"], hashes), max(0, len(common) - 1))
+    last = np.where(common["h"][at] == hashes, common["n"][at], 0) if len(common) else np.zeros(n, np.int64)
+    return hashes[np.lexsort((hashes, last))][: n - -(-n * int(LEAST * 10) // 10) + 1]
+
+
+def _by_prefix(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """bucket, trie, node, k, n, pos (from 0): a row for each shingle in the prefix of each of ``nodes`` (node, k, n)."""
+    own = staged(sets.join(nodes, "node").select("node", "k", "n", "hashes"), "prefix")
+    often = own.select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") > 1).orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    common = np.array(sorted((r[0], r[1]) for r in often), [("h", np.int64), ("n", np.int64)])
+    shared = nodes.sparkSession.sparkContext.broadcast(common)
+
+    def make():
+        def run(batch: dict) -> Iterator[dict]:
+            for at in range(0, len(batch["node"]), 200):
+                part = {c: batch[c][at : at + 200] for c in ("node", "k", "n", "hashes")}
+                found = [prefix(np.array(h, np.int64), shared.value) for h in part["hashes"]]
+                own = np.repeat(np.arange(len(found)), [len(x) for x in found]).tolist()
+                yield {"bucket": np.concatenate([np.zeros(0, np.int64), *found]), "trie": [False] * len(own), "pos": np.concatenate([np.zeros(0, np.int32), *(np.arange(len(x), dtype=np.int32) for x in found)]), **{c: [part[c][i] for i in own] for c in ("node", "k", "n")}}
+
+        return run
+
+    k = own.schema["k"].dataType.simpleString()
+    return in_tasks(own, make, f"bucket long, trie boolean, node long, k {k}, n long, pos int", 500)
+
+
 def _shared(left: DataFrame) -> DataFrame:
     """Rows of buckets that hold more than one node."""
     left = staged(left, "buckets")
     many = left.groupBy("trie", "bucket").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return staged(left.join(many, ["trie", "bucket"]).select("bucket", "trie", "node", "k", "n"), "buckets")
+    return staged(left.join(many, ["trie", "bucket"]).select("bucket", "trie", "node", "k", "n", "pos"), "buckets")
 
 
 def one_of_similar(docs: DataFrame, heads: int = HEADS) -> DataFrame:
