@@ -13,6 +13,7 @@ from tracewell.functions import text, values
 
 #: Longest original value and title. Fixed values.
 ORIGINAL, TITLE = 200, 200
+#: A day inside a statement. Fixed value.
 _EMBEDDED = r"(\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{4})"
 
 

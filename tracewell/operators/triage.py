@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
@@ -14,6 +14,7 @@ SEVERITY = {
 }
 #: Headers that make a text an e-mail. Fixed values.
 EMAIL_HEADERS = ("from", "to", "cc", "subject", "date", "message-id", "return-path", "received", "x-originating-ip", "received-spf", "authentication-results", "dkim-signature", "reply-to", "mime-version", "content-type")
+#: A header line, and a digest in a line. Fixed values.
 _LINE = r"^([A-Za-z][A-Za-z0-9-]{1,40}):\s?(.*)$"
 _SHA = r"\b([0-9a-fA-F]{64})\b"
 
@@ -97,6 +98,44 @@ def history_observations(visits: DataFrame) -> DataFrame:
     return both.select("record_id", F.lit("history.cross_scheme_redirect_chain_hint").alias("rule"), F.col("host").alias("detail"))
 
 
+#: What a log line is read by: time, severity words with what they mean, words of logging in and of failing. Fixed values.
+_STAMP = r"\b(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)\b"
+_LEVEL = r"(?i)\b(critical|fatal|emergency|alert|error|err|fail|failed|failure|denied|warn|warning|notice|info|information|debug|trace)\b"
+LEVELS = {
+    "critical": "critical", "fatal": "critical", "emergency": "critical", "alert": "critical", "error": "error", "err": "error", "failure": "error", "failed": "error", "fail": "error", "denied": "error",
+    "warning": "warning", "warn": "warning", "notice": "notice", "information": "info", "info": "info", "debug": "debug", "trace": "debug",
+}
+_AUTH = r"(?i)\b(auth|authentication|authenticate|authorized|login|logon|signin|password|passwd|credential)\w*\b"
+_FAIL = r"(?i)\b(fail\w*|denied|invalid|rejected|locked)\w*\b"
+#: A burst of failed logins: at least so many within so many seconds. Fixed values.
+BURST, BURST_S = 5, 600
+
+
+def log_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line_no (from 1), stamp, at (null where the stamp is no time), severity, source, auth_failure of the lines of ``rows``
+    (keys, body) that have both a time and a word of severity; all lines are read.
+
+    The source is the first of the second to fourth words that looks like a name and is not the word of severity.
+    """
+    lines = rows.select(*keys, F.posexplode(F.split("body", r"\r\n|[\n\r]")).alias("line_no", "line")).withColumn("line", F.trim("line"))
+    lines = lines.select(*keys, (F.col("line_no") + 1).alias("line_no"), "line", F.regexp_extract("line", _STAMP, 1).alias("stamp"), F.lower(F.regexp_extract("line", _LEVEL, 1)).alias("word")).where("stamp <> '' and word <> ''")
+    words = F.transform(F.slice(F.split("line", r"\s+"), 2, 3), lambda w: F.regexp_replace(w, r"^[\[\],():;]+|[\[\],():;]+$", ""))
+    names = F.filter(words, lambda w: w.rlike(r"^[A-Za-z][\w.\-]{1,40}$") & (F.lower(w) != F.col("word")))
+    level = F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.col("word"))
+    auth = F.col("line").rlike(_AUTH) & F.col("line").rlike(_FAIL)
+    return lines.select(
+        *keys, "line_no", "stamp", F.try_to_timestamp("stamp").alias("at"), level.alias("severity"), F.coalesce(F.substring(F.get(names, F.lit(0)), 1, 40), F.lit("unknown")).alias("source"), auth.alias("auth_failure")
+    )
+
+
+def log_observations(lines: DataFrame, evidence: str, record_id: str, window: int = BURST_S, least: int = BURST) -> DataFrame:
+    """record_id (of the burst's first line), rule, detail (its number of lines) of the first burst of failed logins in each ``evidence``."""
+    failed = lines.where("auth_failure and at is not null").select(F.col(evidence).alias("e"), F.unix_micros("at").alias("us"), F.col(record_id).alias("record_id"))
+    w = Window.partitionBy("e").orderBy("us").rangeBetween(0, window * 1_000_000)
+    first = failed.withColumn("n", F.count("*").over(w)).where(F.col("n") >= least).groupBy("e").agg(F.min(F.struct("us", "record_id", "n")).alias("x"))
+    return first.select("x.record_id", F.lit("log.auth_failure_burst").alias("rule"), F.col("x.n").cast("string").alias("detail"))
+
+
 def observations(*found: DataFrame, most: int | None = 200) -> DataFrame:
     """record_id, rule, severity, detail of all ``found``; the report's ``most`` first ones by record and rule, or all."""
     rows = found[0]

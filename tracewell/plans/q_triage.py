@@ -110,3 +110,35 @@ def s22_names(spark, d):
 @query("S23_manifests", PACK + "h AS (SELECT package_id, size, sha256(filename || ' ' || sha256 || ' ' || size) AS line FROM f) SELECT package_id, count(*) AS files, sum(size)::BIGINT AS size, sha256(upper(string_agg(line, '' ORDER BY line))) AS digest FROM (SELECT package_id, size, lower(line) AS line FROM h) GROUP BY 1".replace("upper(", "("))
 def s23(spark, d):
     return triage.manifest_of(_package(spark, d)[1])
+
+
+#: An event as a line of a log; clicks have no time, views no word of severity.
+LOG = r"""log AS (SELECT event_id, user_id, CASE event_type WHEN 'error' THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' [auth.svc-' || user_id % 7 || ']: ERROR login failed for user ' || user_id
+  WHEN 'click' THEN 'click INFO of user ' || user_id WHEN 'view' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ' page seen'
+  WHEN 'signup' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ' NOTICE 99 ' || user_id || ' new user' ELSE strftime(ts, '%Y-%m-%d %H:%M') || ' shop Debug: password accepted' END AS line FROM events),
+lines AS (SELECT event_id, user_id, regexp_extract(line, '\b(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?Z?)', 1) AS stamp, lower(regexp_extract(line, '(?i)\b(critical|fatal|emergency|alert|error|err|fail|failed|failure|denied|warn|warning|notice|info|information|debug|trace)\b', 1)) AS word,
+  list_transform(string_split_regex(line, '\s+')[2:4], lambda w: regexp_replace(w, '^[\[\],():;]+|[\[\],():;]+$', '', 'g')) AS words, regexp_matches(line, '(?i)\b(login|password)') AND regexp_matches(line, '(?i)\bfail') AS auth_failure FROM log),
+read AS (SELECT event_id, user_id, stamp, try_strptime(replace(replace(stamp, 'T', ' '), 'Z', ''), ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M']) AS happened_at, CASE word WHEN 'error' THEN 'error' WHEN 'notice' THEN 'notice' WHEN 'debug' THEN 'debug' ELSE word END AS severity,
+  coalesce(list_filter(words, lambda w: regexp_matches(w, '^[A-Za-z][\w.\-]{1,40}$') AND lower(w) <> word)[1], 'unknown') AS source, auth_failure FROM lines WHERE stamp <> '' AND word <> '')"""
+
+
+def _log(spark, d):
+    e = table(spark, d, "events")
+    kind, user, iso = F.col("event_type"), F.col("user_id").cast("string"), lambda f: F.date_format("ts", f)
+    line = (
+        F.when(kind == "error", F.concat(iso("yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" [auth.svc-"), (F.col("user_id") % 7).cast("string"), F.lit("]: ERROR login failed for user "), user))
+        .when(kind == "click", F.concat(F.lit("click INFO of user "), user)).when(kind == "view", F.concat(iso("yyyy-MM-dd HH:mm:ss"), F.lit(" page seen")))
+        .when(kind == "signup", F.concat(iso("yyyy-MM-dd HH:mm:ss"), F.lit(" NOTICE 99 "), user, F.lit(" new user"))).otherwise(F.concat(iso("yyyy-MM-dd HH:mm"), F.lit(" shop Debug: password accepted")))
+    )
+    return triage.log_lines(e.select("event_id", "user_id", line.alias("body")), ["event_id", "user_id"])
+
+
+@query("R16_log_lines", f"WITH {LOG} SELECT event_id, stamp, happened_at, severity, source, auth_failure FROM read")
+def r16(spark, d):
+    return _log(spark, d).select("event_id", "stamp", F.col("at").cast("timestamp_ntz").alias("happened_at"), "severity", "source", "auth_failure")
+
+
+@query("R17_log_bursts", f"WITH {LOG}, f AS (SELECT user_id, event_id, happened_at, count(*) OVER (PARTITION BY user_id ORDER BY epoch(happened_at)::BIGINT RANGE BETWEEN CURRENT ROW AND 172800 FOLLOWING) AS n FROM read WHERE auth_failure) SELECT event_id AS record_id, 'log.auth_failure_burst' AS rule, n::VARCHAR AS detail FROM f WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY happened_at, event_id) = 1")
+def r17_bursts(spark, d):
+    """Two failed logins of a user within two days."""
+    return triage.log_observations(_log(spark, d), "user_id", "event_id", 172_800, 2)

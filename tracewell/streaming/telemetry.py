@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.graph import scratch
@@ -48,6 +48,34 @@ def lockouts(df: DataFrame, device: str, base: int, most: int) -> DataFrame:
     return df.groupBy(device).applyInPandasWithState(run, f"{device} long, failures long, lock_s long", "n long", "update", "NoTimeout")
 
 
+def incremental(df: DataFrame, key: str, reviewed: str, out: str, marks: str) -> None:
+    """Reads what ``df`` has now and adds to the Parquet table ``out`` the rows whose key is new: neither in ``reviewed`` (a
+    Parquet table of keys, which may have grown since the last run) nor in ``out``; of rows of a batch with the same key the first by ts.
+
+    Each batch writes the partition of its number, and looks for known keys in the others only, so a batch that is replayed after a
+    failure replaces what it wrote. Another run goes on where ``marks`` says.
+    """
+    spark = df.sparkSession
+    schema = df.schema
+
+    def put(batch: DataFrame, k: int) -> None:
+        old = spark.read.schema(f"{key} {schema[key].dataType.simpleString()}").option("recursiveFileLookup", "true").parquet(reviewed)
+        first = batch.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("ts"))).where("_k = 1").drop("_k")
+        fresh = first.join(old, key, "left_anti")
+        if table_there(spark, out):
+            done = spark.read.schema(f"{key} {schema[key].dataType.simpleString()}, batch long").parquet(out)
+            fresh = fresh.join(done.where(F.col("batch") != k).select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={k}")
+
+    df.writeStream.foreachBatch(put).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
+
+def table_there(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, in whatever store its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def drained(df: DataFrame, mode: str, spark: SparkSession) -> DataFrame:
     """What a streaming DataFrame gives when its source has been read to the end.
 
