@@ -263,3 +263,48 @@ def test_relational(spark):
     assert like.where(relational.escaped_like("v", "0%_O")).count() == 1
     steps = spark.createDataFrame([("open", "closed"), ("closed", "open"), ("open", "open")], "old string, new string")
     assert {(r["old"], r["new"]): r["legal"] for r in rules.legal_steps(steps, [("open", "closed")]).collect()} == {("open", "closed"): True, ("closed", "open"): False, ("open", "open"): True}
+
+
+def test_bounded_traces(spark):
+    rnd = random.Random(7)
+    nodes = [f"n{i:02}" for i in range(14)]
+    pairs = [tuple(rnd.sample(nodes, 2)) for _ in range(40)] + [("hub", f"leaf{i:04}") for i in range(500)] + [("n00", "hub"), ("n00", "n00")]
+    v, e = make(spark, pairs)
+    for hops, most in ((3, 5), (4, 10_000), (2, 1)):
+        want = {}
+        for r in graph.simple_paths(e.where("src <> dst"), v, hops).collect():
+            want.setdefault(r["source"], []).append((list(r["path"]), r["end_state"]))
+        got = {}
+        for r in graph.bounded_paths(e, v, hops, most).collect():
+            got.setdefault(r["source"], []).append((list(r["path"]), r["end_state"]))
+        assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x)[:most] for k, x in want.items()}
+
+
+def test_a_star_is_traced_without_its_leaves(spark, monkeypatch):
+    v, e = make(spark, [("hub", f"x{i:05}") for i in range(20_000)])
+    rows, keep = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rows.append((out := keep(df)).count()) or out)
+    asked = spark.createDataFrame([("hub",), ("x-00003",), ("none",)], "request string")
+    got = network.trace_requests(asked, v, e, 3, 50).collect()
+    assert max(rows) <= 110 and sum(r["request"] == "hub" for r in got) == 50
+    assert {(r["request"], r["status"]) for r in got} == {("hub", "found_bounded"), ("x-00003", "found"), ("none", "not_found")}
+    got = network.trace_requests(asked, v, e.where("src = 'x'"), 3, 50, transfers=True).collect()
+    assert {(r["request"], r["status"]) for r in got} == {("hub", "insufficient_data"), ("x-00003", "insufficient_data"), ("none", "not_found")}
+
+
+def test_runs_are_versioned(spark, tmp_path):
+    v, e = make(spark, [("p", "f1"), ("q", "f1"), ("r", "f1"), ("p", "f2"), ("q", "f2"), *[("hub", f"leaf{i:02}") for i in range(10)]])
+    v = v.withColumn("entity_type", F.when(F.col("entity_id").startswith("f"), "organization").otherwise("person"))
+    seen = e.select("case_id", "src", "dst", F.concat("src", F.lit("-"), "dst").alias("record_id"))
+    at = str(tmp_path)
+    told = {r["name"]: r["rows"] for r in network.full_run(v, e, seen, at, "1").collect()}
+    assert told["metrics"] == 5 * v.count() and set(told) == set(network.TABLES)
+    v.write.parquet(f"{at}/runs/2/metrics")  # broken off
+    t = network.last_run(spark, at)
+    found = {(r["kind"], r["entity_id"]): r["finding_id"] for r in t["findings"].collect()}
+    assert ("concentration", "hub") in found and ("missing_link", "p>q") in found
+    rests = {r["record_id"] for r in t["evidence"].where(F.col("finding_id") == found["missing_link", "p>q"]).collect()}
+    assert rests == {"p-f1", "q-f1", "p-f2", "q-f2"}
+    v.write.mode("overwrite").parquet(f"{at}/runs/1/profiles")
+    with pytest.raises(ValueError, match="profiles"):
+        network.last_run(spark, at)

@@ -198,6 +198,27 @@ def simple_paths(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return out.union(at.select("case_id", "source", "path", F.lit("depth_limit").alias("end_state")))
 
 
+def bounded_paths(edges: DataFrame, starts: DataFrame, hops: int, most: int) -> DataFrame:
+    """``simple_paths``, but of each source the first ``most`` in the order of paths, found without expanding the others.
+
+    Each path begun is whole in the end (as a dead end or at the depth limit), and what comes after two beginnings of which neither
+    continues the other is in their order; so after each hop the first ``most`` beginnings of a source are enough. A path at v goes
+    on to the first ``most`` targets of v that it has not visited, so of each vertex the first most + hops are kept.
+    """
+    e = edges.select("case_id", "src", "dst").where("src <> dst").distinct()
+    e = cut(e.withColumn("_k", F.row_number().over(Window.partitionBy("case_id", "src").orderBy("dst"))).where(F.col("_k") <= most + hops).drop("_k"))
+    at = starts.select("case_id", F.col("entity_id").alias("source"), F.array("entity_id").alias("path"), F.lit(False).alias("dead"))
+    w = Window.partitionBy("case_id", "source").orderBy("path")
+    for k in range(hops):
+        step = at.where("not dead").withColumn("src", F.col("path")[k]).join(e, ["case_id", "src"], "left")
+        step = step.withColumn("ok", F.col("dst").isNotNull() & ~F.array_contains("path", F.coalesce("dst", F.lit(""))))
+        on = step.where("ok").select("case_id", "source", F.concat("path", F.array("dst")).alias("path"), "dead")
+        ended = step.groupBy("case_id", "source", "path").agg(F.bool_or("ok").alias("any")).where("not any").select("case_id", "source", "path", F.lit(True).alias("dead"))
+        rows = on.unionByName(ended).unionByName(at.where("dead"))
+        at = cut(rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k"))
+    return at.select("case_id", "source", "path", F.when(F.col("dead"), "dead_end").otherwise("depth_limit").alias("end_state"))
+
+
 def harmonic_closeness(vertices: DataFrame, rels: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     """case_id, entity_id, closeness of ``sources``: sum of 1/distance within ``hops`` steps, over the other vertices."""
     size = vertices.groupBy("case_id").agg(F.count("*").alias("n"))
