@@ -38,6 +38,8 @@ from tracewell.llm.simhash import _LOWER, _WORDS, BITS, SEED, best_rows, links,
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
 HEADS, FEW = 2, 4
+#: Pairs for each row of the prefixes' buckets up to which all are tried in one round; the result is the same.
+AT_ONCE = 16
 #: Most frequent shingles that prefixes avoid.
 COMMON = 65_536
 
@@ -132,7 +134,10 @@ def similar_to_kept(docs: DataFrame, rows: DataFrame, heads: int = HEADS) -> Dat
     dropped, prefixes = None, False
     while left.limit(1).count():
         if heads > FEW and not prefixes:
-            left, prefixes, heads = _shared(_by_prefix(left.select("node", "k", "n").distinct(), sets)), True, FEW
+            left, prefixes = _shared(_by_prefix(left.select("node", "k", "n").distinct(), sets)), True
+            n = F.col("count")
+            pairs, rows, most = left.groupBy("bucket").count().agg(F.sum(n * (n - 1) / 2), F.sum(n), F.max(n)).first()
+            heads = most if pairs is not None and pairs <= AT_ONCE * rows else FEW
             continue
         at = Window.partitionBy("trie", "bucket").orderBy("k")
         seen = staged(left.withColumn("rn", F.row_number().over(at)), "similar")
