@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import blocks, finance, graph, hypotheses, matching, network, relational, rules, structure
+from tracewell.operators import blocks, finance, graph, hypotheses, matching, measures, network, relational, rules, structure
 
 EDGES = "case_id long, src string, dst string, rel_type string, created_at timestamp_ntz, confidence double"
 
@@ -308,3 +308,24 @@ def test_runs_are_versioned(spark, tmp_path):
     v.write.mode("overwrite").parquet(f"{at}/runs/1/profiles")
     with pytest.raises(ValueError, match="profiles"):
         network.last_run(spark, at)
+
+
+def test_centrality_records_and_ranks(spark):
+    pairs = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "d"), ("b", "d")]
+    v, e = make(spark, pairs, ["z"])
+    rows = measures.centrality_records(v, e).collect()
+    assert {r["metric"] for r in rows} == set(measures.METRICS) and len(rows) == 6 * 5 and all(r["exact"] for r in rows)
+    for m in measures.METRICS:
+        own = sorted((r for r in rows if r["metric"] == m), key=lambda r: r["rank"])
+        assert [(-r["raw"], r["entity_id"]) for r in own] == sorted((-r["raw"], r["entity_id"]) for r in own) and [r["rank"] for r in own] == [1, 2, 3, 4, 5]
+        assert own[0]["normalized"] == (1.0 if own[0]["raw"] else 0.0)
+    want = brute_structure(["a", "b", "c", "d", "z"], pairs)
+    for r in rows:
+        if r["metric"] in ("betweenness", "closeness"):
+            assert r["raw"] == pytest.approx(want[r["entity_id"]][2 if r["metric"] == "betweenness" else 3], abs=1e-8)
+    assert {r["exact"] for r in measures.centrality_records(v, e, exact=2, pivots=2).collect() if r["metric"] == "closeness"} == {False}
+    assert [(r["entity_id"], r["value"]) for r in measures.ranked_by(v, e, "relationship_count", 2).orderBy("rank").collect()] == [("b", 4.0), ("a", 2.0)]
+    assert [(r["entity_id"], r["entities"]) for r in measures.ranked_by(v, e, "degree", 1).collect()] == [("b", 5)] == [(r["entity_id"], r["entities"]) for r in measures.ranked_by(v, e, "distinct_neighbors", 0).collect()]
+    assert measures.ranked_by(v, e, "pagerank", 999).count() == 5
+    with pytest.raises(measures.UnsupportedMetric):
+        measures.ranked_by(v, e, "wealth")

@@ -175,7 +175,7 @@ def e13(spark, d):
 def g10(spark, d):
     deg = graph.degrees(entities(spark, d), relationships(spark, d)).select("case_id", "entity_id", F.col("degree").cast("double").alias("raw"))
     top = deg.groupBy("case_id").agg(F.max("raw").alias("m"))
-    rows = deg.join(F.broadcast(top), "case_id").select("case_id", "entity_id", "raw", F.round(F.col("raw") / F.greatest(F.lit(1.0), F.col("m")), 8).alias("normalized"))
+    rows = deg.join(top, "case_id").select("case_id", "entity_id", "raw", F.round(F.col("raw") / F.greatest(F.lit(1.0), F.col("m")), 8).alias("normalized"))
     return graph.ranked(rows, "raw")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.domain import entities, records, relationships, with_sql
-from tracewell.operators import blocks, graph, hypotheses, network, structure
+from tracewell.operators import blocks, graph, hypotheses, measures, network, structure
 from tracewell.plans.registry import query
 
 DEG = "deg AS (SELECT e.case_id, e.entity_id, count(DISTINCT n.other) AS degree FROM ents e LEFT JOIN ends n ON n.node = e.entity_id AND n.case_id = e.case_id GROUP BY 1, 2)"
@@ -23,6 +23,25 @@ def g32(spark, d):
     return graph.ranked(rows, "n", 50)
 
 
+@query("G10_centrality_records")
+def g10_records(spark, d):
+    return measures.centrality_records(*_graph(spark, d))
+
+
+@query("G32_ranked_by_metric", with_sql(f"""WITH {DEG},
+n AS (SELECT e.case_id, e.entity_id, count(n.node) AS n FROM ents e LEFT JOIN ends n ON n.node = e.entity_id AND n.case_id = e.case_id GROUP BY 1, 2),
+v AS (SELECT case_id, entity_id, 'relationship_count' AS metric, n::DOUBLE AS value FROM n UNION ALL SELECT case_id, entity_id, unnest(['distinct_neighbors', 'degree']), degree::DOUBLE FROM deg),
+c AS (SELECT case_id, count(*) AS entities FROM ents GROUP BY 1)
+SELECT v.case_id, entity_id, metric, value, (row_number() OVER (PARTITION BY v.case_id, metric ORDER BY value DESC, entity_id))::INT AS rank, entities FROM v JOIN c ON c.case_id = v.case_id QUALIFY rank <= 20"""))
+def g32_metrics(spark, d):
+    e, r = _graph(spark, d)
+    out = None
+    for metric in ("relationship_count", "distinct_neighbors", "degree"):
+        rows = measures.ranked_by(e, r, metric, 20)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("G02_degree", with_sql(f"WITH {DEG} SELECT deg.*, (SELECT count(*) FROM rels WHERE dst = deg.entity_id AND rels.case_id = deg.case_id) AS in_degree, (SELECT count(*) FROM rels WHERE src = deg.entity_id AND rels.case_id = deg.case_id) AS out_degree FROM deg"))
 def g02(spark, d):
     return graph.degrees(*_graph(spark, d))

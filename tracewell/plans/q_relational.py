@@ -323,7 +323,7 @@ def w01(spark, d):
 def w03(spark, d):
     n = graph.endpoints(relationships(spark, d)).groupBy("case_id", F.col("node").alias("entity_id")).agg(F.count("*").alias("n"))
     top = n.groupBy("case_id").agg(F.max("n").alias("m"))
-    return n.join(F.broadcast(top), "case_id").select("case_id", "entity_id", F.round(F.col("n") / F.coalesce(F.nullif("m", F.lit(0)), F.lit(1)), 8).alias("share"))
+    return n.join(top, "case_id").select("case_id", "entity_id", F.round(F.col("n") / F.coalesce(F.nullif("m", F.lit(0)), F.lit(1)), 8).alias("share"))
 
 
 @query("W05_running_maximum", "SELECT o_orderkey, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier, o_orderdate < max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back FROM orders")
