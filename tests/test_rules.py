@@ -48,6 +48,7 @@ def test_contradictions(spark):
     assert {(r["record_id"], r["field"], r["kind"]) for r in c.collect() if r["record_id"] == "d"} == {("d", "phone", "identifier"), ("d", "amount", "amount")}
     got = [tuple(r) for r in contradictions.conflicts(c).collect()]
     assert got == [("utr1", "transaction", "a", "b", "amount", "amount", "1,000.00", "INR 900")]
+    assert contradictions.conflicts(c, budget=1).count() <= 1 and contradictions.conflicts(c, budget=0).count() == 0
 
 
 def test_triage(spark):
@@ -151,3 +152,18 @@ def test_citations(spark):
     c = spark.createDataFrame(rows, "citation_id int, kind string, cited_id string, case_id int, locator string, value string, quote string")
     got = {r["citation_id"]: r["codes"] for r in audit.citation_codes(c, s).collect()}
     assert got == {1: [], 2: ["quote_unsupported", "value_mismatch"], 3: ["locator_invalid", "unauthorized", "wrong_case"], 4: ["unknown_kind"], 5: ["record_missing"], 6: ["invalid_id"]}
+
+
+def test_many_kinds_and_long_values(spark):
+    kinds = [f"kind{i:03}" for i in range(80)]
+    s = spark.createDataFrame([(k, "1", 1, True, {}, "") for k in kinds], "kind string, source_id string, case_id int, visible boolean, fields map<string,string>, body string")
+    c = spark.createDataFrame([(i, k, "1", 1, None, None, None) for i, k in enumerate([*kinds, "other", None])], "citation_id int, kind string, cited_id string, case_id int, locator string, value string, quote string")
+    got = {r["citation_id"]: r["codes"] for r in audit.citation_codes(c, s).collect()}
+    assert got == {**{i: [] for i in range(80)}, 80: ["unknown_kind"], 81: ["unknown_kind"]}
+    schema = "record_id string, evidence_id string, record_no int, origin string, field string, idx int, value string"
+    same = "paid on 06/01/2024 " + "x" * 300
+    found = spark.createDataFrame([("r", "f", 1, "artifact", "events", 0, same + tail) for tail in ("a", "b", "b")], schema)
+    drafts = timeline.artifact_drafts(found)
+    key = drafts.withColumn("proposal_key", timeline.proposal_key(drafts))
+    assert key.select("proposal_key").distinct().count() == 2 and {len(r["original"]) for r in drafts.collect()} == {200}
+    assert timeline.committed(drafts, key, key.limit(0)).count() == 2

@@ -50,12 +50,13 @@ def claims(fields: DataFrame) -> DataFrame:
     return rows.select("record_id", "field", "c.kind", "c.original", "c.compared", text.has_hint(F.col("field"), TRANSACTION_HINTS).alias("transaction"))
 
 
-def conflicts(claimed: DataFrame, per_anchor: int = 50, per_pair: int = 5) -> DataFrame:
+def conflicts(claimed: DataFrame, per_anchor: int = 50, per_pair: int = 5, budget: int | None = None) -> DataFrame:
     """anchor, scope, a, b, kind, field, first, second: disagreements of pairs of records that share an identifier.
 
     An anchor is of transaction scope where one of its fields names a transaction; only there amounts,
     currencies and dates are compared. The first ``per_anchor`` records of an anchor are paired (so an
-    anchor makes a bounded number of pairs), and the first ``per_pair`` conflicts of a pair are kept.
+    anchor makes a bounded number of pairs), and the first ``per_pair`` conflicts of a pair are kept. budget: the pairs that a
+    report looks at, the first by anchor and records; by default all.
     """
     names = claimed.where("kind = 'identifier' and compared <> ''").groupBy(F.col("compared").alias("anchor"), "record_id").agg(F.bool_or("transaction").alias("t"))
     w = Window.partitionBy("anchor")
@@ -64,6 +65,8 @@ def conflicts(claimed: DataFrame, per_anchor: int = 50, per_pair: int = 5) -> Da
     x, y = kept.select("anchor", scope, F.col("record_id").alias("a"), "k"), kept.select("anchor", F.col("record_id").alias("b"), F.col("k").alias("l"))
     # records that share several identifiers meet once, at the least of them
     pairs = x.join(y, "anchor").where("k < l").groupBy("a", "b").agg(F.min(F.struct("anchor", "scope")).alias("m")).select("a", "b", "m.anchor", "m.scope")
+    if budget is not None:
+        pairs = pairs.orderBy("anchor", "a", "b").limit(budget)
     one = claimed.select(F.col("record_id").alias("a"), "field", "kind", F.col("original").alias("first"), F.col("compared").alias("ca"), "transaction")
     two = claimed.select(F.col("record_id").alias("b"), "field", "kind", F.col("original").alias("second"), F.col("compared").alias("cb"))
     rows = pairs.join(one, "a").join(two, ["b", "field", "kind"])
@@ -74,7 +77,7 @@ def conflicts(claimed: DataFrame, per_anchor: int = 50, per_pair: int = 5) -> Da
     return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_pair).select("anchor", "scope", "a", "b", "kind", "field", "first", "second")
 
 
-def statement_pairs(claimed: DataFrame, statements: DataFrame, per_anchor: int = 50) -> DataFrame:
+def statement_pairs(claimed: DataFrame, statements: DataFrame) -> DataFrame:
     """anchor, field, record_id, representative, text: statements (record_id, field, text) of records that share an
     identifier, where texts of one field differ. Each statement is set against the first one of its anchor and
     field with another text, so a group of many is no square; equal texts are one class.
