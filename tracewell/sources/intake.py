@@ -52,9 +52,13 @@ def header_type(name: Column) -> Column:
 
 
 def transaction_parts(raw: Column) -> list[Column]:
-    """A column for each of ALIASES from a map of fields: the first alias whose value is not blank."""
-    by_name = F.map_from_entries(F.transform(F.array_sort(F.map_entries(raw)), lambda e: F.struct(text.header(e["key"]), e["value"])))
-    return [F.coalesce(*[F.nullif(F.trim(F.element_at(by_name, F.lit(a))), F.lit("")) for a in names]).alias(part) for part, names in ALIASES.items()]
+    """A column for each of ALIASES from a map of fields: the first alias whose value is not blank.
+
+    The names are normalised once a row: the parts are made of a lambda's variable, and the columns are fields of one common struct.
+    """
+    by_name = F.map_from_entries(F.transform(F.array_sort(F.map_entries(raw)), lambda e: F.struct(text.header(e["key"]), F.nullif(F.trim(e["value"]), F.lit("")))))
+    parts = F.transform(F.array(by_name), lambda m: F.struct(*[F.coalesce(*[F.element_at(m, F.lit(a)) for a in names]).alias(part) for part, names in ALIASES.items()]))
+    return [F.get(parts, F.lit(0))[part].alias(part) for part in ALIASES]
 
 
 def record_text(raw: Column) -> Column:
