@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 AMOUNT = "decimal(38,10)"
 _TOKEN = r"(?i)\b(inr|usd|eur|gbp|rs\.?)\b|^[₹$€£]"
+#: How every layout of a time begins: other texts are tried with this alone.
+_STARTS = r"^\d{1,4}[/.-]\d"
 #: Currency of a token in an amount that is no code itself. Fixed values.
 _SIGNS = {"rs": "INR", "₹": "INR", "$": "USD", "€": "EUR", "£": "GBP"}
 
@@ -31,14 +33,14 @@ def timestamp(raw: Column) -> Column:
     v = F.trim(raw)
     iso = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?$"), F.try_to_timestamp(F.regexp_replace(v, r"([+-]\d{2})(\d{2})$", "$1:$2")))
     dmy = F.when(v.rlike(r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}[ T,]+\d{1,2}:\d{2}$"), F.try_to_timestamp(F.regexp_replace(v, r"^(\d+)[/-](\d+)[/-](\d+)[ T,]+", "$1/$2/$3 "), F.lit("d/M/y H:mm")))
-    return F.coalesce(iso, dmy, day(v).cast("timestamp"))
+    return F.when(v.rlike(_STARTS), F.coalesce(iso, dmy, day(v).cast("timestamp")))
 
 
 def day(raw: Column) -> Column:
     """A date in one of five layouts."""
     v = F.trim(raw)
     layouts = (("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"), ("d/M/y", r"^\d{1,2}/\d{1,2}/\d{4}$"), ("y/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"), ("d-M-y", r"^\d{1,2}-\d{1,2}-\d{4}$"), ("d.M.y", r"^\d{1,2}\.\d{1,2}\.\d{4}$"))
-    return F.coalesce(*[F.when(v.rlike(shape), F.try_to_timestamp(v, F.lit(layout)).cast("date")) for layout, shape in layouts])
+    return F.when(v.rlike(_STARTS), F.coalesce(*[F.when(v.rlike(shape), F.try_to_timestamp(v, F.lit(layout)).cast("date")) for layout, shape in layouts]))
 
 
 def granularity(raw: Column) -> Column:
