@@ -40,6 +40,8 @@ WINDOW, QUANTUM = 1024, 128
 TABLE = 4096
 #: Pieces, of at most WINDOW ids, that a task sends at once.
 PIECES = 4000
+#: Level at which the ids of a document are compressed for the shuffle and the folder.
+LEVEL = 6
 #: Weights are rounded to this total, so that products stay well below 2**63.
 RESOLUTION = 1 << 20
 
@@ -119,7 +121,7 @@ def windows(doc: np.ndarray, start: np.ndarray, length: np.ndarray, to: np.ndarr
 
 def _encoded(path: str, end_id: int):
     enc = encoder(path)
-    width = width_of(enc, end_id)
+    width, codec = width_of(enc, end_id), pa.Codec("zstd", compression_level=LEVEL)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, starts = enc.encode_all(batch["text"], end_id)
@@ -127,7 +129,8 @@ def _encoded(path: str, end_id: int):
         for at in range(0, n, 1000):  # Spark reads the batches row by row: small ones
             to, s = min(n, at + 1000), starts[at : at + 1001]
             own = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(((s - s[0]) * width).astype(np.int32)), pa.py_buffer(data[int(s[0]) * width : int(s[-1]) * width])])
-            yield {c: batch[c].slice(at, to - at) for c in ("rid", "doc_id", "source")} | {"n": np.diff(s), "width": [width] * (to - at), "ids": own}
+            small = [codec.compress(x.as_buffer(), asbytes=True) for x in own]
+            yield {c: batch[c].slice(at, to - at) for c in ("rid", "doc_id", "source")} | {"n": np.diff(s), "width": [width] * (to - at), "ids": small}
 
     return run
 
@@ -146,7 +149,8 @@ def _pieces(schedule: Schedule | None, order: dict, total: int, with_ids: bool):
             doc = np.repeat(np.arange(len(n)), np.diff(np.asarray(got.offsets)))
             runs = (doc, *(x[c].to_numpy(zero_copy_only=False) for c in ("start", "length", "to")))
         doc, start, length, sequence, offset = windows(*runs, total)
-        data = [memoryview(np.frombuffer(x, f"<u{w}").astype("<u4")).cast("B") for x, w in zip(batch["ids"].to_pylist(), width.tolist())]
+        raw = (pa.decompress(x, decompressed_size=m * w, codec="zstd", asbytes=True) for x, m, w in zip(batch["ids"].to_pylist(), n.tolist(), width.tolist()))
+        data = [memoryview(np.frombuffer(x, f"<u{w}").astype("<u4")).cast("B") for x, w in zip(raw, width.tolist())]
         for k in range(0, len(doc), PIECES):
             d, s, m = (x[k : k + PIECES] for x in (doc, start, length))
             own = [data[i][4 * a : 4 * (a + b)] for i, a, b in zip(d.tolist(), s.tolist(), m.tolist())]
