@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,14 @@ def batches_bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def memory_returned() -> None:
+    """Gives what a task has freed back to the system: Python workers are kept for the tasks of later stages, whatever they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Writes inside give up their shuffle files when they end: only what they wrote is read later."""
@@ -84,6 +93,7 @@ def in_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
     to = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_returned()
         f = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -91,6 +101,8 @@ def in_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
                     yield pa.RecordBatch.from_pydict(out, schema=to)
         for out in getattr(f, "rest", tuple)():
             yield pa.RecordBatch.from_pydict(out, schema=to)
+        del f
+        memory_returned()
 
     return batches_bounded(df).mapInArrow(run, schema)
 

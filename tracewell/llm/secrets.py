@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import batches_bounded, in_tasks
+from tracewell.llm.common import batches_bounded, in_tasks, memory_returned
 
 SAMPLE, ISLANDS, WIDTH, STRETCH = 2000, 10, 8, 32
 #: Characters of texts that are scored at once.
@@ -558,6 +558,7 @@ def redact(docs: DataFrame, crf: Field) -> DataFrame:
                 texts = part.column(at).to_pylist()
                 new = pa.array([redacted(t, spans) for t, spans in zip(texts, all_spans(texts, shared.value))], part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([new if c == at else part.column(c) for c in range(part.num_columns)], schema=part.schema)
+        memory_returned()
 
     out = batches_bounded(docs).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:

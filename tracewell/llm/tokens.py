@@ -27,9 +27,9 @@ import pyarrow.compute as pc
 
 #: Pre-tokens remembered by one Python worker, in each of two generations: a full one becomes the
 #: old one, from which those that come again are taken over.
-WORDS = 220_000
+WORDS = 150_000
 #: Bytes of text that are cut at once; a longer text is a batch by itself.
-BATCH = 8_000_000
+BATCH = 3_000_000
 #: Characters of the longest pre-token that is remembered.
 LONGEST = 48
 
