@@ -52,16 +52,19 @@ def flattened(raw: Column) -> Column:
 
 def deep_leaves(df: DataFrame, key: str, raw: str, depth: int = 5) -> DataFrame:
     """key, path, value: the scalar leaves of a JSON text, down to ``depth`` levels; list elements by their index."""
-    at, out = df.select(key, F.lit("").alias("path"), F.trim(raw).alias("value")), None
-    for level in range(depth + 1):
-        rows = at.where("value is not null")
-        leaf = rows.where(~F.col("value").rlike(r"^[\[{]")) if level else rows.limit(0)
-        out = leaf if out is None else out.union(leaf)
+    at = df.select(key, F.lit("").alias("path"), F.trim(raw).alias("value"), F.lit(False).alias("leaf"))
+    for _ in range(depth):
         dot = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit(".")))
-        fields = rows.where(F.col("value").startswith("{")).select(key, dot.alias("dot"), F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
-        items = rows.where(F.col("value").startswith("[")).select(key, dot.alias("dot"), F.posexplode(F.from_json("value", "array<string>")).alias("k", "value"))
-        at = fields.unionByName(items.withColumn("k", F.col("k").cast("string"))).select(key, F.concat("dot", "k").alias("path"), "value")
-    return out
+
+        def child(k: Column, value: Column) -> Column:
+            return F.struct(F.concat(dot, k).alias("path"), value.alias("value"), (~value.rlike(r"^[\[{]")).alias("leaf"))
+
+        fields = F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: child(e["key"], e["value"]))
+        items = F.transform(F.from_json("value", "array<string>"), lambda x, i: child(i.cast("string"), x))
+        parts = F.when(F.col("leaf"), F.array(F.struct("path", "value", "leaf"))).when(F.col("value").startswith("{"), fields).when(F.col("value").startswith("["), items)
+        # the outer form, whose rows are not tried by a filter that makes them once more
+        at = at.select(key, F.explode_outer(parts).alias("part")).where("part.value is not null").select(key, "part.*")
+    return at.where("leaf").drop("leaf")
 
 
 def visible(cases: DataFrame, members: DataFrame, user: Column | str, admin: bool = False) -> DataFrame:
