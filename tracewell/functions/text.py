@@ -5,6 +5,8 @@ A normaliser returns the canonical form, or null where the value is not valid.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,24 +33,29 @@ TIME_MEANING = (
 PHONE, EMAIL, URL = r"\+?\d[\d\s().-]{6,}\d", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"https?://[^\s<>\"']+"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with ``value`` worked out once a row however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _alnum_upper(raw: Column) -> Column:
     return F.upper(F.regexp_replace(raw, "[^A-Za-z0-9]", ""))
 
 
 def _within(value: Column, least: int, most: int) -> Column:
-    return F.when(F.length(value).between(least, most), value)
+    return once(value, lambda v: F.when(F.length(v).between(least, most), v))
 
 
 def phone(raw: Column) -> Column:
     """Digits without leading zeros; ten of them get the country code 91; 7 to 15 are valid."""
     digits = F.regexp_replace(F.regexp_replace(raw, r"[^0-9]", ""), "^0+", "")
-    return _within(F.when(F.length(digits) == 10, F.concat(F.lit("91"), digits)).otherwise(digits), 7, 15)
+    return once(digits, lambda x: F.when(F.length(x) == 10, F.concat(F.lit("91"), x)).when(F.length(x).between(7, 15), x))
 
 
 def vehicle(raw: Column) -> Column:
     """Letters and digits, upper case, 4 to 12, with at least one of each."""
     v = _alnum_upper(raw)
-    return F.when(v.rlike("[0-9]") & v.rlike("[A-Z]"), _within(v, 4, 12))
+    return once(v, lambda x: F.when(x.rlike("[0-9]") & x.rlike("[A-Z]") & F.length(x).between(4, 12), x))
 
 
 def account(raw: Column) -> Column:
@@ -59,7 +66,7 @@ def account(raw: Column) -> Column:
 def document(raw: Column) -> Column:
     """10 to 16 digits, or else letters and digits, upper case, 6 to 30."""
     digits = F.regexp_replace(raw, "[^0-9]", "")
-    return F.when(F.length(digits).between(10, 16), digits).otherwise(account(raw))
+    return once(digits, lambda x: F.when(F.length(x).between(10, 16), x).otherwise(account(raw)))
 
 
 def person(raw: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.functions.text import once
+
 AMOUNT = "decimal(38,10)"
 _TOKEN = r"(?i)\b(inr|usd|eur|gbp|rs\.?)\b|^[₹$€£]"
 #: How every layout of a time begins: other texts are tried with this alone.
@@ -16,7 +18,7 @@ _SIGNS = {"rs": "INR", "₹": "INR", "$": "USD", "€": "EUR", "£": "GBP"}
 def amount(raw: Column) -> Column:
     """The exact number of a text with an optional currency token and thousands separators; null if it is none."""
     cleaned = F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), _TOKEN, " "), r"[,\s]", ""))
-    return F.when(cleaned.rlike(r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$"), cleaned.try_cast(AMOUNT))
+    return once(cleaned, lambda v: F.when(v.rlike(r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$"), v.try_cast(AMOUNT)))
 
 
 def amount_currency(raw: Column) -> Column:

@@ -96,12 +96,15 @@ def field_mentions(records: DataFrame, raw: Column, keys: list[str]) -> DataFram
 
     A value that is not valid as a whole may hold several: its parts at PACKED are tried one by one.
     """
-    each = records.select(*keys, F.explode(F.map_entries(raw)).alias("_e"))
-    each = each.select(*keys, F.col("_e.key").alias("header"), intake.header_type(F.col("_e.key")).alias("entity_type"), F.trim("_e.value").alias("raw")).where("entity_type is not null and raw <> ''")
-    whole = text.normalized(F.col("entity_type"), F.col("raw"))
-    parts = F.when(whole.isNotNull(), F.array("raw")).otherwise(F.split("raw", PACKED))
-    each = each.select(*keys, "header", "entity_type", F.explode(parts).alias("raw"))
-    return each.withColumn("canonical", text.normalized(F.col("entity_type"), F.col("raw"))).where("canonical is not null")
+    # each step is the outer form of explode, so that what it makes is not made again by the filters after it
+    each = records.select(*keys, F.explode_outer(F.map_entries(raw)).alias("_e"))
+    named = F.array(F.struct(F.col("_e.key").alias("header"), intake.header_type(F.col("_e.key")).alias("entity_type"), F.trim("_e.value").alias("raw")))
+    each = each.select(*keys, F.explode_outer(named).alias("_e")).select(*keys, "_e.*").where("entity_type is not null and raw <> ''")
+    one = lambda value, canonical: F.struct(value.alias("raw"), canonical.alias("canonical"))
+    kind = F.col("entity_type")
+    whole = text.once(text.normalized(kind, F.col("raw")), lambda c: F.when(c.isNotNull(), F.array(one(F.col("raw"), c))).otherwise(F.transform(F.split("raw", PACKED), lambda p: one(p, text.normalized(kind, p)))))
+    each = each.select(*keys, "header", "entity_type", F.explode_outer(whole).alias("_e")).select(*keys, "header", "entity_type", "_e.*")
+    return each.where("canonical is not null")
 
 
 def first_mentions(fields: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
