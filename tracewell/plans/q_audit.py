@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.domain import table
 from tracewell.functions import claims as check
 from tracewell.operators import audit
+from tracewell.operators.graph import cut
 from tracewell.plans.registry import query
 
 CLAIMS = """WITH li AS (SELECT l_orderkey AS draft_id, l_linenumber AS n, min(l_partkey) AS part, min(CAST(l_quantity AS BIGINT)) AS q, min(l_shipdate) AS day, min(l_returnflag) AS flag, min(l_linestatus) AS st, min(l_discount) AS disc, min(l_tax) AS tax FROM lineitem GROUP BY 1, 2),
@@ -39,6 +40,8 @@ def _inputs(spark, d):
     before = Window.partitionBy("draft_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)) + F.when(F.col("disc") == 0.1, 1).otherwise(0)
     rows = rows.withColumn("start", at).withColumn("end", F.col("start") + F.length("text"))
+    # every check reads the claims, so they are made once
+    rows = cut(rows.select("draft_id", "n", "claim_id", "start", "end", "category", "text", "part", "disc", "tax", "flag"))
     drafts = rows.groupBy("draft_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("body"))
     cited = rows.join(table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_size", "p_retailprice"), "part")
     codes = F.array_compact(F.array(F.when(F.col("p_size") <= 10, "wrong_case"), F.when(F.col("p_retailprice") > 1500, "citation_value_mismatch")))
