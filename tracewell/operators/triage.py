@@ -153,18 +153,51 @@ def package(entries: DataFrame, files: DataFrame, imported: DataFrame) -> DataFr
     sent. imported: package_id of earlier imports. Codes: replayed, manifest_incomplete, duplicate_name,
     duplicate_hash, file_missing, file_unlisted, hash_mismatch, size_mismatch.
     """
-    key = ["package_id", "filename"]
-    shape = F.coalesce(F.trim("filename") != "", F.lit(False)) & F.coalesce(F.lower("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)) & F.coalesce(F.col("size") >= 0, F.lit(False))
-    code = lambda rows, name: rows.select("package_id", F.lit(name).alias("code"))
-    twice = lambda c, name: code(entries.groupBy("package_id", c).count().where("count > 1"), name)
-    told = entries.select("package_id", "filename", F.lower("sha256").alias("want"), F.col("size").alias("want_size")).dropDuplicates(key)
-    sent = files.select("package_id", "filename", F.lower("sha256").alias("have"), F.col("size").alias("have_size")).dropDuplicates(key)
-    both = told.join(sent, key)
-    found = code(entries.where(~shape), "manifest_incomplete").union(twice("filename", "duplicate_name")).union(twice("sha256", "duplicate_hash")).union(code(told.join(sent, key, "left_anti"), "file_missing")).union(code(sent.join(told, key, "left_anti"), "file_unlisted"))
-    found = found.union(code(both.where("want <> have"), "hash_mismatch")).union(code(both.where("want_size <> have_size"), "size_mismatch")).union(code(entries.join(imported.select("package_id"), "package_id", "left_semi"), "replayed"))
-    codes = found.distinct().groupBy("package_id").agg(F.sort_array(F.collect_list("code")).alias("codes"))
-    rows = entries.groupBy("package_id").agg(F.count("*").alias("entries")).join(codes, "package_id", "left")
-    return rows.select("package_id", "entries", F.coalesce("codes", F.array().cast("array<string>")).alias("codes"), F.col("codes").isNull().alias("accepted"))
+    side = lambda df, told: df.select("package_id", "filename", F.lit(told).alias("told"), F.col("sha256").alias("sha"), "size")
+    told, each = F.col("told"), F.struct("sha", "size")
+    rows = side(entries, True).unionByName(side(files, False)).withColumn("bad", told & ~_shape("filename", "sha", "size")).groupBy("package_id", "filename")
+    shas = F.collect_list(F.when(told, F.struct("sha"))).alias("shas")
+    sides = rows.agg(F.max("bad").alias("bad"), F.count_if(told).alias("n"), F.first(F.when(told, each), True).alias("want"), F.first(F.when(~told, each), True).alias("have"), shas)
+    return package_sides(sides, imported)
+
+
+def _shape(filename: str, sha: str, size: str) -> Column:
+    return F.coalesce(F.trim(filename) != "", F.lit(False)) & F.coalesce(F.lower(sha).rlike("^[0-9a-f]{64}$"), F.lit(False)) & F.coalesce(F.col(size) >= 0, F.lit(False))
+
+
+def sides_of(rows: DataFrame) -> DataFrame:
+    """The rows of ``package_sides`` for names with at most one entry and one file: want_sha, want_size, have_sha, have_size, told (whether
+    there is an entry), all (whether there is no file)."""
+    told, side = F.col("told"), lambda x: F.struct(F.col(f"{x}_sha").alias("sha"), F.col(f"{x}_size").alias("size"))
+    shas = F.when(told, F.array(F.struct(F.col("want_sha").alias("sha"))))
+    bad = told & ~_shape("filename", "want_sha", "want_size")
+    return rows.select("package_id", "filename", bad.alias("bad"), told.cast("int").alias("n"), F.when(told, side("want")).alias("want"), F.when(~F.col("all"), side("have")).alias("have"), shas.alias("shas"))
+
+
+def package_sides(sides: DataFrame, imported: DataFrame) -> DataFrame:
+    """``package`` of names whose two sides have met: package_id, filename, bad (whether an entry lacks something), n (entries), want
+    and have (sha, size of an entry and of a file, or null), shas (a struct of the hash of each entry).
+
+    Rows that are dealt by package are dealt no more: hashes are counted within their packages' parts.
+    """
+    want, have, named = F.col("want"), F.col("have"), F.col("filename").isNotNull()
+    met = want.isNotNull() & have.isNotNull() & named
+    differ = lambda x, y: F.coalesce(met & (x != y), F.lit(False))
+    flags = {
+        "duplicate_name": F.col("n") > 1,
+        "file_missing": want.isNotNull() & ~met,
+        "file_unlisted": have.isNotNull() & ~met,
+        "hash_mismatch": differ(F.lower(want["sha"]), F.lower(have["sha"])),
+        "manifest_incomplete": F.coalesce("bad", F.lit(False)),
+        "size_mismatch": differ(want["size"], have["size"]),
+    }
+    rows = sides.select("package_id", F.explode_outer("shas").alias("x"), *[c.alias(n) for n, c in flags.items()])
+    rows = rows.groupBy("package_id", "x.sha").agg(F.count("x").alias("n"), *[F.max(n).alias(n) for n in flags])
+    rows = rows.groupBy("package_id").agg(F.sum("n").alias("entries"), F.max(F.col("n") > 1).alias("duplicate_hash"), *[F.max(n).alias(n) for n in flags]).where("entries > 0")
+    rows = rows.join(imported.select("package_id").distinct().withColumn("replayed", F.lit(True)), "package_id", "left")
+    known = F.col("package_id").isNotNull()
+    codes = F.array_compact(F.array(*[F.when(known & F.col(n), F.lit(n)) for n in sorted([*flags, "duplicate_hash", "replayed"])]))
+    return rows.select("package_id", "entries", codes.alias("codes")).withColumn("accepted", F.size("codes") == 0)
 
 
 def manifest_of(files: DataFrame) -> DataFrame:
